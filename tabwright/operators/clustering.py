@@ -20,7 +20,7 @@ from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.density import DensityHint, density_hint
 from tabwright.operators.sampled import restarts, silhouettes
 from tabwright.operators.sampling import sample_rows
-from tabwright.session import materialise
+from tabwright.session import materialise, spread
 
 LARGE_ROWS = 100_000
 _VECTOR = "__features"
@@ -340,7 +340,7 @@ def cluster_table(
     One distributed k-means serves every size; from ``large_rows`` on only the
     density hint moves to a sample.
     """
-    x = materialise(numeric_matrix(df), "features")
+    x = materialise(spread(numeric_matrix(df)), "features")
     n = x.count()
     large = n >= large_rows
     if use_density:
