@@ -95,6 +95,14 @@ def yeo_johnson(c: Column, lam: float) -> Column:
     return F.when(c >= 0, up).otherwise(down)
 
 
+def yeo_johnson_at(c: Column, lam: Column) -> Column:
+    """Power transform with lambda taken from a column."""
+    two = 2.0 - lam
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(c)).otherwise((F.pow(c + 1.0, lam) - 1.0) / lam)
+    down = F.when(F.abs(two) < 1e-12, -F.log1p(-c)).otherwise(-(F.pow(1.0 - c, two) - 1.0) / two)
+    return F.when(c >= 0, up).otherwise(down)
+
+
 def yeo_johnson_inverse(c: Column, lam: float) -> Column:
     if abs(lam) < 1e-12:
         up = F.expm1(c)

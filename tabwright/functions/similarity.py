@@ -27,10 +27,18 @@ from pyspark.sql.window import Window as W
 _Q = 3
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Order-sensitive matching ratio of two texts."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+def similarity_from(threshold: float):
+    """Order-sensitive matching ratio of two texts; 0 where it cannot reach the threshold."""
+
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            match = difflib.SequenceMatcher(None, x, y)
+            out.append(match.ratio() if match.quick_ratio() >= threshold else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
 
 
 def _sizes_needed(least: float, threshold: float) -> list[int]:
@@ -53,9 +61,8 @@ def _sizes_needed(least: float, threshold: float) -> list[int]:
 
 
 def _grams(text: Column, q: int) -> Column:
-    """Every q-gram of the text, in order; NULL when it is too short for one."""
-    positions = F.sequence(F.lit(1), F.greatest(F.length(text) - q + 1, F.lit(1)))
-    return F.when(F.length(text) >= q, F.transform(positions, lambda i: F.substring(text, i, q)))
+    """Every q-gram of the text, in order; the look-ahead makes them overlap."""
+    return F.regexp_extract_all(text, F.lit(f"(?=(.{{{q}}}))"), F.lit(1))
 
 
 def _lost(length: Column, threshold: float, q: int) -> Column:
@@ -89,6 +96,9 @@ def best_references(
         F.col("__l") >= F.lit(least - 1e-9)
     )
     refs = references.select(F.col(group).alias("__g"), F.col("value").alias("__ref"), F.col("n").alias("__n"))
+    # Grams are joined by digest, so that long texts are not copied once per gram.
+    texts = texts.withColumn("__v", F.md5("value"))
+    refs = refs.withColumn("__r", F.md5("__ref"))
     parts = []
     for q in _sizes_needed(least, threshold):
         # A text is joined with the longest grams that its length guarantees.
@@ -102,7 +112,10 @@ def best_references(
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)
-    scored = pairs.withColumn("score", similarity("value", "__ref")).filter(F.col("score") >= threshold)
+    full = pairs.join(texts.select(group, "__v", "value"), [group, "__v"]).join(
+        refs.select(F.col("__g").alias(group), "__r", "__ref", "__n"), [group, "__r"]
+    )
+    scored = full.withColumn("score", similarity_from(threshold)("value", "__ref")).filter(F.col("score") >= threshold)
     best = F.min_by(
         F.struct(F.col("__ref").alias("corrected"), F.col("score")),
         F.struct(-F.col("score"), -F.col("__n"), F.col("__ref")),
@@ -113,24 +126,25 @@ def best_references(
 
 
 def _candidates(texts: DataFrame, refs: DataFrame, threshold: float, q: int, group: str) -> DataFrame:
-    shape = F.explode(_grams(F.col("__ref"), q))
-    index = refs.select("__g", "__ref", "__n", shape.alias("__gram")).distinct()
+    """(group, __v, __r): digests of texts and references that may be close enough."""
+    index = refs.select(
+        "__g", "__r", F.length("__ref").alias("__rl"), F.explode(_grams(F.col("__ref"), q)).alias("__gram")
+    ).distinct()
     spread = index.groupBy("__g", "__gram").agg(F.count(F.lit(1)).alias("__df"))
-    grams = texts.select(group, "value", "__l", F.posexplode(_grams(F.col("value"), q)).alias("__at", "__gram"))
+    grams = texts.select(group, "__v", "__l", F.posexplode(_grams(F.col("value"), q)).alias("__at", "__gram"))
     counted = grams.join(
         spread.select(F.col("__g").alias(group), "__gram", "__df"), [group, "__gram"], "left"
     ).withColumn("__df", F.coalesce("__df", F.lit(0)))
-    rare = W.partitionBy(group, "value").orderBy("__df", "__gram", "__at")
+    rare = W.partitionBy(group, "__v").orderBy("__df", "__gram", "__at")
     probe = (
         counted.withColumn("__k", F.row_number().over(rare))
         .filter((F.col("__k") <= _lost(F.col("__l"), threshold, q) + 1) & (F.col("__df") > 0))
-        .select(group, "value", "__l", "__gram")
+        .select(group, "__v", "__l", "__gram")
         .distinct()
     )
-    other = F.length("__ref")
-    near = 2 * F.least(F.col("__l"), other) >= threshold * (F.col("__l") + other) - 1e-9
+    near = 2 * F.least("__l", "__rl") >= threshold * (F.col("__l") + F.col("__rl")) - 1e-9
     hit = probe.join(
         index.withColumnRenamed("__g", "__rg"),
         (F.col(group) == F.col("__rg")) & (probe["__gram"] == index["__gram"]) & near,
     )
-    return hit.select(group, "value", "__ref", "__n").distinct()
+    return hit.select(group, "__v", "__r").distinct()

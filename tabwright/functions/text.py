@@ -74,7 +74,11 @@ def fold_accents(text: Column) -> Column:
     folded = F.translate(text, source + marks, target)
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     wide = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), ""
+        F.transform(
+            F.split(text, ""),
+            lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c)),
+        ),
+        "",
     )
     return (
         F.when(~text.rlike("[^\\x00-\\x7f]"), text)

@@ -134,11 +134,10 @@ def detect_structure(df: DataFrame, id_ratio: float = 0.95) -> Structure:
 def _scan(df, columns, texts):
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
-        word = F.lower(F.trim(F.col(c).cast("string")))
         aggs += [
             F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"),
-            F.approx_count_distinct(F.col(c).cast("string"), _RSD).alias(f"d{i}"),
-            F.max(word.isin(LABEL_VALUES)).alias(f"t{i}"),
+            F.approx_count_distinct(F.col(c), _RSD).alias(f"d{i}"),
+            F.max(_label_like(F.col(c), df.schema[c].dataType)).alias(f"t{i}"),
         ]
         if c in texts:
             aggs += [
@@ -148,6 +147,17 @@ def _scan(df, columns, texts):
     return aggs
 
 
+def _label_like(c, dtype):
+    """Whether the value's text is a typical label; only some types can write one."""
+    if isinstance(dtype, T.IntegralType):
+        return c.isin(0, 1)
+    if isinstance(dtype, T.BooleanType):
+        return c.isNotNull()
+    if isinstance(dtype, T.StringType):
+        return F.lower(F.trim(c)).isin(LABEL_VALUES)
+    return F.lit(False)
+
+
 def _date_columns(df, columns, types, texts, row):
     """Native dates, and texts that look like dates and parse often enough."""
     native = [c for c in columns if isinstance(types[c], _DATES)]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,22 +21,23 @@ WINSORISED = "Winsorized"
 FLAGGED = "Flagged only"
 UNTREATED = "None"
 
-_PAIRS = 500
+
+def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, x): one aggregate over this serves all columns with little code."""
+    return df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "x")
 
 
 def skew_stats(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     """Skewness before and after log1p, and the minimum, of each column."""
     if not columns:
         return {}
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [
-            S.adjusted_skewness(F.col(c)).alias(f"s{i}"),
-            S.adjusted_skewness(S.log1p_clipped(F.col(c))).alias(f"l{i}"),
-            F.min(c).alias(f"m{i}"),
-        ]
-    row = df.agg(*aggs).first()
-    return {c: {"skew": row[f"s{i}"], "skew_log1p": row[f"l{i}"], "min": row[f"m{i}"]} for i, c in enumerate(columns)}
+    x = F.col("x")
+    rows = _long(df, columns).groupBy("column").agg(
+        S.adjusted_skewness(x).alias("skew"), S.adjusted_skewness(S.log1p_clipped(x)).alias("skew_log1p"),
+        F.min(x).alias("min"),
+    ).collect()
+    found = {r["column"]: {k: r[k] for k in ("skew", "skew_log1p", "min")} for r in rows}
+    return {c: found[c] for c in columns}
 
 
 def skew_report(stats: dict[str, dict]) -> list[dict]:
@@ -50,9 +51,8 @@ def skew_report(stats: dict[str, dict]) -> list[dict]:
 
 def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, skewness, abs_skewness), most skewed first."""
-    row = df.agg(*[S.adjusted_skewness(F.col(c).cast("double")).alias(c) for c in columns])
     return (
-        row.unpivot([], list(columns), "column", "__s")
+        _long(df, columns).groupBy("column").agg(S.adjusted_skewness(F.col("x")).alias("__s"))
         .select("column", F.round("__s", 3).alias("skewness"), F.round(F.abs("__s"), 3).alias("abs_skewness"))
         .orderBy(F.desc_nulls_last("abs_skewness"), "column")
     )
@@ -61,31 +61,36 @@ def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 5) -> dict[str, dict]:
     """Lambda of highest likelihood per column, with moments of the result.
 
-    The log-likelihood of every lambda on a grid comes from one aggregate; each
-    round narrows the grid around the best one for all columns at once.
+    A row is paired with every lambda of its column's grid and the pairs are
+    aggregated before they leave the task, so a round is one scan for all
+    columns; the next round narrows the grids around the best lambdas.
     """
     if not columns:
         return {}
+    columns = list(columns)
+    long = _long(df, columns).filter(F.col("x").isNotNull())
     centers = {c: 0.0 for c in columns}
     step, width = 0.5, 12
     for _ in range(rounds):
-        grid = {c: [centers[c] + step * k for k in range(-width, width + 1)] for c in columns}
-        aggs = []
-        for i, c in enumerate(columns):
-            x = F.col(c)
-            aggs.append(F.count(x).alias(f"n{i}"))
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"g{i}"))
-            aggs += [F.var_pop(S.yeo_johnson(x, lam)).alias(f"v{i}_{j}") for j, lam in enumerate(grid[c])]
-        row = df.agg(*aggs).first()
-        for i, c in enumerate(columns):
-            def likelihood(j, i=i, c=c):
-                v = row[f"v{i}_{j}"]
-                if v is None or not v > 0 or math.isinf(v):
-                    return -math.inf
-                return -row[f"n{i}"] / 2 * math.log(v) + (grid[c][j] - 1) * row[f"g{i}"]
-
-            best = max(range(len(grid[c])), key=likelihood)
-            centers[c] = grid[c][best]
+        grids = F.when(F.lit(False), F.array(F.lit(0.0)))
+        for c in columns:
+            grids = grids.when(
+                F.col("column") == c, F.array(*[F.lit(centers[c] + step * k) for k in range(-width, width + 1)])
+            )
+        x, lam = F.col("x"), F.col("lambda")
+        rows = (
+            long.withColumn("lambda", F.explode(grids)).groupBy("column", "lambda")
+            .agg(F.count(x).alias("n"), F.var_pop(S.yeo_johnson_at(x, lam)).alias("v"),
+                 F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("g"))
+            .collect()  # grid points per column
+        )
+        best = {c: -math.inf for c in columns}
+        for r in rows:
+            if r["v"] is None or not 0 < r["v"] < math.inf:
+                continue
+            likelihood = -r["n"] / 2 * math.log(r["v"]) + (r["lambda"] - 1) * r["g"]
+            if likelihood > best[r["column"]]:
+                best[r["column"]], centers[r["column"]] = likelihood, r["lambda"]
         step, width = step / 8, 9
     aggs = []
     for i, c in enumerate(columns):
@@ -136,32 +141,33 @@ def choose_scaler(ratios: Sequence[float]) -> str:
 def moments_and_correlation(df: DataFrame, columns: Sequence[str]):
     """Mean, population deviation, range per column and correlation per pair.
 
-    Narrow tables take all pairs in the same scan; wide ones use the distributed
-    Gram matrix of MLlib.
+    The second pass sums products of centred values: each task keeps one square
+    matrix, and only the matrices' cells are shuffled.
     """
     columns = list(columns)
-    aggs = []
-    for i, c in enumerate(columns):
-        aggs += [F.avg(c).alias(f"m{i}"), F.stddev_pop(c).alias(f"s{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"b{i}")]
-    pairs = list(itertools.combinations(range(len(columns)), 2))
-    inline = len(pairs) <= _PAIRS
-    if inline:
-        aggs += [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]
-    row = df.agg(*aggs).first()
-    moments = {
-        c: {"mean": row[f"m{i}"], "std": row[f"s{i}"], "min": row[f"a{i}"], "max": row[f"b{i}"]}
-        for i, c in enumerate(columns)
-    }
+    x = F.col("x")
+    rows = _long(df, columns).groupBy("column").agg(
+        F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")
+    ).collect()
+    moments = {r["column"]: {k: r[k] for k in ("mean", "std", "min", "max")} for r in rows}
+    means = np.array([moments[c]["mean"] or 0.0 for c in columns])
+    width = len(columns)
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            centred = np.nan_to_num(batch.to_numpy("float64") - means)
+            total += centred.T @ centred
+        i, j = np.triu_indices(width)
+        yield pd.DataFrame({"i": i, "j": j, "s": total[i, j]})
+
+    cells = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInPandas(products, "i int, j int, s double")
+    sums = {(r["i"], r["j"]): r["s"] for r in cells.groupBy("i", "j").agg(F.sum("s").alias("s")).collect()}
     corr: dict[tuple[str, str], float | None] = {}
-    if inline:
-        for i, j in pairs:
-            scale = row[f"s{i}"] * row[f"s{j}"]
-            corr[(columns[i], columns[j])] = row[f"c{i}_{j}"] / scale if scale else None
-    else:
-        vectors = VectorAssembler(inputCols=columns, outputCol="__v").transform(df).select("__v")
-        matrix = Correlation.corr(vectors, "__v").first()[0].toArray()
-        for i, j in pairs:
-            corr[(columns[i], columns[j])] = None if math.isnan(matrix[i, j]) else float(matrix[i, j])
+    for i, j in itertools.combinations(range(width), 2):
+        flat = any(moments[columns[k]]["min"] == moments[columns[k]]["max"] for k in (i, j))
+        corr[(columns[i], columns[j])] = None if flat else sums[(i, j)] / math.sqrt(sums[(i, i)] * sums[(j, j)])
+    moments = {c: moments[c] for c in columns}
     return moments, corr
 
 

@@ -225,7 +225,11 @@ def _fit_categories(base, state, min_frequency, threshold, reports) -> None:
     state.references_path = scratch_path(spark, "references")
     K.reference_values(counts, min_frequency).write.parquet(state.references_path)
     references = state.references(spark)
-    fixes = materialise(K.corrections(counts, references, threshold), "corrections")
+    rare = counts.filter(F.col("n") < min_frequency).limit(1)
+    if rare.isEmpty():
+        fixes = spark.createDataFrame([], "column string, value string, corrected string, score double")
+    else:
+        fixes = materialise(K.corrections(counts, references, threshold), "corrections")
     state.categories_path = scratch_path(spark, "categories")
     K.encode(K.standardise(counts, fixes)).write.parquet(state.categories_path)
     table = state.categories(spark)
