@@ -11,7 +11,7 @@ from tabwright.operators import columns as C
 from tabwright.operators import integrate as J
 from tabwright.operators.ranking import number_rows, top_n
 from tabwright.operators.sampling import sample_rows
-from tabwright.session import scratch_path
+from tabwright.session import scratch_path, spread
 from tabwright.sources import readers, writers
 
 SPARSE_EVENTS = [
@@ -289,7 +289,8 @@ SELECT doc_id, lang, md5(w) AS words_md5, length(w) AS n FROM (
 """)
 def normalise_values(spark, folder):
     words = normalise_value("text")
-    return table(spark, folder, "documents").select("doc_id", "lang", words.alias("w")).select(
+    documents = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return documents.select("doc_id", "lang", words.alias("w")).select(
         "doc_id", "lang", F.md5("w").alias("words_md5"), F.length("w").cast("long").alias("n")
     )
 

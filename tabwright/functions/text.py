@@ -55,12 +55,12 @@ def _folds() -> tuple[str, str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), "".join(marks), several
 
 
-def _ranges(chars) -> str:
-    """A regex character class body covering ``chars``."""
+def _ranges(chars, gap: int = 64) -> str:
+    """A short character class body that covers ``chars`` and small gaps between them."""
     codes = sorted(map(ord, chars))
     parts, start, prev = [], codes[0], codes[0]
     for c in codes[1:] + [None]:
-        if c is not None and c == prev + 1:
+        if c is not None and c <= prev + gap:
             prev = c
             continue
         parts.append(f"\\x{{{start:x}}}" + (f"-\\x{{{prev:x}}}" if prev > start else ""))

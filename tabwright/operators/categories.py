@@ -6,13 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tabwright.functions.similarity import best_references
 from tabwright.functions.text import normalise_value
-from tabwright.operators.ranking import number_rows
-
-_WINDOW_VALUES = 100_000
+from tabwright.operators.ranking import rank_values
 
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -43,9 +40,5 @@ def standardise(counts: DataFrame, fixes: DataFrame) -> DataFrame:
 def encode(mapping: DataFrame) -> DataFrame:
     """Add ``code``: the rank of the corrected value among its column's classes."""
     classes = mapping.select("column", "corrected").distinct()
-    if classes.count() <= _WINDOW_VALUES:
-        order = W.partitionBy("column").orderBy("corrected")
-        coded = classes.withColumn("code", (F.row_number().over(order) - 1).cast("long"))
-    else:
-        coded = number_rows(classes, ["corrected"], "code", groups=["column"], start=0)
+    coded = rank_values(classes, "corrected", "code", groups=["column"])
     return mapping.join(coded, ["column", "corrected"]).select("column", "value", "corrected", "code")

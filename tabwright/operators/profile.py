@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabwright.operators.aggregates import distinct_counts
 from tabwright.operators.columns import DATE_FORMATS, numeric_columns
+from tabwright.session import spread
 
 # Words in column names and values that mark a role.
 DATE_WORDS = [
@@ -103,6 +104,7 @@ def detect_structure(df: DataFrame, id_ratio: float = 0.95) -> Structure:
     decision is near its threshold, where the count is small, or where the
     column is reported as a label; elsewhere ``n_distinct`` stays null.
     """
+    df = spread(df)
     columns = df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = set(numeric_columns(df))
@@ -141,8 +143,9 @@ def _scan(df, columns, texts):
         ]
         if c in texts:
             aggs += [
-                F.count(F.when(F.trim(F.col(c)).rlike(DATE_SHAPE), 1)).alias(f"s{i}"),
-                F.count(F.when(F.col(c).rlike(UUID_SHAPE), 1)).alias(f"u{i}"),
+                # The lengths spare most values the regular expressions.
+                F.count(F.when(F.length(F.trim(c)).between(6, 10) & F.trim(c).rlike(DATE_SHAPE), 1)).alias(f"s{i}"),
+                F.count(F.when((F.length(c) == 36) & F.col(c).rlike(UUID_SHAPE), 1)).alias(f"u{i}"),
             ]
     return aggs
 

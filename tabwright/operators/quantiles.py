@@ -27,14 +27,19 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     small: int = EXACT_ROWS,
+    sizes: dict[str, int] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of several columns; null where a column has no value."""
+    """Quantiles of several columns; null where a column has no value.
+
+    ``sizes`` are the columns' non-null counts, where the caller knows them.
+    """
     columns = list(columns)
     if not columns:
         return {}
     probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
+    if sizes is None:
+        counts = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+        sizes = {c: counts[f"n{i}"] for i, c in enumerate(columns)}
     out: dict[str, list[float | None]] = {}
     few = [c for c in columns if sizes[c] <= small]
     if few:

@@ -62,6 +62,14 @@ def number_rows(
     )
 
 
+def rank_values(df: DataFrame, order: str, into: str, groups: Sequence[str] = (), window_rows: int = 100_000) -> DataFrame:
+    """Number distinct values from 0: a window when they are counted to be few, else range sort."""
+    if df.count() > window_rows:
+        return number_rows(df, [order], into, groups=groups, start=0)
+    within = W.partitionBy(F.lit(0), *groups).orderBy(order)
+    return df.withColumn(into, (F.row_number().over(within) - 1).cast("long"))
+
+
 def running_total(df: DataFrame, order: Sequence[str], weight: str, into: str, groups: Sequence[str]) -> DataFrame:
     """Sum of ``weight`` over the rows before each row of its group, by ``order``.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import scalars as S
+from tabwright.session import spread
 
 WINSORISED = "Winsorized"
 FLAGGED = "Flagged only"
@@ -68,7 +69,7 @@ def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 5) -> d
     if not columns:
         return {}
     columns = list(columns)
-    long = _long(df, columns).filter(F.col("x").isNotNull())
+    long = _long(spread(df.select(*columns)), columns).filter(F.col("x").isNotNull())
     centers = {c: 0.0 for c in columns}
     step, width = 0.5, 12
     for _ in range(rounds):

@@ -13,13 +13,12 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tabwright.functions.scalars import FIDELITY_BANDS, band, percent
 from tabwright.operators.clustering import assemble
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.explain import with_real_values
-from tabwright.operators.ranking import number_rows
+from tabwright.operators.ranking import rank_values
 from tabwright.operators.sampling import stratified_folds, stratified_split
 from tabwright.session import materialise
 
@@ -28,7 +27,7 @@ _VECTOR = "__features"
 
 def class_indexes(df: DataFrame, label: str) -> DataFrame:
     """(label, index): classes in order, numbered from 0."""
-    return number_rows(df.select(label).distinct(), [label], "class_index", start=0)
+    return rank_values(df.select(label).distinct(), label, "class_index")
 
 
 def _indexed(df: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFrame, DataFrame]:

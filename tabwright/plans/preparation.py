@@ -88,14 +88,16 @@ def fit(
     state.date_formats = {c: f for c, f in structure.date_formats.items() if c in usable}
 
     raw = _typed(base, state)
-    n_rows, missing = _fit_missing(base, raw, state, missing_threshold, reports)
-    _fit_medians(raw, state)
+    n_rows, gaps = _fit_missing(base, raw, state, missing_threshold, reports)
+    raw = _typed(base, state)
+    _fit_medians(raw, state, gaps)
     filled = _filled(raw, state)
     _fit_categories(base, state, min_frequency, similarity_threshold, reports)
     numeric = [c for c in filled.columns if c not in state.categorical]
     _fit_skew(filled, numeric, state, skew_threshold, reports)
     unskewed = _unskewed(filled, state)
     quartiles = _fit_outliers(unskewed, numeric, state, n_rows, reports)
+    _complete_medians(filled, quartiles, state, n_rows)
     encoded = _encoded(_clipped(unskewed, state), state, spark)
     _fit_scaling(encoded, quartiles, state, corr_threshold, variance_threshold, reports)
     labelled = _finish(_encoded(_clipped(_unskewed(_filled(_typed(base, state, keep_label=True), state), state), state),
@@ -175,6 +177,7 @@ def _fit_missing(base, raw, state, threshold, reports):
         *[F.count(c).alias(f"p{i}") for i, c in enumerate(plain)],
         *[F.count(invalid_to_null(F.col(c))).alias(f"v{i}") for i, c in enumerate(plain) if c in state.categorical],
     ).first()
+    parts = raw.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in _date_columns(state)]).first()
     n = row["n"]
     missing = {c: n - row[f"p{i}"] for i, c in enumerate(plain)}
     entries = [
@@ -186,18 +189,28 @@ def _fit_missing(base, raw, state, threshold, reports):
     reports["dropped_sparse"] = [{"column": c, "missing_count": missing[c]} for c in state.dropped_sparse]
     state.numeric = [c for c in state.numeric if c not in state.dropped_sparse]
     state.categorical = [c for c in state.categorical if c not in state.dropped_sparse]
-    absent = {c: n - row[f"v{i}"] if c in state.categorical else missing[c] for i, c in enumerate(plain)
-              if c not in state.dropped_sparse}
-    state.indicators = [c for c in state.numeric if absent[c] > 0] + [c for c in state.categorical if absent[c] > 0]
-    return n, missing
+    gaps = {c: n - row[f"v{i}"] if c in state.categorical else missing[c] for i, c in enumerate(plain)
+            if c not in state.dropped_sparse}
+    state.indicators = [c for c in state.numeric if gaps[c] > 0] + [c for c in state.categorical if gaps[c] > 0]
+    gaps.update({c: n - parts[c] for c in _date_columns(state)})
+    return n, gaps
 
 
-def _fit_medians(raw: DataFrame, state: PrepState) -> None:
-    columns = [*state.numeric, *_date_columns(state)]
+def _fit_medians(raw: DataFrame, state: PrepState, gaps: dict[str, int]) -> None:
+    """Medians of the columns with gaps; the others follow from the quartile pass."""
+    columns = [c for c in (*state.numeric, *_date_columns(state)) if gaps[c] > 0]
     found = exact_quantiles(raw, columns, [0.5])
     state.medians = {c: (found[c][0] if found[c][0] is not None else 0.0) for c in columns}
 
 
+def _complete_medians(filled: DataFrame, quartiles: dict, state: PrepState, n_rows: int) -> None:
+    """Medians of the columns without gaps, which later batches may need."""
+    rest = [c for c in (*state.numeric, *_date_columns(state)) if c not in state.medians]
+    moved = [c for c in rest if c in state.skew]
+    found = exact_quantiles(filled, moved, [0.5], sizes=dict.fromkeys(moved, n_rows))
+    state.medians.update({c: found[c][0] if c in found else quartiles[c][1] for c in rest})
+
+
 def _filled(raw: DataFrame, state: PrepState) -> DataFrame:
     """Medians and "unknown" for missing values, indicators where fitting saw any."""
     out = []
@@ -282,7 +295,7 @@ def _unskewed(df: DataFrame, state: PrepState) -> DataFrame:
 
 
 def _fit_outliers(df, numeric, state, n_rows, reports):
-    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75])
+    quartiles = exact_quantiles(df, numeric, [0.25, 0.5, 0.75], sizes=dict.fromkeys(numeric, n_rows))
     found, treated = Z.outliers(df, quartiles, n_rows)
     state.bounds = treated
     reports["outliers"] = found
