@@ -13,6 +13,7 @@ from tabwright.operators import trees as R
 from tabwright.operators.columns import expand_array
 from tabwright.operators.density import density_hint
 from tabwright.plans.analysis import analyse
+from tabwright.plans.analysis import k_choice as explain_k
 from tabwright.session import materialise
 
 _WIDTH = 64
@@ -22,7 +23,6 @@ _LONG = ("(SELECT vec_id, label, 'e' || (i - 1) AS feature, CAST(embedding[i] AS
          f"(SELECT unnest(range(1, {_WIDTH + 1})) AS i))")
 _MEANS = f"(SELECT label, feature, avg(x) AS mean, count(*) AS size FROM {_LONG} GROUP BY label, feature)"
 _LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-_COST = 1e-9
 
 
 def embedded(spark, folder):
@@ -387,3 +387,10 @@ def supervised_report(spark, folder):
 def analysis_findings(spark, folder):
     """Every step on the parts table, ending in the table of findings."""
     return analyse(table(spark, folder, "part")).explanation["findings"]
+
+
+@query()
+def k_choice(spark, folder):
+    """The k used for the order lines beside the hinted one and its score."""
+    rows = table(spark, folder, "lineitem").select(*_LINE)
+    return explain_k(C.cluster_table(rows, use_density=False, max_k=6))

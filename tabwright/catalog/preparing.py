@@ -12,7 +12,7 @@ from tabwright.operators import statistics as Z
 from tabwright.operators.profile import detect_structure
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.plans import preparation as P
-from tabwright.session import materialise
+from tabwright.session import materialise, scratch_path
 
 _STATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -260,7 +260,10 @@ FROM part)"""
 _PART_COLUMNS = ["p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
-@query(f"WITH s AS {_PART_SOURCE} SELECT {_z({c: c for c in _PART_COLUMNS}, 's')} FROM s")
+_PART_SQL = f"WITH s AS {_PART_SOURCE} SELECT {_z({c: c for c in _PART_COLUMNS}, 's')} FROM s"
+
+
+@query(_PART_SQL)
 def prepare_part(spark, folder):
     """Three text columns encoded, two numbers, all scaled."""
     return _steady_all(P.fit(table(spark, folder, "part")).features)
@@ -348,3 +351,12 @@ def real_values(spark, folder):
         "p_partkey", P.real_value(F.col("p_size"), "p_size", state).cast("int").alias("p_size"),
         P.real_value(F.col("p_retailprice"), "p_retailprice", state).alias("p_retailprice"),
     )
+
+
+@query(_PART_SQL)
+def stored_state_replay(spark, folder):
+    """Fit, store the state, load it and replay it on the same table."""
+    parts = table(spark, folder, "part")
+    path = scratch_path(spark, "state")
+    P.fit(parts).state.save(spark, path)
+    return _steady_all(P.transform(parts, P.PrepState.load(spark, path)))

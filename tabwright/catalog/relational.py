@@ -343,3 +343,37 @@ def csv_round_trip(spark, folder):
 def sample_lineitem(spark, folder):
     """A seeded sample of 10,000 rows, or the whole table when it is smaller."""
     return sample_rows(table(spark, folder, "lineitem"), 10_000)
+
+
+@query("SELECT event_id, event_type, value, [user_id, user_id + 1] AS pair FROM events")
+def json_round_trip(spark, folder):
+    """Write records with a nested column as JSON and read them back."""
+    path = scratch_path(spark, "events-json")
+    rows = table(spark, folder, "events").select(
+        "event_id", "event_type", "value", F.array(F.col("user_id"), F.col("user_id") + 1).alias("pair")
+    )
+    writers.write_json(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("""
+SELECT o_orderkey, o_orderdate AS stamp, o_totalprice FROM orders WHERE o_orderkey % 6 <> 0 AND o_orderkey % 11 <> 0
+""")
+def valid_dates(spark, folder):
+    """Rows whose text date parses and whose amount is present."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 6 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"),
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice")).alias("o_totalprice"),
+    )
+    fmt = C.choose_date_formats(rows, ["text"])["text"]
+    stamp = C.parse_date(rows.schema["text"].dataType, F.col("text"), fmt)
+    return rows.select("o_orderkey", stamp.alias("stamp"), "o_totalprice").na.drop(subset=["stamp", "o_totalprice"])
+
+
+@query("""
+SELECT event_type AS feature, round(avg(value) + 1e-9, 5) AS importance FROM events GROUP BY 1 ORDER BY avg(value) DESC, 1 LIMIT 15
+""")
+def mean_importance(spark, folder):
+    rows = table(spark, folder, "events").select(F.col("event_type").alias("feature"), F.col("value").alias("importance"))
+    return G.mean_importance(rows, 15).withColumn("importance", steady("importance", 5))

@@ -9,7 +9,6 @@ characters are looked up only in rows that contain one of them.
 from __future__ import annotations
 
 import json
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -37,7 +36,7 @@ CSV_NULL_WORDS = [
 @lru_cache(maxsize=1)
 def _folds() -> tuple[str, str, str, dict[str, str]]:
     one_from, one_to, marks, several = [], [], [], {}
-    for code in range(128, sys.maxunicode + 1):
+    for code in range(128, 0x20000):  # later planes fold to no ASCII and hold no marks
         ch = chr(code)
         if unicodedata.category(ch) == "Cs":
             continue

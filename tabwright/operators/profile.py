@@ -138,7 +138,10 @@ def _scan(df, columns, texts):
     for i, c in enumerate(columns):
         aggs += [
             F.count(F.when(F.col(c).isNull(), 1)).alias(f"nulls{i}"),
-            F.approx_count_distinct(F.col(c), _RSD).alias(f"d{i}"),
+            # A sketch has one binary buffer; approx_count_distinct plans one per register word.
+            F.hll_sketch_estimate(
+                F.hll_sketch_agg(F.when(F.col(c).isNotNull(), F.xxhash64(c)), F.lit(12))
+            ).alias(f"d{i}"),
             F.max(_label_like(F.col(c), df.schema[c].dataType)).alias(f"t{i}"),
         ]
         if c in texts:

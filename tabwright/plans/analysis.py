@@ -16,7 +16,6 @@ from tabwright.operators import explain as X
 from tabwright.operators import findings as N
 from tabwright.operators import isolation as A
 from tabwright.operators.aggregates import cross_table
-from tabwright.operators.columns import numeric_columns
 from tabwright.operators.integrate import unify
 from tabwright.operators.profile import Structure, detect_structure
 from tabwright.operators.sampling import sample_rows
@@ -132,7 +131,3 @@ def k_choice(clusters: C.Clustering) -> DataFrame:
         [(clusters.k, clusters.k_hint, clusters.best_score, clusters.scores.get(clusters.k_hint), bool(clusters.scores))],
         "k int, hinted_k int, best_score double, score_at_hint double, searched boolean",
     )
-
-
-def record_columns(analysis: Analysis) -> list[str]:
-    return numeric_columns(analysis.clustering.rows, exclude=["cluster"])

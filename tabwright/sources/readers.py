@@ -57,7 +57,14 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ut
 
 def _read_text(spark, path, sep, encoding):
     reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    breaks = _has_line_breaks(spark, path, encoding)
+    return reader.option("quote", '"').option("escape", '"').option("multiLine", breaks).csv(path)
+
+
+def _has_line_breaks(spark, path, encoding) -> bool:
+    """Whether some quoted value spans lines: only then must files be read unsplit."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return not spark.read.option("encoding", encoding).text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
 
 
 def nulls_by_word(df: DataFrame) -> DataFrame:
