@@ -320,11 +320,10 @@ def _encoded(df: DataFrame, state: PrepState, spark, match_new: bool = False) ->
     if not columns:
         return df
     table = state.categories(spark)
-    if match_new:
-        table = table.unionByName(_new_values(df, columns, table, state))
-        few = []
-    else:
-        few = [c for c in columns if state.value_counts[c] <= _LITERAL_VALUES]
+    new = _new_values(df, columns, table, state) if match_new else None
+    few = [c for c in columns if state.value_counts[c] <= _LITERAL_VALUES and new is None]
+    if new is not None:
+        table = table.unionByName(new)
     codes: dict[str, Column] = {}
     if few:
         known: dict[str, list] = {c: [] for c in few}
@@ -347,14 +346,17 @@ def _encoded(df: DataFrame, state: PrepState, spark, match_new: bool = False) ->
     )
 
 
-def _new_values(df, columns, table, state) -> DataFrame:
-    """Codes of values not seen when fitting that are close to a reference."""
+def _new_values(df, columns, table, state) -> DataFrame | None:
+    """Codes of values not seen when fitting that are close to a reference; None if there are none."""
     spark = df.sparkSession
     seen = df.select(*columns).unpivot([], columns, "column", "value").distinct()
-    fresh = seen.join(table.select("column", "value"), ["column", "value"], "left_anti")
+    fresh = materialise(seen.join(table.select("column", "value"), ["column", "value"], "left_anti"), "fresh")
+    if fresh.isEmpty():
+        return None
     fixes = K.best_references(fresh, state.references(spark), state.options["similarity_threshold"])
     classes = table.select("column", "corrected", "code").distinct()
-    return fixes.join(classes, ["column", "corrected"]).select("column", "value", "corrected", "code")
+    found = fixes.join(classes, ["column", "corrected"]).select("column", "value", "corrected", "code")
+    return materialise(found, "matched")
 
 
 def _fit_scaling(encoded, quartiles, state, corr_threshold, variance_threshold, reports) -> None:
