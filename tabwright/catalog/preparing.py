@@ -96,7 +96,7 @@ def _outlier_sql(column, source):
 SELECT '{column}' AS "column", round(lo, 3) AS lower_bound, round(hi, 3) AS upper_bound,
   count(*) FILTER ({column} < lo OR {column} > hi) AS outlier_count,
   round(count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*), 2) AS outlier_ratio,
-  CASE WHEN count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) > 15 THEN 'Flagged only'
+  CASE WHEN count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) > 15 THEN 'Flagged only - delegated to Isolation Forest'
        WHEN count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) >= 5 THEN 'Winsorized'
        ELSE 'None' END AS action
 FROM {source}, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (

@@ -115,7 +115,7 @@ def label_candidates(spark, folder):
 
 
 @query(f"""
-SELECT "column", CASE WHEN is_label THEN 'possible label' ELSE 'identifier' END AS exclusion_reason
+SELECT "column", CASE WHEN is_label THEN '{P.LABEL_REASON}' ELSE '{P.ID_REASON}' END AS exclusion_reason
 FROM ({profile_sql('orders', _COLUMNS['orders'])}) WHERE is_excluded
 """)
 def excluded_columns(spark, folder):

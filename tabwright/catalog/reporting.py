@@ -33,7 +33,7 @@ def cluster_balance(spark, folder):
 
 @query(f"""
 SELECT count(*) AS total_rows, CAST(sum(is_anomaly) AS BIGINT) AS anomaly_count, round(sum(is_anomaly) * 100.0 / count(*), 2) AS anomaly_ratio,
- CASE WHEN anomaly_ratio >= 10 THEN 'très élevé' WHEN anomaly_ratio >= 5 THEN 'élevé' WHEN anomaly_ratio >= 1 THEN 'modéré' ELSE 'faible' END AS label,
+ CASE WHEN anomaly_ratio >= 10 THEN 'critique' WHEN anomaly_ratio >= 5 THEN 'élevé' WHEN anomaly_ratio >= 1 THEN 'modéré' ELSE 'faible' END AS label,
  CASE WHEN anomaly_ratio >= 10 THEN 'danger' WHEN anomaly_ratio >= 5 THEN 'warning' WHEN anomaly_ratio >= 1 THEN 'neutral' ELSE 'success' END AS tone
 FROM {_SCORED}
 """)
@@ -139,8 +139,8 @@ def _metrics(spark, folder):
 
 
 @query(f"""
-SELECT round(silhouette + 1e-9, 6) AS silhouette, CASE WHEN silhouette >= 0.5 THEN 'très bonne' WHEN silhouette >= 0.25 THEN 'correcte'
-  WHEN silhouette >= 0.1 THEN 'faible' ELSE 'très faible' END AS label, CASE WHEN silhouette >= 0.5 THEN 'success' WHEN silhouette >= 0.25 THEN 'neutral'
+SELECT round(silhouette + 1e-9, 6) AS silhouette, CASE WHEN silhouette >= 0.5 THEN 'excellente' WHEN silhouette >= 0.25 THEN 'correcte'
+  WHEN silhouette >= 0.1 THEN 'faible' ELSE 'très faible / clusters non séparés' END AS label, CASE WHEN silhouette >= 0.5 THEN 'success' WHEN silhouette >= 0.25 THEN 'success'
   WHEN silhouette >= 0.1 THEN 'warning' ELSE 'danger' END AS tone FROM {_METRICS}
 """)
 def quality_bands(spark, folder):

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 # Fixed values: (lower bound, label, tone), first match wins.
 SILHOUETTE_BANDS = [
-    (0.50, "très bonne", "success"),
-    (0.25, "correcte", "neutral"),
+    (0.50, "excellente", "success"),
+    (0.25, "correcte", "success"),
     (0.10, "faible", "warning"),
-    (float("-inf"), "très faible", "danger"),
+    (float("-inf"), "très faible / clusters non séparés", "danger"),
 ]
 NOISE_BANDS = [
     (60.0, "critique", "danger"),
@@ -21,7 +21,7 @@ NOISE_BANDS = [
     (float("-inf"), "faible", "success"),
 ]
 ANOMALY_RATE_BANDS = [
-    (10.0, "très élevé", "danger"),
+    (10.0, "critique", "danger"),
     (5.0, "élevé", "warning"),
     (1.0, "modéré", "neutral"),
     (float("-inf"), "faible", "success"),

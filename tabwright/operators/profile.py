@@ -33,8 +33,9 @@ DATE_SHAPE = (
 )
 UUID_SHAPE = r"(?i)^[a-f0-9]{8}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{4}-[a-f0-9]{12}$"
 
-ID_REASON = "identifier"
-LABEL_REASON = "possible label"
+# Why a column is left out.
+ID_REASON = "Identifiant détecté automatiquement"
+LABEL_REASON = "Label potentiel détecté automatiquement"
 
 _RSD = 0.02
 _DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from tabwright.functions import scalars as S
 from tabwright.session import spread
 
+# What is done about the outliers of a column.
 WINSORISED = "Winsorized"
-FLAGGED = "Flagged only"
+FLAGGED = "Flagged only - delegated to Isolation Forest"
 UNTREATED = "None"
 
 
