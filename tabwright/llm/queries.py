@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact, simhash
+from tabwright.llm import exact, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +41,10 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts over all documents."""
     return exact.exact_duplicates(_documents(spark, folder)).drop("uid")
+
+
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels outside the held-out fifth."""
+    docs = _documents(spark, folder)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
