@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact, simhash, toxicity
+from tabwright.llm import exact, packing, simhash, toxicity
+from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +22,13 @@ def query(sql: str | None = None):
     return register
 
 
+def byte_bpe() -> str:
+    """Content of the 50k byte-level BPE tokenizer file."""
+    import public_tokenizers
+
+    return read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -48,3 +56,9 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fifth."""
     docs = _documents(spark, folder)
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+@query()
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(_documents(spark, folder), byte_bpe())
