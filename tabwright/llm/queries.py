@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import exact, packing, simhash, toxicity
+from tabwright.llm import contamination, exact, packing, simhash, toxicity
 from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
@@ -51,6 +51,24 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(_documents(spark, folder)).drop("uid")
 
 
+@query(r"""
+WITH texts AS (
+  SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, regexp_extract_all(lower(text), '[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+') AS ws FROM texts
+), grams AS (
+  SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i + 4], ' '))) AS gram
+  FROM words WHERE len(ws) > 0
+), sizes AS (SELECT id, count(*) AS item_size FROM grams WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, q.id AS item_id, count(*) AS shared, any_value(item_size) AS item_size, count(*) / any_value(item_size) AS containment
+FROM grams d JOIN grams q ON d.gram = q.gram AND d.kind = 0 AND q.kind = 1 JOIN sizes s ON s.id = q.id
+GROUP BY d.id, q.id HAVING count(*) >= 0.8 * any_value(item_size)
+""")
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents that contain at least four fifths of a benchmark item's word shingles, with the item."""
+    return contamination.contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fifth."""
