@@ -18,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.words import WordHashes, shingle_hashes
+
 #: ASCII punctuation separates words like white space does.
 _SPACED = bytes(b if b > 126 or chr(b).isalnum() or b < 9 or 13 < b < 32 else 32 for b in range(256))
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _BITS = 20
 
 
@@ -32,30 +32,6 @@ def plain_words(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash, remembered within a task up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def shingle_hashes(ws: list[bytes], width: int, known: dict) -> np.ndarray:
-    """One hash per shingle of ``width`` words; fewer words: one for the whole sequence."""
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
-    w = min(width, len(ws))
-    out = np.full(len(ws) - w + 1, w, np.uint64)
-    for i in range(w):
-        out = (out * _MIX[1]) ^ (h[i : len(ws) - w + 1 + i] + _MIX[0])
-        out ^= out >> np.uint64(29)
-    out *= _MIX[2]
-    return out ^ (out >> np.uint64(32))
-
-
 def distinct_shingles(ws: list[bytes], width: int) -> set[bytes]:
     if len(ws) < width:
         return {b" ".join(ws)} if ws else set()
@@ -77,7 +53,7 @@ class ItemIndex:
     """Sketches of a block of items, looked up by hash, and the items' shingles for the exact comparison."""
 
     def __init__(self, items: list[tuple], width: int, threshold: float):
-        self.width, self.threshold, self.known = width, threshold, _WordHashes()
+        self.width, self.threshold, self.known = width, threshold, WordHashes()
         self.items = []
         holders = defaultdict(list)
         for item_id, text in items:

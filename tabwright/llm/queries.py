@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import contamination, exact, packing, simhash, toxicity
+from tabwright.llm import contamination, exact, packing, repeats, simhash, toxicity
 from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
@@ -80,3 +80,9 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 tokens."""
     return packing.pack(_documents(spark, folder), byte_bpe())
+
+
+@query()
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the passages of 50 words and more that an earlier document has."""
+    return repeats.repeated_words(_documents(spark, folder))

@@ -56,3 +56,8 @@ def rows_of(docs: DataFrame, uid: str | None = None) -> DataFrame:
     return docs.select(
         number.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
+
+
+def broadcast_if_small(df: DataFrame, size: int, limit: int) -> DataFrame:
+    """``df`` as the broadcast side of a join if its counted ``size`` stays within ``limit``; else Spark shuffles."""
+    return F.broadcast(df) if size <= limit else df

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import xxhash
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -18,3 +22,27 @@ def shingles(ws: list[bytes], width: int) -> list[bytes]:
     if len(ws) < width:
         return [b" ".join(ws)] if ws else []
     return list(map(b" ".join, zip(*(ws[i:] for i in range(width)))))
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, remembered within a task up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = value = xxhash.xxh64_intdigest(word)
+        return value
+
+
+def shingle_hashes(ws: list[bytes], width: int, known: dict) -> np.ndarray:
+    """One hash per shingle of ``width`` words; fewer words: one for the whole sequence."""
+    if not ws:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(known.__getitem__, ws), np.uint64, len(ws))
+    w = min(width, len(ws))
+    out = np.full(len(ws) - w + 1, w, np.uint64)
+    for i in range(w):
+        out = (out * _MIX[1]) ^ (h[i : len(ws) - w + 1 + i] + _MIX[0])
+        out ^= out >> np.uint64(29)
+    out *= _MIX[2]
+    return out ^ (out >> np.uint64(32))
