@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import contamination, exact, packing, repeats, simhash, toxicity
+from tabwright.llm import contamination, exact, links, packing, repeats, simhash, toxicity
 from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
@@ -86,3 +86,18 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the passages of 50 words and more that an earlier document has."""
     return repeats.repeated_words(_documents(spark, folder))
+
+
+RULES = [
+    links.Rule("allow", "org", "/"),
+    links.Rule("block", "example.org", "/es/"),
+    links.Rule("block", "example.org", "/en/1"),
+    links.Rule("allow", "com", "/fr/"),
+    links.Rule("block", "com", "/de/"),
+]
+
+
+@query()
+def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return links.judge(spark.read.parquet(f"{folder}/pages.parquet"), RULES)
