@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import contamination, exact, links, packing, repeats, simhash, toxicity
+from tabwright.llm import contamination, exact, links, packing, pii, repeats, simhash, toxicity, wavelet
 from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
@@ -101,3 +101,17 @@ RULES = [
 def op9_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     """Verdicts on the urls of all pages."""
     return links.judge(spark.read.parquet(f"{folder}/pages.parquet"), RULES)
+
+
+@query()
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents."""
+    found = pii.find(_documents(spark, folder))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
+@query()
+def op6_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written as wavelet-matrix files and read back."""
+    return wavelet.token_table(_documents(spark, folder), byte_bpe())
