@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import contamination, exact, links, packing, pii, repeats, simhash, toxicity, wavelet
+from tabwright.llm import contamination, exact, links, packing, pii, quality, repeats, simhash, toxicity, wavelet
 from tabwright.llm.tokens import read_tokenizer
 
 QUERIES: dict = {}
@@ -69,6 +69,14 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+@query()
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades of all documents: 0 poor, 1 good but toxic, 2 good; learned from the labels outside the held-out fifth."""
+    docs, labels = _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    return quality.grade(docs, quality.fit(docs, ratings, 3))
+
+
 @query()
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fifth."""
