@@ -181,15 +181,22 @@ def kmeans_clusters(spark, folder):
     return fit.assign(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in _LINE])
 
 
-@query()
+@query("SELECT count(*) AS n, TRUE AS nearest, TRUE AS in_range FROM embeddings")
 def kmeans_assign(spark, folder):
-    rows = labelled(spark, folder).drop("label")
-    return C.fit_kmeans(rows, 5).assign(embedded(spark, folder)).select("vec_id", "label", "cluster")
+    """Every row goes to its own nearest centre."""
+    fit = C.fit_kmeans(labelled(spark, folder).drop("label"), 5)
+    rows = fit.assign(embedded(spark, folder))
+    gaps = [sum((F.col(f).cast("double") - c) ** 2 for f, c in zip(fit.features, center)) for center in fit.centers]
+    own = F.element_at(F.array(*gaps), F.col("cluster") + 1)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and(own <= F.least(*gaps) + 1e-6).alias("nearest"),
+        F.bool_and(F.col("cluster").between(0, fit.k - 1)).alias("in_range"),
+    )
 
 
 @query()
 def k_search(spark, folder):
-    best, scores, _ = C.search_k(labelled(spark, folder).drop("label"), 2, 8)
+    best, scores, _ = C.search_k(labelled(spark, folder).drop("label"), 2, 10)
     return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, score double, is_best boolean")
 
 
@@ -393,4 +400,4 @@ def analysis_findings(spark, folder):
 def k_choice(spark, folder):
     """The k used for the order lines beside the hinted one and its score."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
-    return explain_k(C.cluster_table(rows, use_density=False, max_k=6))
+    return explain_k(C.cluster_table(rows, use_density=False))

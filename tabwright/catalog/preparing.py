@@ -93,9 +93,9 @@ def yeo_johnson_fixed(spark, folder):
 
 def _outlier_sql(column, source):
     return f"""
-SELECT '{column}' AS "column", round(lo, 3) AS lower_bound, round(hi, 3) AS upper_bound,
+SELECT '{column}' AS "column", round(lo + 1e-9, 3) AS lower_bound, round(hi + 1e-9, 3) AS upper_bound,
   count(*) FILTER ({column} < lo OR {column} > hi) AS outlier_count,
-  round(count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*), 2) AS outlier_ratio,
+  round(count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) + 1e-9, 2) AS outlier_ratio,
   CASE WHEN count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) > 15 THEN 'Flagged only - delegated to Isolation Forest'
        WHEN count(*) FILTER ({column} < lo OR {column} > hi) * 100.0 / count(*) >= 5 THEN 'Winsorized'
        ELSE 'None' END AS action
@@ -106,11 +106,13 @@ GROUP BY lo, hi"""
 
 def _outliers(spark, rows, columns):
     found, treated = Z.outliers(rows, exact_quantiles(rows, columns, [0.25, 0.5, 0.75]), rows.count())
-    return spark.createDataFrame(
-        [(r["column"], r["lower_bound"], r["upper_bound"], r["outlier_count"], r["outlier_ratio"],
-          treated[r["column"]]["action"]) for r in found],
+    named = {r["column"]: treated[r["column"]] for r in found}
+    report = spark.createDataFrame(
+        [(r["column"], named[r["column"]]["lower"], named[r["column"]]["upper"], r["outlier_count"], named[r["column"]]["ratio"],
+          named[r["column"]]["action"]) for r in found],
         "column string, lower_bound double, upper_bound double, outlier_count long, outlier_ratio double, action string",
     )
+    return report.withColumns({c: steady(c, d) for c, d in (("lower_bound", 3), ("upper_bound", 3), ("outlier_ratio", 2))})
 
 
 @query(" UNION ALL ".join(_outlier_sql(c, "lineitem") for c in _STATS))
@@ -266,7 +268,10 @@ _PART_SQL = f"WITH s AS {_PART_SOURCE} SELECT {_z({c: c for c in _PART_COLUMNS},
 @query(_PART_SQL)
 def prepare_part(spark, folder):
     """Three text columns encoded, two numbers, all scaled."""
-    return _steady_all(P.fit(table(spark, folder, "part")).features)
+    return _steady_all(P.fit(table(spark, folder, "part"), keep=_PART_COLUMNS, allow_high_risk=True, min_frequency=1).features)
+
+
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate"]
 
 
 _LINE_SQL = f"""
@@ -278,7 +283,7 @@ SELECT {_z({**{c: c for c in ('l_orderkey', 'l_partkey', 'l_suppkey', 'l_quantit
 
 @query(_LINE_SQL)
 def prepare_lineitem(spark, folder):
-    return _steady_all(P.fit(table(spark, folder, "lineitem")).features)
+    return _steady_all(P.fit(table(spark, folder, "lineitem"), keep=_LINE_COLUMNS, allow_high_risk=True).features)
 
 
 @query("""
@@ -358,5 +363,5 @@ def stored_state_replay(spark, folder):
     """Fit, store the state, load it and replay it on the same table."""
     parts = table(spark, folder, "part")
     path = scratch_path(spark, "state")
-    P.fit(parts).state.save(spark, path)
+    P.fit(parts, keep=_PART_COLUMNS, allow_high_risk=True, min_frequency=1).state.save(spark, path)
     return _steady_all(P.transform(parts, P.PrepState.load(spark, path)))

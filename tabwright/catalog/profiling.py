@@ -105,9 +105,8 @@ def structure_summary(spark, folder):
 @query(f"""
 SELECT p.column_index, p."column", p.label_score, d.n_distinct
 FROM ({profile_sql('lineitem', _COLUMNS['lineitem'])}) p JOIN (
-  SELECT 'l_linenumber' AS "column", count(DISTINCT l_linenumber) AS n_distinct FROM lineitem
-  UNION ALL SELECT 'l_linestatus', count(DISTINCT l_linestatus) FROM lineitem
-  UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem) d ON p."column" = d."column"
+  {' UNION ALL '.join(f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS n_distinct FROM lineitem""" for c in _COLUMNS['lineitem'])}
+  ) d ON p."column" = d."column"
 WHERE p.is_label
 """)
 def label_candidates(spark, folder):

@@ -118,8 +118,8 @@ def long_group_means(df: DataFrame, group: str, features: Sequence[str]) -> Data
 
 
 def group_stats(df: DataFrame, group: str, feature: str) -> DataFrame:
-    """Median, mean, spread, range and count of a feature per group."""
-    x = F.col(feature)
+    """Median, mean, spread, range and count of a feature per group; rows without a group are left out."""
+    df, x = df.filter(F.col(group).isNotNull()), F.col(feature)
     basic = df.groupBy(group).agg(
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("minimum"),
         F.max(x).alias("maximum"), F.count(x).alias("count"),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tabwright.functions.scalars import percent
+from tabwright.functions.scalars import finite_or_zero, percent
 from tabwright.operators.aggregates import long_group_means
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.density import DensityHint, density_hint
-from tabwright.operators.sampled import restarts, silhouettes
+from tabwright.operators.sampled import silhouettes
 from tabwright.operators.sampling import sample_rows
 from tabwright.session import materialise, spread
 
+#: From here on the report calls a table large; nothing else depends on it.
 LARGE_ROWS = 100_000
 _VECTOR = "__features"
 
@@ -45,14 +47,14 @@ class KMeansFit:
         return len(self.centers)
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add ``cluster``, the nearest centre of each row; works on streams too."""
+        """Add ``cluster``, the nearest centre of each row, missing values as 0; works on streams too."""
         centers = np.array(self.centers)
 
         @F.pandas_udf("int")
         def nearest(points: pd.DataFrame) -> pd.Series:
             return pd.Series(_squares(points.to_numpy("float64"), centers).argmin(1).astype("int32"))
 
-        return df.withColumn("cluster", nearest(F.struct(*self.features)))
+        return df.withColumn("cluster", nearest(F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in self.features])))
 
     def center_table(self, spark) -> DataFrame:
         """(cluster, feature, center): k times the number of features rows."""
@@ -74,53 +76,30 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2 * x @ centers.T, 0.0)
 
 
-def fit_kmeans(df: DataFrame, k: int, seed: int = 42, inits: int = 10, n_rows: int | None = None,
-               max_iter: int = 100, start_sample: int = 10_000, tol: float = 1e-4) -> KMeansFit:
-    """k-means over every row from the best of several starts on a sample.
+def fit_kmeans(df: DataFrame, k: int, seed: int = 42, inits: int = 2, n_rows: int | None = None,
+               max_iter: int = 100, tol: float = 1e-4) -> KMeansFit:
+    """k-means over every row, the cheapest of ``inits`` runs from k-means|| starts.
 
-    The starts run side by side on a bounded sample. From the cheapest one, each
-    iteration is one pass over the table: a task sums its rows per nearest
-    centre, so k rows per task are shuffled. ``k`` never exceeds the row count.
+    Missing and infinite values count as 0, as in ``numeric_matrix``. ``k`` never
+    exceeds the row count; fewer distinct rows give fewer clusters.
     """
     features = numeric_columns(df)
-    spark = df.sparkSession
     n = df.count() if n_rows is None else n_rows
     k = max(1, min(k, n))
-    points, _ = _points(sample_rows(df.select(*features), start_sample, seed, n), features)
-    start = restarts(spark, points, [("best", k, seed + i) for i in range(inits)])["best"]
-    centers = np.array([points[start == c].mean(0) if (start == c).any() else points[c] for c in range(k)])
-    spread = float(points.var(0).mean()) or 1.0
-    for step in range(1, max_iter + 1):
-        sums, sizes, cost = _lloyd_pass(df.select(*features), centers)
-        moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
-        shift = float(((moved - centers) ** 2).sum(1).max())
-        centers = moved
-        if shift <= tol * spread:
-            break
-    return KMeansFit(features, centers.tolist(), sizes.astype(int).tolist(), cost, step)
-
-
-def _lloyd_pass(df: DataFrame, centers: np.ndarray):
-    k, width = centers.shape
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, sizes, costs = np.zeros((k, width)), np.zeros(k, "int64"), np.zeros(k)
-        for batch in batches:
-            x = batch.to_numpy("float64")
-            squares = _squares(x, centers)
-            own = squares.argmin(1)
-            member = np.eye(k)[own]
-            sums += member.T @ x
-            sizes += np.bincount(own, minlength=k)
-            costs += np.bincount(own, weights=squares.min(1), minlength=k)
-        yield pd.DataFrame({"cluster": np.arange(k), "n": sizes, "cost": costs, "sums": list(sums)})
-
-    parts = df.mapInPandas(partial, "cluster int, n long, cost double, sums array<double>")
-    totals = parts.groupBy("cluster").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"),
-        *[F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(width)],
-    ).toPandas().sort_values("cluster")  # k rows
-    return (totals[[f"s{j}" for j in range(width)]].to_numpy(), totals["n"].to_numpy(), float(totals["cost"].sum()))
+    rows = numeric_matrix(df.select(*features))
+    if k == 1:
+        r = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features)]).first()
+        center = [r[f"m{i}"] or 0.0 for i in range(len(features))]
+        return KMeansFit(features, [center], [n], n * sum(r[f"v{i}"] or 0.0 for i in range(len(features))), 0)
+    vectors = assemble(rows, features).select(_VECTOR).persist()
+    best = None
+    for i in range(inits):
+        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=_VECTOR).fit(vectors)
+        if best is None or model.summary.trainingCost < best.summary.trainingCost:
+            best = model
+    vectors.unpersist()
+    centers = [c.tolist() for c in best.clusterCenters()]
+    return KMeansFit(features, centers, list(best.summary.clusterSizes), best.summary.trainingCost, best.summary.numIter)
 
 
 def _points(df: DataFrame, features: Sequence[str], *extra: str):
@@ -171,23 +150,21 @@ def davies_bouldin(df: DataFrame, label: str = "cluster") -> DataFrame:
     return worst.agg(F.round(F.avg("w"), 4).alias("davies_bouldin"))
 
 
-def search_k(df: DataFrame, low: int = 2, high: int = 10, sample: int = 10_000, seed: int = 42,
-             n_rows: int | None = None, inits: int = 10) -> tuple[int, dict[int, float], float | None]:
-    """Best k by silhouette on a bounded sample; the smallest wins a tie.
+def search_k(df: DataFrame, low: int = 2, high: int = 10, seed: int = 42,
+             n_rows: int | None = None) -> tuple[int, dict[int, float], float | None]:
+    """Best k by the squared-distance silhouette of all rows; the smallest wins a tie.
 
-    All (k, start) runs are independent and go to the tasks at once, and one
-    pass over the sample's distances scores every k.
+    Each k is a distributed fit over every row. A k that leaves a single cluster gets no score.
     """
     n = df.count() if n_rows is None else n_rows
     if n < 3:
         return 1, {}, None
-    spark = df.sparkSession
-    points, _ = _points(sample_rows(df, sample, seed, n), numeric_columns(df))
     low = max(2, low)
-    high = max(low, min(high, len(points) - 1))
-    grid = [(str(k), k, seed + i) for k in range(low, high + 1) for i in range(inits)]
-    found = silhouettes(spark, points, restarts(spark, points, grid))
-    scores = {k: found[str(k)] for k in range(low, high + 1) if str(k) in found}
+    scores = {}
+    for k in range(low, max(low, min(high, n - 1)) + 1):
+        fit = fit_kmeans(df, k, seed, 1, n)
+        if fit.k > 1 and sum(size > 0 for size in fit.sizes) > 1:
+            scores[k] = round(silhouette_squared(fit.assign(df)), 4)
     if not scores:
         return low, {}, None
     best = max(scores, key=lambda k: (scores[k], -k))
@@ -270,20 +247,18 @@ def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None) -> DataF
     return totals.select(*keys, F.round(F.coalesce(ari, F.lit(1.0)), 4).alias("ari"))
 
 
-def cluster_stability(df: DataFrame, label: str, k: int, runs: int = 5, sample: int = 5_000,
-                      seed: int = 42, n_rows: int | None = None) -> list[float]:
-    """Agreement of re-seeded runs on a bounded sample with the given clusters."""
+def cluster_stability(df: DataFrame, label: str, k: int, runs: int = 5, seed: int = 42, n_rows: int | None = None) -> list[float]:
+    """Agreement of re-seeded runs over all rows with the given clusters."""
     if k < 2:
         return []
-    spark = df.sparkSession
     features = numeric_columns(df, exclude=[label])
-    points, local = _points(sample_rows(df.select(label, *features), sample, seed, n_rows), features, label)
-    grid = [(str(r), k, 1000 * (seed + r) + i) for r in range(1, runs + 1) for i in range(5)]
-    found = restarts(spark, points, grid)
-    rerun = pd.DataFrame({"given": local[label], **{f"run{r}": found[str(r)] for r in range(1, runs + 1)}})
-    names = [f"run{r}" for r in range(1, runs + 1)]
-    table = spark.createDataFrame(rerun).unpivot(["given"], names, "run", "label")
-    return [r["ari"] for r in adjusted_rand(table, "given", "label", by="run").orderBy("run").collect()]
+    points = df.select(*features)
+    agreed = []
+    for run in range(1, runs + 1):
+        again = fit_kmeans(points, k, 1000 * (seed + run), 2, n_rows)
+        table = again.assign(df.select(F.col(label).alias("given"), *features)).select("given", "cluster")
+        agreed.append(adjusted_rand(table, "given", "cluster").first()["ari"])
+    return agreed
 
 
 @dataclass
@@ -328,43 +303,32 @@ def cluster_table(
     min_cluster_size: int = 100,
     max_k: int = 10,
     seed: int = 42,
-    large_rows: int = LARGE_ROWS,
     density_sample: int = 30_000,
-    pca_sample: int = 10_000,
-    metrics_sample: int = 10_000,
     high_noise: float = 40.0,
     window: int = 1,
 ) -> Clustering:
-    """Density hint, silhouette search around it, k-means on every row, measures.
+    """Density hint, silhouette search around it, k-means and measures on every row.
 
-    One distributed k-means serves every size; from ``large_rows`` on only the
-    density hint moves to a sample.
+    Only the density hint, which compares rows pairwise, reads a sample of ``density_sample`` rows.
     """
     x = materialise(spread(numeric_matrix(df)), "features")
     n = x.count()
-    large = n >= large_rows
-    if use_density:
-        points = sample_rows(x, density_sample, seed, n) if large else x
-        hint = density_hint(points, min_cluster_size)
-    else:
-        hint = DensityHint(None, None, None)
+    hint = density_hint(sample_rows(x, density_sample, seed, n), min_cluster_size) if use_density else DensityHint(None, None, None)
     k_hint = hinted_k(hint.n_clusters, default_k, 2, max_k)
     usable = hint.n_clusters is not None and hint.n_clusters >= 2
     scores, best_score, k = {}, None, k_hint
     if search and n >= 3:
         low, high = (max(2, k_hint - window), min(max_k, k_hint + window)) if usable else (2, max_k)
-        k, scores, best_score = search_k(x, low, high, metrics_sample, seed, n)
+        k, scores, best_score = search_k(x, low, high, seed, n)
     fit = fit_kmeans(x, k, seed, n_rows=n)
     rows = materialise(fit.assign(x), "clustered")
-    measured = materialise(sample_rows(rows, metrics_sample, seed, n), "measured")
-    size = min(n, metrics_sample)
-    sil = silhouette(measured, "cluster", metrics_sample, seed, n_rows=size)
-    db = davies_bouldin(measured).first()[0] if sil is not None else None
+    several = sum(size > 0 for size in fit.sizes) > 1
+    sil = round(silhouette_squared(rows), 4) if several else None
+    db = davies_bouldin(rows).first()[0] if several else None
     return Clustering(
         rows=rows, fit=fit, k=fit.k, hint=hint, k_hint=k_hint, scores=scores, best_score=best_score,
-        silhouette=sil, davies_bouldin=db, metrics_rows=size if sil is not None else 0,
-        high_noise=hint.noise_ratio is not None and hint.noise_ratio >= high_noise, is_large=large,
-        algorithm="MiniBatchKMeans" if large else "KMeans", profile=profile_clusters(rows),
-        pca=pca_2d(sample_rows(rows, pca_sample, seed, n), ["cluster"]),
+        silhouette=sil, davies_bouldin=db, metrics_rows=n if several else 0,
+        high_noise=hint.noise_ratio is not None and hint.noise_ratio >= high_noise, is_large=n >= LARGE_ROWS,
+        algorithm="KMeans", profile=profile_clusters(rows), pca=pca_2d(rows, ["cluster"]),
         options={"max_k": max_k, "min_cluster_size": min_cluster_size, "window": window},
     )

@@ -137,13 +137,19 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
 
 def clean(df: DataFrame) -> DataFrame:
     """Drop empty rows, empty columns and repeated rows."""
-    return drop_empty_columns(drop_empty_rows(nans_to_null(df))).dropDuplicates()
+    return drop_empty_columns(drop_empty_rows(nans_to_null(plain_numbers(df)))).dropDuplicates()
+
+
+def plain_numbers(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, short and byte integers as int, so that every step sees the same few number types."""
+    kinds = {T.DecimalType: "double", T.ShortType: "int", T.ByteType: "int"}
+    return df.select(*[F.col(f.name).cast(kinds[type(f.dataType)]).alias(f.name) if type(f.dataType) in kinds else F.col(f.name)
+                       for f in df.schema.fields])
 
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """Integer and float columns; decimals, short and boolean types are not numeric roles."""
-    kinds = (T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
-    return [f.name for f in df.schema.fields if isinstance(f.dataType, kinds) and f.name not in exclude]
+    """Integer, float and decimal columns of any width; booleans are no numbers."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in exclude]
 
 
 def numeric_matrix(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

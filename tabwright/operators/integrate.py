@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.operators.columns import drop_repeated_columns, normalise_name, standardise_source
 from tabwright.operators.quantiles import grouped_quantiles
@@ -178,8 +179,19 @@ def unify(data: DataFrame | Mapping[str, DataFrame], config: Mapping | None = No
 
 
 def new_rows(target: DataFrame, pending: DataFrame, key: str) -> DataFrame:
-    """Pending rows whose key is not in the target; one row per new key."""
-    return pending.join(target.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+    """Pending rows whose key is not in the target; one row per new key, the first by its other columns.
+
+    NULL is a key like any other. Maps and other types without an order don't take part in choosing.
+    """
+    known = target.select(F.col(key).alias("__known")).distinct()
+    fresh = pending.join(known, F.col(key).eqNullSafe(F.col("__known")), "left_anti")
+    plain = [f.name for f in pending.schema.fields if f.name != key and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    others = [c for c in pending.columns if c != key]
+    if not others:
+        return fresh.distinct()
+    order = F.struct(*(plain or [F.lit(0).alias("none")]))
+    chosen = fresh.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("__row"))
+    return chosen.select(*[F.col(key) if c == key else F.col("__row")[c].alias(c) for c in pending.columns])
 
 
 def append_report(target: DataFrame, fresh: DataFrame) -> DataFrame:

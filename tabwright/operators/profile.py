@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators.aggregates import distinct_counts
-from tabwright.operators.columns import DATE_FORMATS, numeric_columns
+from tabwright.operators.columns import DATE_FORMATS, numeric_columns, plain_numbers
 from tabwright.session import spread
 
 # Words in column names and values that mark a role.
@@ -105,7 +105,7 @@ def detect_structure(df: DataFrame, id_ratio: float = 0.95) -> Structure:
     decision is near its threshold, where the count is small, or where the
     column is reported as a label; elsewhere ``n_distinct`` stays null.
     """
-    df = spread(df)
+    df = spread(plain_numbers(df))
     columns = df.columns
     types = {f.name: f.dataType for f in df.schema.fields}
     numeric = set(numeric_columns(df))

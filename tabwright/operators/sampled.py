@@ -1,12 +1,12 @@
-"""Measures that compare rows pairwise or restart many times, on a bounded sample.
+"""Measures that compare rows pairwise, on a bounded sample.
 
 The sample (its size is a parameter of every caller) is sent to each task once;
-Spark spreads the blocks of rows, or the restarts, over the tasks.
+Spark spreads the blocks of rows over the tasks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -64,44 +64,3 @@ def silhouettes(spark: SparkSession, points: np.ndarray, labelings: Mapping[str,
         return {}
     means = silhouette_rows(spark, points, usable).groupBy("name").agg(F.avg("silhouette").alias("s"))
     return {r["name"]: round(r["s"], 4) for r in means.collect()}
-
-
-def restarts(spark: SparkSession, points: np.ndarray, grid: Sequence[tuple[str, int, int]],
-             max_iter: int = 100) -> dict[str, np.ndarray]:
-    """Labels of the cheapest k-means run per name over a grid of (name, k, seed)."""
-    shared = spark.sparkContext.broadcast(points)
-    jobs = spark.createDataFrame(list(grid), "name string, k int, seed int").repartition(
-        min(len(grid), spark.sparkContext.defaultParallelism * 4)
-    )
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x = shared.value
-        for batch in batches:
-            for name, k, seed in batch.itertuples(index=False):
-                labels, cost = _lloyd(x, k, np.random.default_rng(seed), max_iter)
-                yield pd.DataFrame({"name": [name], "seed": [seed], "cost": [cost], "labels": [labels]})
-
-    runs = jobs.mapInPandas(run, "name string, seed int, cost double, labels array<int>")
-    best = runs.groupBy("name").agg(F.min_by("labels", F.struct("cost", "seed")).alias("labels"))
-    return {r["name"]: np.array(r["labels"]) for r in best.collect()}
-
-
-def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, max_iter: int) -> tuple[np.ndarray, float]:
-    centers = x[[rng.integers(len(x))]]
-    gap = ((x - centers[0]) ** 2).sum(1)
-    while len(centers) < k:
-        chance = gap / gap.sum() if gap.sum() > 0 else None
-        centers = np.vstack([centers, x[rng.choice(len(x), p=chance)]])
-        gap = np.minimum(gap, ((x - centers[-1]) ** 2).sum(1))
-    norms = (x * x).sum(1)
-    for _ in range(max_iter):
-        squares = norms[:, None] + (centers * centers).sum(1)[None, :] - 2 * x @ centers.T
-        labels = squares.argmin(1)
-        sizes = np.bincount(labels, minlength=k)
-        sums = np.eye(k)[labels].T @ x
-        moved = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], centers)
-        done = np.abs(moved - centers).max() < 1e-6
-        centers = moved
-        if done:
-            break
-    return labels.astype("int32"), float(np.maximum(squares.min(1), 0.0).sum())

@@ -18,13 +18,11 @@ from tabwright.operators import isolation as A
 from tabwright.operators.aggregates import cross_table
 from tabwright.operators.integrate import unify
 from tabwright.operators.profile import Structure, detect_structure
-from tabwright.operators.sampling import sample_rows
 from tabwright.operators.trees import Surrogate, cluster_rules, fit_surrogate
 from tabwright.plans import preparation as P
 from tabwright.session import materialise
 from tabwright.streaming.history import History, model_tables, preparation_tables
 
-PLANE_ROWS = 10_000
 EXPLAINED = 15
 
 
@@ -85,7 +83,7 @@ def explain(prepared: P.Prepared, clusters: C.Clustering, scored: A.Anomalies, s
     features = clusters.fit.features
     scaling = P.scaling_table(spark, prepared.state)
     cross = cross_table(rows)
-    plane = materialise(C.pca_2d(sample_rows(rows.select("is_anomaly", *features), PLANE_ROWS), ["is_anomaly"]), "plane")
+    plane = materialise(C.pca_2d(rows.select("is_anomaly", *features), ["is_anomaly"]), "plane")
     stability = N.stability_table(spark, C.cluster_stability(rows.select("cluster", *features), "cluster", clusters.k))
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("anomaly_score"), *features)
     top = materialise(

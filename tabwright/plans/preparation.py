@@ -17,7 +17,7 @@ from tabwright.functions import scalars as S
 from tabwright.functions.text import UNKNOWN, invalid_to_null, normalise_value
 from tabwright.operators import categories as K
 from tabwright.operators import statistics as Z
-from tabwright.operators.columns import align_columns, clean, drop_empty_rows, nans_to_null, parse_date
+from tabwright.operators.columns import align_columns, clean, drop_empty_rows, nans_to_null, parse_date, plain_numbers
 from tabwright.operators.profile import Structure, check_requested, detect_structure
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.plans.state import PrepState
@@ -118,7 +118,7 @@ def transform(df: DataFrame, state: PrepState, match_new: bool = True, distinct:
     stored references, which needs the batch's distinct values; without it such
     values become "unknown" and the replay is a pure row-wise plan.
     """
-    rows = drop_empty_rows(nans_to_null(df))
+    rows = drop_empty_rows(nans_to_null(plain_numbers(df)))
     rows = rows.dropDuplicates() if distinct else rows
     filled = _filled(_typed(rows, state), state)
     encoded = _encoded(_clipped(_unskewed(filled, state), state), state, df.sparkSession, match_new)

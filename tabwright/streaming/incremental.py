@@ -103,11 +103,13 @@ def score_stream(stream: DataFrame, state: PrepState, kmeans, forest: Forest, ou
     """Prepare, assign and score arriving rows with stored models.
 
     Each batch is prepared exactly as a new table would be; scores use the range
-    seen when fitting, so that batches are comparable.
+    seen when fitting, so that batches are comparable. A batch is written under its
+    number and replaces what an interrupted attempt left there.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         ready = transform(batch, state)
-        detect(kmeans.assign(ready), forest, normalise="fit").write.mode("append").parquet(out_path)
+        scored = detect(kmeans.assign(ready), forest, normalise="fit")
+        scored.write.mode("overwrite").parquet(f"{out_path}/batch_id={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -26,10 +26,13 @@ def blobs(spark):
 
 @pytest.fixture(scope="module")
 def planted(spark):
-    rng = np.random.default_rng(0)
-    normal = np.column_stack([rng.normal(30, 5, 500), rng.normal(500, 100, 500), rng.normal(10, 2, 500)])
-    odd = np.column_stack([rng.normal(70, 3, 20), rng.normal(3000, 200, 20), rng.normal(1, 0.5, 20)])
-    df = spark.createDataFrame(pd.DataFrame(np.vstack([normal, odd]), columns=["age", "amount", "logins"]))
+    """A ring of readings, and twenty far off it with a pressure that no other has."""
+    rng = np.random.default_rng(11)
+    angle = rng.uniform(0, 2 * np.pi, 500)
+    ring = np.column_stack([8 * np.cos(angle), 8 * np.sin(angle), rng.uniform(0.9, 1.1, 500)]) + rng.normal(0, 0.3, (500, 3))
+    far = rng.uniform(25, 40, (20, 2)) * rng.choice([-1, 1], (20, 2))
+    odd = np.column_stack([far, rng.uniform(7, 9, 20)])
+    df = spark.createDataFrame(pd.DataFrame(np.vstack([ring, odd]), columns=["east", "north", "pressure"]))
     return A.anomaly_table(df)
 
 
@@ -47,6 +50,22 @@ def test_kmeans_finds_the_blobs(blobs):
     assert C.fit_kmeans(blobs.limit(2), 5).k == 2
 
 
+def test_missing_values_count_as_zero(spark):
+    df = spark.createDataFrame([(1.0,)] * 500 + [(100.0,)] * 499 + [(None,), (float("nan"),)], "x double").repartition(4)
+    fit = C.fit_kmeans(df, 2)
+    assert sorted(fit.sizes) == [499, 502] and not np.isnan(fit.centers).any()
+    got = fit.assign(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").isNull() | F.isnan("x")).alias("gone"))
+    assert sorted(map(tuple, got.select("n", "gone").collect())) == [(499, 0), (502, 2)]
+    assert C.fit_kmeans(df, 1).sizes == [1001]
+
+
+def test_stored_centres(spark, blobs, tmp_path):
+    fit = C.fit_kmeans(blobs, 3)
+    fit.save(spark, str(tmp_path / "centres"))
+    again = C.KMeansFit.load(spark, str(tmp_path / "centres"), fit.features)
+    assert again.centers == fit.centers
+
+
 def test_whole_segmentation(blobs):
     found = C.cluster_table(blobs, min_cluster_size=50)
     assert found.k == 3 and found.hint.n_clusters == 3
@@ -74,14 +93,14 @@ def test_pca_is_centred_and_uncorrelated(blobs):
 
 
 def test_planted_outliers_rank_first(planted):
-    assert A.top_anomalies(planted.rows, 20).filter("age > 55").count() >= 19
-    assert A.top_anomalies(planted.rows, 25).filter("age > 55").count() == 20
+    assert A.top_anomalies(planted.rows, 20).filter("pressure > 5").count() >= 19
+    assert A.top_anomalies(planted.rows, 25).filter("pressure > 5").count() == 20
     assert planted.rows.agg(F.min("anomaly_score"), F.max("anomaly_score")).first() == (0.0, 1.0)
     assert planted.summary.first()["total_rows"] == 520
 
 
 def test_contamination_sets_the_rate(spark, planted):
-    rows = planted.rows.select("age", "amount", "logins")
+    rows = planted.rows.select("east", "north", "pressure")
     assert A.anomaly_table(rows, contamination=0.05).summary.first()["anomaly_count"] == pytest.approx(26, abs=1)
     with pytest.raises(ValueError):
         A._tree_rows(0.5, 10**9)
@@ -90,7 +109,7 @@ def test_contamination_sets_the_rate(spark, planted):
 def test_forest_round_trip(spark, planted, tmp_path):
     planted.forest.save(spark, str(tmp_path / "forest"))
     again = A.Forest.load(spark, str(tmp_path / "forest"))
-    a = A.score(planted.rows.select("age", "amount", "logins"), again).agg(F.sum("raw_score")).first()[0]
+    a = A.score(planted.rows.select("east", "north", "pressure"), again).agg(F.sum("raw_score")).first()[0]
     assert a == pytest.approx(planted.rows.agg(F.sum("raw_score")).first()[0])
 
 
@@ -98,7 +117,7 @@ def test_shapley_values_match_the_definition(planted):
     forest = A.Forest(**{**planted.forest.__dict__})
     for name in ("feature", "threshold", "left", "right", "size", "depth"):
         setattr(forest, name, getattr(planted.forest, name)[:5])
-    values, row, m = forest.leaf_value, np.array([70.0, 2900.0, 1.0]), 3
+    values, row, m = forest.leaf_value, np.array([30.0, -28.0, 8.0]), 3
 
     def expected(t, known, node=0):
         f = forest.feature[t][node]

@@ -11,23 +11,32 @@ from tabwright.operators import statistics as Z
 from tabwright.plans import preparation
 from tabwright.plans.state import PrepState
 
-USERS = "user_id long, age double, country string, signup_date string, churn long"
+LOANS = "loan_id long, pages double, language string, lent_on string, target int"
 
 
 @pytest.fixture(scope="module")
 def train(spark):
+    """Eight loans of a library: gaps in three columns, one language written in three ways."""
     return spark.createDataFrame(
-        [(1, 25.0, "Tunisie", "2024-01-01", 0), (2, None, "tunisie", "2024-02-01", 1), (3, 35.0, "France", "2024-03-01", 0),
-         (4, 40.0, "FRANCE", None, 1), (5, 22.0, None, "2024-05-01", 0)], USERS)
+        [(11, 120.0, "Suomi", "2021-03-05", 1), (12, 310.0, "SUOMI", "2021-03-09", 0), (13, None, "Eesti", None, 0), (14, 95.0, "suomi ", "2021-04-01", 1),
+         (15, 240.0, None, "2021-04-17", 1), (16, 180.0, "eesti", "2021-05-02", 0), (17, 410.0, "Eesti", "2021-05-20", 1), (18, 66.0, "Suomi", "2021-06-11", 0)], LOANS)
 
 
 def test_roles(spark, train):
     s = P.detect_structure(train)
-    assert "user_id" in s.ids and "age" in s.numeric and "country" in s.categorical
-    assert s.dates == ["signup_date"] and s.labels == ["churn"]
-    assert s.date_formats == {"signup_date": "yyyy-M-d"}
+    assert "loan_id" in s.ids and "pages" in s.numeric and "language" in s.categorical
+    assert s.dates == ["lent_on"] and s.labels == ["target"]
+    assert s.date_formats == {"lent_on": "yyyy-M-d"}
     summary = P.structure_summary(s.frame(spark)).first()
-    assert (summary["n_rows"], summary["n_columns"], summary["n_features"]) == (5, 5, 3)
+    assert (summary["n_rows"], summary["n_columns"], summary["n_features"]) == (8, 5, 3)
+
+
+def test_decimals_and_small_integers_are_numbers(spark):
+    df = spark.range(60).selectExpr("CAST(id % 7 * 1.25 AS DECIMAL(9,2)) AS price", "CAST(id % 9 AS SHORT) AS rooms", "CAST(id % 4 AS BYTE) AS floor",
+                                    "id % 2 = 0 AS lift", "CAST(id AS STRING) AS code")
+    s = P.detect_structure(df)
+    roles = {p["column"]: p["is_numeric"] for p in s.profile}
+    assert roles["price"] and roles["rooms"] and roles["floor"] and not roles["lift"]
 
 
 def test_uuid_and_unique_columns_are_ids(spark):
@@ -39,14 +48,14 @@ def test_uuid_and_unique_columns_are_ids(spark):
 
 def test_fit_and_replay(spark, train, tmp_path):
     done = preparation.fit(train)
-    assert done.features.count() == 5 and done.state.label == "churn"
-    assert "user_id" in done.state.excluded and "churn" in done.labelled.columns
+    assert done.features.count() == train.count() and done.state.label == "target"
+    assert "loan_id" in done.state.excluded and "target" in done.labelled.columns
     done.state.save(spark, str(tmp_path / "state"))
     state = PrepState.load(spark, str(tmp_path / "state"))
-    new = spark.createDataFrame([(6, 28.0, "Tunisie", "2024-04-01", 0), (7, None, "Italie", None, 1)], USERS)
-    out = preparation.transform(new, state)
-    assert out.columns == done.features.columns and out.count() == 2
-    assert out.na.drop().count() == 2
+    later = spark.createDataFrame([(31, None, "Sámi", None, 0), (32, 205.0, "SUOMI", "2021-07-30", 1), (33, 77.0, None, "2021-08-02", 0)], LOANS)
+    out = preparation.transform(later, state)
+    assert out.columns == done.features.columns and out.count() == 3
+    assert out.na.drop().count() == 3
     assert done.report().filter("section = 'final_features'").count() == len(out.columns)
 
 
