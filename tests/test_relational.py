@@ -33,7 +33,7 @@ def test_repeated_columns(spark):
 def test_boats_and_trips(spark):
     boats = spark.createDataFrame([("a", 9.5), ("b", 12.0), ("c", 7.0)], "boat_id string, metres double")
     trips = spark.createDataFrame([("b", 40), ("a", 5), ("b", 10), ("b", None), ("d", 1)], "boat_id string, miles long")
-    out = J.unify({"boats": boats, "trips": trips}, {"events": {"trips": {"group_key": "boat_id", "aggregations": {"miles": ["max", "sum"]}}}})
+    out = J.unify({"boats": boats, "trips": trips}, {"join_key": "boat_id", "events": {"trips": {"group_key": "boat_id", "aggregations": {"miles": ["max", "sum"]}}}})
     assert out.columns == ["boat_id", "metres", "miles_max", "miles_sum"]
     assert [tuple(r) for r in out.orderBy("boat_id").collect()] == [("a", 9.5, 5, 5), ("b", 12.0, 40, 50), ("c", 7.0, None, None)]
 
