@@ -142,16 +142,21 @@ def with_real_values(long: DataFrame, scaling: DataFrame, value: str, into: str,
 
 
 def counterfactuals(rows: DataFrame, centers: DataFrame, features: list[str], key: str, n: int = 2) -> DataFrame:
-    """Per row the features furthest from its own cluster centre and their targets."""
-    long = rows.unpivot([key, "cluster"], features, "feature", "value")
-    gaps = long.join(F.broadcast(centers), ["cluster", "feature"]).withColumn(  # clusters x features
-        "gap", F.abs(F.col("value") - F.col("center"))
-    )
-    order = W.partitionBy(key).orderBy(F.desc("gap"), "feature")
-    return (
-        gaps.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        .select(key, "cluster", "rank", "feature", "value", F.col("center").alias("target"), "gap")
-    )
+    """Per row the features furthest from its own cluster centre and their targets.
+
+    The centres come as one row per cluster; the features are ranked within the row.
+    """
+    aims = centers.groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("feature", "center"))).alias("__aims"))
+    met = rows.select(key, "cluster", *features).join(aims, "cluster")
+    gap = lambda f: F.abs(F.col(f) - F.col("__aims")[f])
+    spots = [
+        F.struct(F.coalesce(-gap(f), F.lit(float("inf"))).alias("order"), F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"),
+                 F.col("__aims")[f].alias("target"), gap(f).alias("gap"))
+        for f in sorted(features)
+    ]
+    known = F.filter(F.array(*spots), lambda s: s["target"].isNotNull())
+    best = met.select(key, "cluster", F.posexplode(F.slice(F.array_sort(known), 1, n)).alias("i", "s"))
+    return best.select(key, "cluster", (F.col("i") + 1).alias("rank"), "s.feature", "s.value", "s.target", "s.gap")
 
 
 def cluster_traits(profile: DataFrame, n: int = 3) -> DataFrame:

@@ -42,9 +42,8 @@ def stratified_split(df: DataFrame, label: str, test_share: float, seed: int = 4
 
 
 def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42) -> DataFrame:
-    """Add ``fold`` so that each class is spread evenly over the folds."""
-    ranked = _ranked_by_hash(df, label, seed)
-    return ranked.select(*df.columns, F.pmod(F.col("__r"), F.lit(folds)).cast("int").alias("fold"))
+    """Add ``fold``, drawn by a hash of the row, so each class is spread about evenly; equal rows share a fold."""
+    return df.withColumn("fold", F.pmod(row_hash(df.columns, seed), F.lit(folds)).cast("int"))
 
 
 def _ranked_by_hash(df: DataFrame, label: str, seed: int) -> DataFrame:
