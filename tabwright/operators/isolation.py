@@ -11,11 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.scalars import percent, severity
+from tabwright.functions.scalars import finite_or_zero, percent, severity
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.ranking import top_n
-from tabwright.operators.sampling import sample_rows
 from tabwright.session import materialise, spread
 
 MAX_TREE_ROWS = 1_000_000
@@ -95,7 +94,7 @@ def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float =
     features = numeric_columns(df)
     n = df.count() if n_rows is None else n_rows
     size = _tree_rows(max_samples, n)
-    drawn = _draw(df.select(*features), n, trees, size, seed)
+    drawn = _draw(numeric_matrix(df.select(*features)), n, trees, size, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     names = list(features)
 
@@ -107,7 +106,7 @@ def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float =
     nodes = drawn.groupBy("__tree").applyInPandas(grow, _NODES).toPandas()
     forest = _pack(nodes, names, size)
     if contamination != "auto":
-        raw = score(df, forest).select("raw_score")
+        raw = materialise(score(df.select(*features), forest).select("raw_score"), "raw-scores")
         forest.offset = exact_quantiles(raw, ["raw_score"], [float(contamination)])["raw_score"][0]
     return forest
 
@@ -127,15 +126,14 @@ def _tree_rows(max_samples, n: int) -> int:
 def _draw(df: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
     """Rows with ``__tree`` and ``__order``, at least ``size`` per tree.
 
-    With plenty of rows a pool of about 1.5 * trees * size is drawn and dealt
-    out at random, each row to one tree. With fewer, every row is offered to
-    every tree and kept by chance, still about 1.5 * size rows per tree.
+    With plenty of rows each is kept by chance for a pool of about 1.5 * trees *
+    size and dealt to one tree. With fewer, every row is offered to every tree and
+    kept by chance, still about 1.5 * size rows per tree.
     """
     pool = int(1.5 * trees * size) + 10 * trees
     if n > 2 * pool:
-        return sample_rows(df, pool, seed, n).withColumn("__tree", F.floor(F.rand(seed + 1) * trees).cast("int")).withColumn(
-            "__order", F.rand(seed + 2)
-        )
+        kept = df.withColumn("__order", F.rand(seed)).filter(F.col("__order") < pool / n)
+        return kept.withColumn("__tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
     share = min(1.0, (1.5 * size + 40) / n)
     offered = df.withColumn("__tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
     return offered.withColumn("__order", F.rand(seed)).filter(F.col("__order") <= share)
@@ -212,7 +210,7 @@ def _path_lengths(x: np.ndarray, trees: list[tuple], leaf: np.ndarray) -> np.nda
 
 
 def score(df: DataFrame, forest: Forest) -> DataFrame:
-    """Add raw_score, decision_score and is_anomaly; only the features leave the JVM."""
+    """Add raw_score, decision_score and is_anomaly; only the features leave the JVM, missing values as 0."""
     leaf = forest.leaf_value
     trees = _walk(forest)
     scale = average_path(forest.rows_per_tree) or 1.0
@@ -221,7 +219,7 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     def raw(points: pd.DataFrame) -> pd.Series:
         return pd.Series(-(2.0 ** (-_path_lengths(points.to_numpy("float64"), trees, leaf) / scale)))
 
-    scored = df.withColumn("raw_score", raw(F.struct(*forest.features)))
+    scored = df.withColumn("raw_score", raw(F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in forest.features])))
     return scored.withColumn("decision_score", F.col("raw_score") - F.lit(forest.offset)).withColumn(
         "is_anomaly", (F.col("decision_score") < 0).cast("int")
     )
