@@ -13,6 +13,7 @@ import os
 import re
 import sys
 import types
+from array import array
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -35,7 +36,11 @@ def _memory() -> dict:
 
 
 class Encoder:
-    """Encodes texts to little-endian unsigned 16-bit ids."""
+    """Encodes texts to little-endian unsigned 16-bit ids.
+
+    At most about ``remembered`` words are held, in two generations: when the younger is full it becomes the older, and words
+    met again move back, so frequent words stay.
+    """
 
     def __init__(self, content: str, remembered: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -50,16 +55,18 @@ class Encoder:
         key = hash(content)
         memory = _memory()
         if key not in memory:
-            memory[key] = (Tokenizer.from_str(content), {})
-        self.library, self.known = memory[key]
+            memory[key] = (Tokenizer.from_str(content), [{}, {}])
+        self.library, self.generations = memory[key]
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.remembered = remembered
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u2").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        found = [array("H", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for a in found:
+                a.byteswap()
+        return [a.tobytes() for a in found]
 
     @staticmethod
     def _words(text: str) -> list[str] | None:
@@ -75,23 +82,26 @@ class Encoder:
         return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n\0" else "\0" + p for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known, cut, new = self.known, [], set()
+        (known, older), cut, new = self.generations, [], set()
         for t in texts:
             pieces = self._words(t)
             cut.append(pieces)
             if pieces:
                 new.update(pieces)
         new.difference_update(known)
-        if len(known) + len(new) > self.remembered:
-            known.clear()
-            new = {p for pieces in cut if pieces for p in pieces}
+        again = new.intersection(older)
+        known.update((p, older[p]) for p in again)
+        new -= again
         order = list(new)
         for k in range(0, len(order), 20_000):
             some = order[k : k + 20_000]
             whole = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in some]
             known.update(zip(some, self._encode(whole)))
         get = known.__getitem__
-        return [b"".join(map(get, pieces)) if pieces is not None else self._encode([t])[0] for t, pieces in zip(texts, cut)]
+        out = [b"".join(map(get, pieces)) if pieces is not None else self._encode([t])[0] for t, pieces in zip(texts, cut)]
+        if 2 * len(known) > self.remembered:
+            self.generations[:] = {}, known
+        return out
 
     def stream(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of one text after the other, a few MB of text at a time."""

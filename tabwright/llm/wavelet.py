@@ -1,11 +1,11 @@
 """Token files as wavelet matrices: one compressed file per shard of documents, answering queries on the ids inside.
 
-A shard's ids are stored as bit-planes, the highest bit first; after each plane the ids are stably parted by that bit. With counts of
+A shard's ids are ranked by how often they occur, which makes the high bits rare. The ranks are stored as bit-planes, the highest bit first; after each plane the ranks are stably parted by that bit. With counts of
 ones per block (rank) a plane maps a position down, and by searching those counts (select) back up. That gives the id at
 a position, the number of times an id occurs before a position, and the places where it occurs, without decoding the rest.
 
-File layout, little-endian: ``WVM1``; counts of documents, ids and planes (u32 each); per section (document lengths, then
-planes) its compressed size (u32); the sections, each zstd-compressed. Counts for rank are derived when a file is opened.
+File layout, little-endian: ``WVM1``; counts of documents, ids, planes and distinct ids (u32 each); per section (document lengths
+u32, ids by rank u16, then planes) its compressed size (u32); the sections, each zstd-compressed. Counts for rank are derived when a file is opened.
 
 Documents are dealt to tasks by ranges of doc_id; every task writes its documents in ascending order in shards of bounded
 size, as binary values of a Parquet table in the shared folder, so that writing is atomic and a lost executor repeats
@@ -67,8 +67,9 @@ class BitPlane:
 
 
 class WaveletMatrix:
-    def __init__(self, planes: list[BitPlane], n: int):
-        self.planes, self.n = planes, n
+    def __init__(self, planes: list[BitPlane], n: int, ranked: np.ndarray):
+        self.planes, self.n, self.ranked = planes, n, ranked
+        self.rank_of = {v: r for r, v in enumerate(ranked.tolist())}
 
     def __getitem__(self, i: int) -> int:
         """The id at a place."""
@@ -79,12 +80,10 @@ class WaveletMatrix:
             bit, ones = p.bit(i), p.rank1(i)
             value = value << 1 | bit
             i = p.zeros + ones if bit else i - ones
-        return value
+        return int(self.ranked[value])
 
     def _range(self, value: int, end: int) -> tuple[int, int]:
-        """Where the occurrences of an id before ``end`` lie below the last plane."""
-        if value >> len(self.planes):
-            return 0, 0
+        """Where the occurrences of the id of a rank before ``end`` lie below the last plane."""
         low, high = 0, end
         for k, p in enumerate(self.planes):
             a, b = p.rank1(low), p.rank1(high)
@@ -93,11 +92,16 @@ class WaveletMatrix:
 
     def rank(self, value: int, end: int | None = None) -> int:
         """How often an id occurs before ``end``."""
-        low, high = self._range(value, self.n if end is None else end)
+        if value not in self.rank_of:
+            return 0
+        low, high = self._range(self.rank_of[value], self.n if end is None else end)
         return high - low
 
     def places(self, value: int) -> np.ndarray:
         """All places of an id, ascending."""
+        if value not in self.rank_of:
+            return np.empty(0, np.int64)
+        value = self.rank_of[value]
         low, high = self._range(value, self.n)
         at = np.arange(low, high)
         for k, p in zip(range(len(self.planes)), reversed(self.planes)):
@@ -115,39 +119,43 @@ class WaveletMatrix:
 
 def encode_shard(ids: np.ndarray, lengths: list[int]) -> bytes:
     """File image of a shard: all ids in order, and how many belong to each document."""
-    n_planes = max(1, int(ids.max()).bit_length() if len(ids) else 1)
+    counts = np.bincount(ids, minlength=1 << 16)
+    order, distinct = np.argsort(-counts, kind="stable").astype("<u2"), int(np.count_nonzero(counts))
+    rank = np.empty(1 << 16, np.uint16)
+    rank[order] = np.arange(1 << 16, dtype=np.uint32).astype(np.uint16)
+    n_planes = max(1, (distinct - 1).bit_length() if distinct else 1)
     press = zstandard.ZstdCompressor(level=1)
-    sections = [press.compress(np.array(lengths, "<u4").tobytes())]
-    now = ids
+    sections = [press.compress(np.array(lengths, "<u4").tobytes()), press.compress(order[:distinct].tobytes())]
+    now = rank[ids]
     for k in range(n_planes - 1, -1, -1):
-        bits = (now >> np.uint16(k) & np.uint16(1)).astype(bool)
+        bits = (now & np.uint16(1 << k)) != 0
         sections.append(press.compress(np.packbits(bits).tobytes()))
-        now = np.concatenate([now[~bits], now[bits]])
-    head = _MAGIC + struct.pack("<3I", len(lengths), len(ids), n_planes) + struct.pack(f"<{len(sections)}I", *map(len, sections))
+        now = np.concatenate([now.take(np.flatnonzero(~bits)), now.take(np.flatnonzero(bits))])
+    head = _MAGIC + struct.pack("<4I", len(lengths), len(ids), n_planes, distinct) + struct.pack(f"<{len(sections)}I", *map(len, sections))
     return head + b"".join(sections)
 
 
-def _sections(image: bytes) -> tuple[np.ndarray, list[np.ndarray], int]:
+def _sections(image: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], int]:
     if image[:4] != _MAGIC:
         raise ValueError("not a token shard")
-    n_docs, n, n_planes = struct.unpack_from("<3I", image, 4)
-    sizes = struct.unpack_from(f"<{n_planes + 1}I", image, 16)
-    at, raw, open_ = 16 + 4 * len(sizes), [], zstandard.ZstdDecompressor()
+    n_docs, n, n_planes, distinct = struct.unpack_from("<4I", image, 4)
+    sizes = struct.unpack_from(f"<{n_planes + 2}I", image, 20)
+    at, raw, open_ = 20 + 4 * len(sizes), [], zstandard.ZstdDecompressor()
     for size in sizes:
-        raw.append(open_.decompress(image[at : at + size], max_output_size=max(4 * n_docs, n // 8 + 1)))
+        raw.append(open_.decompress(image[at : at + size], max_output_size=max(4 * n_docs, 2 * distinct, n // 8 + 1)))
         at += size
-    return np.frombuffer(raw[0], "<u4"), [np.frombuffer(r, np.uint8) for r in raw[1:]], n
+    return np.frombuffer(raw[0], "<u4"), np.frombuffer(raw[1], "<u2"), [np.frombuffer(r, np.uint8) for r in raw[2:]], n
 
 
 def open_shard(image: bytes) -> tuple[WaveletMatrix, np.ndarray]:
     """The ids under rank and select, and the documents' lengths."""
-    lengths, planes, n = _sections(image)
-    return WaveletMatrix([BitPlane(p, n) for p in planes], n), lengths
+    lengths, ranked, planes, n = _sections(image)
+    return WaveletMatrix([BitPlane(p, n) for p in planes], n, ranked), lengths
 
 
 def decode_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
     """All ids in order (undoing the partings from the last plane up) and the documents' lengths."""
-    lengths, planes, n = _sections(image)
+    lengths, ranked, planes, n = _sections(image)
     now = np.zeros(n, np.uint16)
     for k, p in enumerate(reversed(planes)):
         bits = np.unpackbits(p, count=n).view(bool)
@@ -156,7 +164,7 @@ def decode_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
         above[~bits] = now[:zeros]
         above[bits] = now[zeros:] | np.uint16(1 << k)
         now = above
-    return now, lengths
+    return ranked[now] if n else now, lengths
 
 
 def _shards(batches: Iterator[pa.RecordBatch], content, end: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
