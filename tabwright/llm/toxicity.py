@@ -2,8 +2,8 @@
 
 Three things are learned from labelled rows whose ``crc32(doc_id) mod 5`` is not 0:
 
-* the lexicon (remainders 1-3): terms that stand almost only in toxic texts, taken greedily so that each must explain
-  texts that the earlier ones do not; the other words of copied texts therefore stay out;
+* the lexicon (remainders 1-3): terms that stand almost only in toxic texts. Near copies count once, so a copied text doesn't make all its
+  words look toxic. Terms with ample evidence are taken; weaker ones only if they explain texts that no other term does;
 * ordinary words (remainders 1-3): words of clean texts that lie within reach of a term and must not count as its misspelling;
 * weights (remainder 4) of a logistic score over hits by kind and context.
 
@@ -23,9 +23,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabwright.llm.scratch import Scratch, rows_of
+from tabwright.llm.words import WordHashes, shingle_hashes, words
 
 WINDOW = 6
 FOLDS = 5
@@ -39,6 +41,7 @@ REPORTING = frozenset(
 )
 ADDRESSING = frozenset("you your you're youre u tu toi vous votre du dich dein ihr euch tú usted ustedes vosotros".split())
 FEATURES = ("exact", "fuzzy", "far", "quoted", "directed", "dense")
+_PERMUTE = [(np.uint64(a), np.uint64(m)) for a, m in ((0x1F83D9ABFB41BD6B, 0x9E3779B97F4A7C15), (0x5BE0CD19137E2179, 0xC2B2AE3D27D4EB4F), (0x3C6EF372FE94F82B, 0x165667B19E3779F9))]
 #: Means of the weights before anything is learned: a misspelling counts less than the term, a quotation little.
 _PRIOR = np.array([-3.0, 3.0, 2.0, 1.0, 0.2, 0.5, 0.5])
 
@@ -183,15 +186,17 @@ class HitFinder:
         return [np.log1p(counts[f]) for f in FEATURES]
 
 
-def greedy_terms(sets: list[list[int]], least: int) -> list[int]:
-    """Candidates in the order in which they explain most texts not yet explained, down to ``least`` texts."""
+def greedy_terms(sets: list[list[int]], least: int, sure: Iterable[int] = ()) -> list[int]:
+    """The sure candidates, then others in the order in which they explain most texts not yet explained, down to ``least`` texts."""
     holders = defaultdict(set)
     for d, s in enumerate(sets):
         for t in s:
             holders[t].add(d)
-    heap = [(-len(h), t) for t, h in holders.items()]
+    chosen, explained = list(sure), set()
+    for t in chosen:
+        explained |= holders[t]
+    heap = [(-len(h), t) for t, h in holders.items() if t not in set(chosen)]
     heapq.heapify(heap)
-    chosen, explained = [], set()
     while heap:
         size, t = heapq.heappop(heap)
         now = len(holders[t] - explained)
@@ -232,6 +237,18 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds three MinHash values over five-word shingles."""
+    known = WordHashes()
+    for b in batches:
+        least = [[], [], []]
+        for t in b.column("text"):
+            h = shingle_hashes(words(t.as_py(), lower=True), 5, known)
+            for k, (add, by) in enumerate(_PERMUTE):
+                least[k].append(int(((h ^ add) * by).min().view(np.int64)) if len(h) else 0)
+        yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in least)], [*b.schema.names, "h0", "h1", "h2"])
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen = {0: Counter(), 1: Counter()}
@@ -244,10 +261,13 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int = 3, purity: float = 0.4) -> ToxicityModel:
+def fit(
+    docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int = 3, purity: float = 0.4, ample: float = 0.6
+) -> ToxicityModel:
     """Learn from at most about ``max_rows`` labelled rows, chosen by a hash of doc_id.
 
-    A term is a candidate if the lower Wilson bound of its share of toxic texts reaches ``purity``. Labels that are neither
+    A term is a candidate if the lower Wilson bound of its share of toxic texts reaches ``purity``, and sure if it reaches ``ample``.
+    Of rows that share one of three MinHash values only the first is used. Labels that are neither
     0 nor 1 are ignored; of several labels for a document the largest counts. Without labels the lexicon is
     empty and every text scores low.
     """
@@ -256,14 +276,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .withColumn("fold", fold).where("fold != 0")
+        .withColumn("fold", fold.cast("int")).where("fold != 0")
     )
     share = min(1.0, max_rows / max(known.count(), 1))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most about max_rows small rows, whatever the size of the tables.
+    signed = rows_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "toxic", "text").mapInArrow(
+        _signed, "doc_id long, fold int, toxic int, text string, h0 long, h1 long, h2 long"
+    )
+    drawn = scratch.table(signed, "toxicity-drawn")
+    order = [F.row_number().over(W.partitionBy(f"h{k}").orderBy("doc_id")).alias(f"p{k}") for k in range(3)]
+    firsts = drawn.select("fold", "toxic", "text", *order).where("p0 = 1 AND p1 = 1 AND p2 = 1")
     sample = scratch.table(
-        rows_of(docs).join(F.broadcast(chosen), "doc_id").select("fold", "toxic", "text").repartition(spark.sparkContext.defaultParallelism * 2),
-        "toxicity-sample",
+        firsts.select("fold", "toxic", "text").repartition(spark.sparkContext.defaultParallelism * 2), "toxicity-sample"
     )
     lexical = sample.where("fold < 4").select("text", "toxic")
     counts = scratch.table(
@@ -274,7 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
     n, share_toxic = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
     z = 1.96
     bound = (share_toxic + z * z / (2 * n) - z * F.sqrt(share_toxic * (1 - share_toxic) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-    candidates = [r.term for r in counts.where((F.col("toxic") >= least) & (bound >= purity)).select("term").orderBy("term").collect()]
+    found = counts.where((F.col("toxic") >= least) & (bound >= purity)).select("term", (bound >= ample).alias("sure")).orderBy("term").collect()
+    candidates = [r.term for r in found]
     place = {t: i for i, t in enumerate(candidates)}
 
     def candidate_sets(batches):
@@ -283,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int32()))], ["found"])
 
     sets = [r.found for r in lexical.where("toxic = 1").mapInArrow(candidate_sets, "found array<int>").collect()]
-    terms = [candidates[i] for i in greedy_terms(sets, least)]
+    terms = [candidates[i] for i in greedy_terms(sets, least, [i for i, r in enumerate(found) if r.sure])]
 
     def lookalikes(batches):
         automaton = LexiconAutomaton(terms)
@@ -302,7 +328,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 30_000, least: int =
 
     rest = sample.where("fold = 4").select("toxic", "text").mapInArrow(features, "toxic int, f array<double>").collect()
     model.weights = fit_weights(np.array([r.f for r in rest]).reshape(len(rest), len(FEATURES)), np.array([r.toxic for r in rest], float)).tolist()
-    scratch.drop(sample, counts)
+    scratch.drop(drawn, sample, counts)
     return model
 
 

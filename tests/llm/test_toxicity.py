@@ -44,6 +44,7 @@ def test_context_of_hits():
 
 def test_greedy_leaves_out_words_of_copies():
     assert greedy_terms([[0, 1], [0, 1], [0, 1], [0], [0], [2], [2], [2]], 3) == [0, 2]
+    assert greedy_terms([[0, 1], [0, 1], [0, 1], [0], [0], [2], [2], [2]], 3, [1]) == [1, 2]
 
 
 def test_learns_planted_terms(spark):
