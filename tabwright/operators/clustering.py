@@ -151,7 +151,7 @@ def davies_bouldin(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def search_k(df: DataFrame, low: int = 2, high: int = 10, seed: int = 42,
-             n_rows: int | None = None) -> tuple[int, dict[int, float], float | None]:
+             n_rows: int | None = None, max_iter: int = 20) -> tuple[int, dict[int, float], float | None]:
     """Best k by the squared-distance silhouette of all rows; the smallest wins a tie.
 
     Each k is a distributed fit over every row. A k that leaves a single cluster gets no score.
@@ -159,12 +159,15 @@ def search_k(df: DataFrame, low: int = 2, high: int = 10, seed: int = 42,
     n = df.count() if n_rows is None else n_rows
     if n < 3:
         return 1, {}, None
-    low = max(2, low)
+    low, features = max(2, low), numeric_columns(df)
+    vectors = assemble(numeric_matrix(df.select(*features)), features).select(_VECTOR).persist()
+    measure = ClusteringEvaluator(featuresCol=_VECTOR)
     scores = {}
     for k in range(low, max(low, min(high, n - 1)) + 1):
-        fit = fit_kmeans(df, k, seed, 1, n)
-        if fit.k > 1 and sum(size > 0 for size in fit.sizes) > 1:
-            scores[k] = round(silhouette_squared(fit.assign(df)), 4)
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=_VECTOR).fit(vectors)
+        if sum(size > 0 for size in model.summary.clusterSizes) > 1:
+            scores[k] = round(measure.evaluate(model.transform(vectors)), 4)
+    vectors.unpersist()
     if not scores:
         return low, {}, None
     best = max(scores, key=lambda k: (scores[k], -k))
