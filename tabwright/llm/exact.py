@@ -18,7 +18,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.scratch import Scratch, numbered, rows_of
+from tabwright.llm.scratch import Scratch, broadcast_if_small, numbered, rows_of
+
+#: Keys that occur more than once, up to which they are sent to the texts; beyond, texts are shuffled by key.
+_BROADCAST_KEYS = 500_000
 
 
 @dataclass
@@ -96,7 +99,9 @@ def exact_duplicates(docs: DataFrame, uid: str | None = None, capacity: int = 40
     scratch.drop(keys)
 
     chained = index.buckets.where("n > 1").select("bucket", "key")
-    texts = rows.select("doc_id", "text", text_key(F.col("text"), bits).alias("key")).join(chained, "key")
+    texts = rows.select("doc_id", "text", text_key(F.col("text"), bits).alias("key")).join(
+        broadcast_if_small(chained, chained.count(), _BROADCAST_KEYS), "key"
+    )
     chain = scratch.table(
         texts.groupBy("bucket", "key", "text")
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keep"))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from conftest import SMALL
-from tabwright.llm import queries
+from tabwright.llm import exact, queries
 from tabwright.llm.components import components
 from tabwright.llm.exact import build_index, drop_exact_duplicates, exact_duplicates
 from tabwright.llm.scratch import Scratch
@@ -103,7 +103,9 @@ def test_near_edge_cases(spark):
 
 
 @pytest.mark.parametrize("bits,capacity", [(64, 4096), (64, 2), (4, 3), (1, 1)])
-def test_exact_with_collisions(spark, bits, capacity):
+def test_exact_with_collisions(spark, monkeypatch, bits, capacity):
+    if capacity == 3:
+        monkeypatch.setattr(exact, "_BROADCAST_KEYS", -1)
     rng = random.Random(3)
     rows = [(i, rng.choice(["", None, "x", "X", "é", "x "] + [f"text {k}" for k in range(30)]), "u", 1) for i in range(120)]
     got = exact_duplicates(spark.createDataFrame(rows, SCHEMA), bits=bits, capacity=capacity).collect()
