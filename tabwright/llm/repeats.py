@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabwright.llm.scratch import Scratch, broadcast_if_small
@@ -85,12 +86,11 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int, run: int) -> Iterat
 def _without(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         removed, kept = [], []
-        for t, at in zip(b.column("text"), b.column("at")):
+        for t, runs in zip(b.column("text"), b.column("runs")):
             ws = words(t.as_py())
             change = np.zeros(len(ws) + 1, np.int32)
-            starts = np.unique(at.values.to_numpy())
-            np.add.at(change, starts, 1)
-            np.add.at(change, starts + window, -1)
+            np.add.at(change, runs.values.field("first").to_numpy(), 1)
+            np.add.at(change, runs.values.field("last").to_numpy() + window, -1)
             covered = np.cumsum(change[:-1]) > 0
             removed.append(int(covered.sum()))
             kept.append(hashlib.sha256(b" ".join(w for w, c in zip(ws, covered.tolist()) if not c)).digest())
@@ -156,9 +156,13 @@ def repeated_words(docs: DataFrame, window: int = 50, run: int = 8) -> DataFrame
         .select("high", "low", "first"),
         "repeats-earliest",
     )
-    spans = windows.join(earliest, ["high", "low"]).where("doc_id > first").groupBy("uid").agg(F.collect_set("at").alias("at"))
+    hits = windows.join(earliest, ["high", "low"]).where("doc_id > first").select("uid", "at")
+    # Neighbouring starts become one run, so a long passage costs two numbers.
+    place = F.dense_rank().over(W.partitionBy("uid").orderBy("at"))
+    runs = hits.withColumn("run", F.col("at") - place).groupBy("uid", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    spans = runs.groupBy("uid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     wanted = scratch.table(spans.join(flagged.select("uid", "doc_id", "text_key"), "uid"), "repeats-spans")
-    n_spans = wanted.agg(F.coalesce(F.sum(F.size("at") + 4), F.lit(0))).first()[0]
+    n_spans = wanted.agg(F.coalesce(F.sum(2 * F.size("runs") + 4), F.lit(0))).first()[0]
     changed = texts.join(broadcast_if_small(wanted, n_spans, 2 * _BROADCAST_VALUES), ["doc_id", "text_key"]).mapInArrow(
         lambda batches: _without(batches, window), "uid long, n_removed long, kept binary"
     )
