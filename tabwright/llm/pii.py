@@ -2,7 +2,8 @@
 
 Four kinds are looked for. Fixed patterns with a check (digits, octets, Luhn) give the base spans. High-recall generators propose
 looser spans of the same kinds, which may overlap each other: obfuscated addresses, long numbers, dotted numbers. Trees
-see the format and the context of a candidate, but not the checks; they learn which candidates coincide with base spans. A
+see the format and the context of a candidate, but neither the checks nor the marks that make it a base span ('@' and '(at)', '+' and
+nothing look the same); they learn which candidates coincide with base spans. A
 threshold per kind is calibrated on candidates kept out of the fit. Candidates above it that touch no base span are added,
 the best of each overlapping set.
 
@@ -41,7 +42,7 @@ _PATTERNS = [
 ]
 FEATURES = (
     [f"is_{k}" for k in KINDS]
-    + ["n_chars", "n_digits", "n_letters", "n_gaps", "n_dots", "n_groups", "longest_group", "first_group", "last_group", "plus", "parens", "at_sign"]
+    + ["n_chars", "n_digits", "n_letters", "n_gaps", "n_dots", "n_groups", "longest_group", "first_group", "last_group", "parens"]
     + ["digit_before", "letter_before", "blank_before", "quote_before", "digit_after", "letter_after", "blank_after", "digits_around", "cue_phone", "cue_card", "cue_mail", "cue_net"]
 )
 #: Words before a span that speak for a kind, in the languages of the documents.
@@ -122,8 +123,14 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def _unmarked(kind: Column, match: Column) -> Column:
+    """The match in one form, whether or not it bears the marks by which base spans are told."""
+    plain = F.regexp_replace(F.regexp_replace(match, r"(?i) ?(?:@|[(\[] ?at ?[)\]]) ?", "@"), r"(?i) ?(?:\.|[(\[] ?dot ?[)\]]) ?", ".")
+    return F.when(kind == "email", plain).otherwise(F.regexp_replace(match, r"^[(+]*\+[(+]*", ""))
+
+
 def with_features(found: DataFrame) -> DataFrame:
-    m, before, after = F.col("match"), F.col("before"), F.col("after")
+    m, before, after = _unmarked(F.col("kind"), F.col("match")), F.col("before"), F.col("after")
     digits = _digits(m)
     groups = F.filter(F.split(m, "[^0-9]+"), lambda g: g != "")
     sizes = F.transform(groups, F.length)
@@ -133,7 +140,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "n_chars": F.length(m), "n_digits": F.length(digits), "n_letters": F.length(F.regexp_replace(m, "[^A-Za-z]", "")),
         "n_gaps": F.length(F.regexp_replace(m, f"[^ {_JOINT}-]", "")), "n_dots": F.length(F.regexp_replace(m, r"[^.]", "")),
         "n_groups": F.size(groups), "longest_group": F.array_max(sizes), "first_group": F.try_element_at(sizes, F.lit(1)),
-        "last_group": F.try_element_at(sizes, F.lit(-1)), "plus": F.startswith(m, F.lit("+")), "parens": F.contains(m, F.lit("(")), "at_sign": F.contains(m, F.lit("@")),
+        "last_group": F.try_element_at(sizes, F.lit(-1)), "parens": F.contains(m, F.lit("(")),
         "digit_before": last.rlike("[0-9]"), "letter_before": last.rlike(r"\p{L}"), "blank_before": last.rlike(r"^\s?$"), "quote_before": last.rlike("[\"'=]"),
         "digit_after": following.rlike("[0-9]"), "letter_after": following.rlike(r"\p{L}"), "blank_after": following.rlike(r"^[\s.,;]?$"),
         "digits_around": F.length(_digits(F.concat(before, after))), **{f"cue_{k}": before.rlike(p) for k, p in _CUES.items()},

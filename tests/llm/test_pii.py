@@ -96,3 +96,20 @@ def test_matches_cover_each_text(spark):
     df = spark.createDataFrame([(1, "a 1.2.3.4 b"), (2, "nothing")], "doc_id long, text string")
     rows = pii.matches(df, Scratch(spark)).where("base or kind is null").collect()
     assert sorted((r.doc_id, r.kind, r.start, r.end) for r in rows if r.kind) == [(1, "ip", 2, 9)]
+
+
+def test_trees_add_spans_without_the_marks(spark):
+    rng = random.Random(9)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    name = lambda: "".join(rng.choices("abcdefghij", k=rng.randint(3, 8)))
+    docs = []
+    for i in range(0, 1200, 4):
+        docs += [(i, f"please mail {name()}.{name()}@{name()}.com for more"), (i + 1, f"please call +{number(rng.randint(1, 3))} {number(rng.randint(2, 3))} {number(rng.randint(6, 7))} for more"),
+                 (i + 2, f"the lot {number(3)} {number(rng.randint(2, 3))} {number(6)} of goods"), (i + 3, f"the total was {number(8)} pieces")]
+    docs += [(5000, "please mail jane.roe (at) example (dot) com for more"), (5001, "please mail joe.doe @ example . com for more"), (5002, "please call 030 123 4567891 for more")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.doc_id: r for r in as_query(spark, df).collect()}
+    check(rows.values(), docs)
+    assert rows[5000].spans == "email:12:43" and rows[5001].spans == "email:12:35" and rows[5002].spans == "phone:12:27"
+    assert rows[5000].n_email == rows[5002].n_phone == 0
+    assert not any(rows[i + k].spans for i in range(0, 1200, 4) for k in (2, 3))
