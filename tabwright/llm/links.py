@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import string
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("links"))
 
 
-def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float, rounds: int | None, tolerance: float) -> DataFrame:
     """host, trust, distrust after personalised PageRank from ``seeds`` (host, trust, distrust).
 
     ``links`` counts as directed for trust and as reversed for distrust. What a host without links to follow would pass on returns
-    to itself. Stops after ``rounds`` or once no more than ``tolerance`` of the seeds' mass moves.
+    to itself. Ends once no host is newly reached and no host's score changes by more than ``tolerance`` of itself, however large
+    the other scores are, or after ``rounds`` if given.
     """
     forward = links.select(F.lit(True).alias("good"), F.col("source").alias("from"), F.col("target").alias("to"), "links")
     backward = links.select(F.lit(False).alias("good"), F.col("target").alias("from"), F.col("source").alias("to"), "links")
@@ -85,9 +87,9 @@ def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float,
         ).where("seed > 0"),
         "links-seeds",
     )
-    mass = start.agg(F.coalesce(F.sum("seed"), F.lit(0.0))).first()[0]
     now = scratch.table(start.withColumnRenamed("seed", "score"), "links-scores")
-    for _ in range(rounds if mass else 0):
+    seeded = not start.isEmpty()
+    for _ in (count() if rounds is None else range(rounds)) if seeded else ():
         moved = now.withColumnRenamed("host", "from").join(edges, ["good", "from"]).select("good", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("part"))
         stays = now.join(ends, ["good", "host"], "left_anti").select("good", "host", (F.col("score") * damping).alias("part"))
         fresh = start.select("good", "host", (F.col("seed") * (1 - damping)).alias("part"))
@@ -98,10 +100,12 @@ def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float,
             parts.withColumn("old", F.lit(0.0)).union(old).groupBy("good", "host").agg(F.sum("part").alias("score"), F.sum("old").alias("old")),
             "links-scores",
         )
-        change = after.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        larger = F.greatest("score", "old")
+        # A newly reached host changes by all of itself. Scores that are about to underflow don't settle.
+        change = after.where(larger > 1e-290).agg(F.max(F.abs(F.col("score") - F.col("old")) / larger)).first()[0]
         scratch.drop(now)
         now = after
-        if change <= tolerance * mass:
+        if change is None or change <= tolerance:
             break
     scratch.drop(edges, ends, start)
     return now.groupBy("host").agg(
@@ -111,7 +115,7 @@ def spread(seeds: DataFrame, links: DataFrame, scratch: Scratch, damping: float,
 
 
 def judge(
-    pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4, threshold: float = 0.0
+    pages: DataFrame, rules: list[Rule], damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4, threshold: float = 0.0
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, trust, distrust.
 

@@ -96,3 +96,17 @@ def test_links_decide_and_edge_cases(spark):
     ]
     assert {(r.source, r.target) for r in host_links(df).collect()} == {("good.net", "praised.net"), ("spam.net", "bad.net")}
     assert judge(df.limit(0), rules).count() == 0
+
+
+def test_far_hosts_are_reached_beside_a_large_seed_mass(spark):
+    rules = [Rule("block", "bad.net", "/"), Rule("block", "alone.net", "/")]
+    chain = [f"h{i}.net" for i in range(33)]
+    pages = [(i, f"http://{h}/", f'<a href="http://{t}/">') for i, (h, t) in enumerate(zip(chain, chain[1:] + ["bad.net"]))]
+    pages += [(100 + i, f"http://bad.net/{i}", None) for i in range(10)]
+    few = spark.createDataFrame(pages, "page_id long, url string, html string")
+    many = spark.range(1000, 1_001_000).selectExpr("id AS page_id", "'http://alone.net/x' AS url", "CAST(NULL AS STRING) AS html")
+    got = {r.page_id: r for r in judge(few.union(many), rules).where("page_id < 1000").collect()}
+    expected = dense({"bad.net": (0, 10)}, [(h, t, 1) for h, t in zip(chain, chain[1:] + ["bad.net"])])
+    assert [got[i].verdict for i in range(33)] == ["block"] * 33
+    for i, h in enumerate(chain):
+        assert got[i].distrust == pytest.approx(expected[h][1], rel=2e-3)
