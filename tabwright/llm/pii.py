@@ -4,7 +4,7 @@ Four kinds are looked for. Fixed patterns with a check (digits, octets, Luhn) gi
 looser spans of the same kinds, which may overlap each other: obfuscated addresses, long numbers, dotted numbers. Trees
 see the format and the context of a candidate, but neither the checks nor the marks that make it a base span ('@' and '(at)', '+' and
 nothing look the same); they learn which candidates coincide with base spans. A
-threshold per kind is calibrated on candidates kept out of the fit. Candidates above it that touch no base span are added,
+threshold per kind is calibrated on all candidates outside the fit. Candidates above it that touch no base span are added,
 the best of each overlapping set.
 
 Everything is DataFrame operations: texts are cut by the patterns, only matches with a little context leave the scan, and
@@ -170,26 +170,32 @@ class SpanModel:
 
 
 def fit(candidates: DataFrame, max_rows: int = 40_000, precision: float = 0.98, trees: int = 20, depth: int = 4, seed: int = 7) -> SpanModel:
-    """Trees on at most about ``max_rows`` candidates chosen by a hash of kind, format and context.
+    """Trees on at most about ``max_rows`` distinct candidates (kind, match and context), shared out among the kinds.
 
-    A fifth of them is kept out of the fit; per kind the threshold is the lowest score (in steps of 0.05, at least 0.5)
-    above which at least ``precision`` of those coincide with base spans. A kind without such a score adds nothing, and
-    neither does a table in which all candidates or none coincide with base spans.
+    Within a kind a hash chooses them; a fifth of all distinct candidates never takes part. Everything outside the fit calibrates: per
+    kind the threshold is the lowest score (in steps of 0.05, at least 0.5) above which at least ``precision`` of those coincide with
+    base spans. Repeats count once, as coinciding if most of them do. A kind without such a score adds nothing, and neither does a
+    table in which all candidates or none coincide with base spans.
     """
-    n = candidates.count()
-    share = min(1.0, max_rows / max(n, 1))
-    ticket = F.xxhash64("kind", "match", "before", "after")
-    sample = candidates.where(F.pmod(ticket, F.lit(1_000_000)) < int(share * 1_000_000)).withColumn(
-        "kept_out", F.pmod(F.floor(ticket / 1_000_000).cast("long"), F.lit(5)) == 0
-    ).withColumn("y", F.col("label").cast("double"))
-    sides = {(r.kept_out, r.y) for r in sample.groupBy("kept_out", "y").count().collect()}
-    if not {(False, 0.0), (False, 1.0)} <= sides:
+    scratch = Scratch(candidates.sparkSession)
+    keys = ["kind", "match", "before", "after"]
+    distinct = scratch.table(candidates.groupBy(*keys).agg((F.avg(F.col("label").cast("double")) >= 0.5).cast("double").alias("y")), "pii-distinct")
+    left, share = max_rows, F.lit(0.0)
+    counts = sorted((r["count"], r.kind) for r in distinct.groupBy("kind").count().collect())
+    for i, (n, kind) in enumerate(counts):
+        quota = min(n, left // (len(counts) - i))
+        share, left = F.when(F.col("kind") == kind, F.lit(quota / n)).otherwise(share), left - quota
+    ticket = F.xxhash64(*keys)
+    chosen = (F.pmod(ticket, F.lit(1_000_000)) < share * 1_000_000) & (F.pmod(F.floor(ticket / 1_000_000).cast("long"), F.lit(5)) != 0)
+    split = distinct.withColumn("fits", chosen)
+    if split.where("fits").select("y").distinct().count() < 2:
         return SpanModel()
-    learn = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(sample.where("not kept_out")))
+    learn = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(split.where("fits")))
     model = SpanModel(GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed).fit(learn.select("features", "y")))
-    steps = model.scored(sample.where("kept_out")).groupBy("kind", F.floor(F.col("p") * 20).cast("int").alias("step")).agg(
+    steps = model.scored(split.where("NOT fits")).groupBy("kind", F.floor(F.col("p") * 20).cast("int").alias("step")).agg(
         F.count("*").alias("n"), F.sum("y").alias("hits")
     ).collect()
+    scratch.drop(distinct)
     for kind in KINDS:
         rows = [0.0, 0.0]
         for step in range(20, 9, -1):

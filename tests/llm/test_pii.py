@@ -113,3 +113,13 @@ def test_trees_add_spans_without_the_marks(spark):
     assert rows[5000].spans == "email:12:43" and rows[5001].spans == "email:12:35" and rows[5002].spans == "phone:12:27"
     assert rows[5000].n_email == rows[5002].n_phone == 0
     assert not any(rows[i + k].spans for i in range(0, 1200, 4) for k in (2, 3))
+
+
+def test_thresholds_do_not_depend_on_how_large_the_table_is(spark):
+    rng = random.Random(5)
+    number = lambda n: "".join(rng.choices("0123456789", k=n))
+    rows = [("phone", f"+{number(11)}", "please call ", True) for _ in range(3000)] + [("phone", number(8), "lot ", False) for _ in range(3000)]
+    rows += [("email", f"m{i}@x{i}.com", "mail ", True) for i in range(40)] + [("phone", "12345678901", "please call ", False)] * 3000
+    df = spark.createDataFrame(rows, "kind string, match string, before string, label boolean").selectExpr("*", "' for more' AS after")
+    for n in (300, 40_000):  # the first sample holds a few hundredths of the candidates, the second all of them
+        assert set(pii.fit(df, max_rows=n).thresholds) == {"email", "phone"}
