@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.session import scratch_path
@@ -61,3 +61,19 @@ def rows_of(docs: DataFrame, uid: str | None = None) -> DataFrame:
 def broadcast_if_small(df: DataFrame, size: int, limit: int) -> DataFrame:
     """``df`` as the broadcast side of a join if its counted ``size`` stays within ``limit``; else Spark shuffles."""
     return F.broadcast(df) if size <= limit else df
+
+
+def join_hot(rows: DataFrame, groups: DataFrame, key: str, copies: Column, total: int, share: int = 200) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per key, with how many ``copies`` of it the rows hold; NULL keys match).
+
+    Keys that hold over 1/``share`` of the ``total`` rows are fewer than ``share``, so their groups are broadcast; the other rows
+    are joined as Spark sees fit, and none of their keys can fill a task.
+    """
+    hot = copies * share > total
+    named = groups.withColumnRenamed(key, "hot_key")
+    rest = [F.col(c) for c in groups.columns if c != key]
+    few = F.broadcast(named.where(hot))
+    same = F.col(key).eqNullSafe(F.col("hot_key"))
+    met = rows.join(few, same).select(*rows.columns, *rest)
+    others = rows.join(F.broadcast(few.select("hot_key")), same, "left_anti").join(named.where(~hot), same, "left")
+    return met.unionByName(others.select(*rows.columns, *rest))
