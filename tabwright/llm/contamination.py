@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.memory import released
 from tabwright.llm.words import WordHashes, shingle_hashes
 
 #: ASCII punctuation separates words like white space does.
@@ -121,7 +122,7 @@ def contaminated(
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "shared", "item_size"])
 
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-            search, "doc_id long, item_id long, shared long, item_size long"
+            released(search), "doc_id long, item_id long, shared long, item_size long"
         )
         out = found if out is None else out.union(found)
     return out.withColumn("containment", F.col("shared") / F.col("item_size"))
@@ -139,5 +140,5 @@ def drop_contaminated(
             for b in batches:
                 yield b.filter(pa.array([not index.contained(t.as_py()) for t in b.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(released(clean), docs.schema)
     return docs

@@ -127,5 +127,5 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The documents whose row stays, with all their columns."""
     scratch = Scratch(docs.sparkSession)
     rows, uid = numbered(docs, scratch, "exact-docs")
-    gone = exact_duplicates(rows, uid).where("not kept").select(F.col("uid").alias(uid))
-    return rows.join(gone, uid, "left_anti").select(*docs.columns)
+    gone = scratch.table(exact_duplicates(rows, uid).where("not kept").select(F.col("uid").alias(uid)), "exact-gone")
+    return rows.join(broadcast_if_small(gone, gone.count(), _BROADCAST_KEYS), uid, "left_anti").select(*docs.columns)

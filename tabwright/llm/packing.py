@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabwright.llm.scratch import Scratch
+from tabwright.llm.memory import released
 from tabwright.llm.tokens import Encoder, shared
 
 #: Documents that share one salt when ranks are dealt, on average.
@@ -153,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) ->
     )
     cut = scratch.table(
         rows.mapInArrow(
-            lambda batches: _cut_documents(batches, content, end, capacity),
+            released(lambda batches: _cut_documents(batches, content, end, capacity)),
             "uid long, doc_id long, text_key long, doc_tokens long, fulls array<long>, rest_crc long",
         ),
         "packing-documents",
@@ -224,10 +225,11 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) ->
     wanted = cuts.groupBy("text_key").agg(F.collect_list("cut").alias("cuts"))
     crcs = scratch.table(
         rows.select("text_key", "text").join(wanted, "text_key").mapInArrow(
-            lambda batches: _crcs_of_cuts(batches, content, end), "text_key long, start long, length long, crc long"
+            released(lambda batches: _crcs_of_cuts(batches, content, end)), "text_key long, start long, length long, crc long"
         ).distinct(),
         "packing-crcs",
     )
+    content.destroy()
     loosened = pieces.join(crcs, ["text_key", "start", "length"], "left").select(
         "doc_id", "start", "length", F.coalesce("crc", "rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

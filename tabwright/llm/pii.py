@@ -116,7 +116,8 @@ def matches(docs: DataFrame, scratch: Scratch) -> DataFrame:
         "pii-matches",
     )
     so_far = F.sum(F.col("gap") + F.length("match")).over(W.partitionBy("uid", "p").orderBy("pos"))
-    kind, base = (F.element_at(F.array(*(F.lit(p[k]) for p in _PATTERNS)), F.col("p") + 1) for k in (0, 1))
+    # A row without a match has no pattern; an array's place after NULL would be its last.
+    kind, base = (F.when(F.col("p").isNotNull(), F.element_at(F.array(*(F.lit(p[k]) for p in _PATTERNS)), F.col("p") + 1)) for k in (0, 1))
     return table.select(
         "uid", "doc_id", kind.alias("kind"), base.alias("base"), "match", so_far.cast("long").alias("end"),
         (so_far - F.length("match")).cast("long").alias("start"), "before", "after",

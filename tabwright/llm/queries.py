@@ -73,7 +73,7 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Grades of all documents: 0 poor, 1 good but toxic, 2 good; learned from the labels outside the held-out fifth."""
     docs, labels = _documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet")
-    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
+    ratings = labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).when(F.col("toxic") == 0, 2)).alias("grade"))
     return quality.grade(docs, quality.fit(docs, ratings, 3))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabwright.llm.memory import released
 from tabwright.llm.scratch import Scratch
 
 #: ASCII letters lower-cased, other ASCII but digits as blanks; bytes of other characters stay.
@@ -36,7 +37,7 @@ _TERMS = bytes(b if b > 127 or chr(b).isalnum() and not 65 <= b <= 90 else b + 3
 BLOCK, MOST_BLOCKS, SHARD = 64, 24, 8192
 _DIMENSIONS = 16
 #: Vector entries or summary places that are worked on at once while an index is built.
-_AT_ONCE = 4_000_000
+_AT_ONCE = 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -297,7 +298,7 @@ def _shards(batches: Iterator[pa.RecordBatch], weights: Weights, items: Items) -
 def build_index(counted: DataFrame, items: Items, weights: Weights, scratch: Scratch) -> DataFrame:
     """One row per shard: n_docs and the image of a ``Shard``. Documents without any of the items' terms are left out."""
     some = counted.where("size(terms) > 0").select("doc_id", "n", "terms", "tf")
-    return scratch.table(some.mapInArrow(lambda batches: _shards(batches, weights, items), "n_docs long, image binary"), "search-index")
+    return scratch.table(some.mapInArrow(released(lambda batches: _shards(batches, weights, items)), "n_docs long, image binary"), "search-index")
 
 
 def _found(batches: Iterator[pa.RecordBatch], items: Items, weights: Weights, k: int) -> Iterator[pa.RecordBatch]:
@@ -329,7 +330,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, per_block: int = 512,
         def count(batches, vocabulary=block.vocabulary):
             return _counted(batches, vocabulary)
 
-        counted = scratch.table(rows.mapInArrow(count, "doc_id long, n long, terms array<int>, tf array<long>"), "search-terms")
+        counted = scratch.table(rows.mapInArrow(released(count), "doc_id long, n long, terms array<int>, tf array<long>"), "search-terms")
         weights = weights_of(counted, len(block.vocabulary))
         index = build_index(counted, block, weights, scratch)
         scratch.drop(counted)
@@ -339,7 +340,7 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = 20, per_block: int = 512,
 
         ids = docs.sparkSession.createDataFrame(list(enumerate(block.ids)), "item long, item_id long")
         per_item = W.partitionBy("item").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last())
-        top = index.mapInArrow(search, "item long, doc_id long, score long").withColumn("rank", F.row_number().over(per_item)).where(F.col("rank") <= k)
+        top = index.mapInArrow(released(search), "item long, doc_id long, score long").withColumn("rank", F.row_number().over(per_item)).where(F.col("rank") <= k)
         found = scratch.table(top.join(F.broadcast(ids), "item").select("item_id", "rank", "doc_id", "score"), "search-found")
         scratch.drop(index)
         out = found if out is None else out.unionByName(found)

@@ -18,6 +18,8 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 
+from tabwright.llm.memory import ENTRY, LIMIT
+
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
 #: Bytes of text whose words are held at once.
@@ -30,36 +32,36 @@ def read_tokenizer(path: str) -> str:
         return f.read()
 
 
-def _memory() -> dict:
-    """A dictionary that lives as long as the Python worker."""
-    return vars(sys.modules.setdefault("_word_memory", types.ModuleType("_word_memory"))).setdefault("by_tokenizer", {})
+def _library(content: str):
+    """The tokenizer, opened once in a Python worker; its size is fixed."""
+    from tokenizers import Tokenizer
+
+    opened = vars(sys.modules.setdefault("_opened_tokenizers", types.ModuleType("_opened_tokenizers"))).setdefault("by_content", {})
+    key = hash(content)
+    if key not in opened:
+        opened[key] = Tokenizer.from_str(content)
+    return opened[key]
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 16-bit ids.
 
-    At most about ``remembered`` words are held, in two generations: when the younger is full it becomes the older, and words
-    met again move back, so frequent words stay.
+    Words are held up to about ``limit`` bytes, in two generations: when the younger is full it becomes the older, and words
+    met again move back, so frequent words stay. The memory ends with the encoder, that is with the task.
     """
 
-    def __init__(self, content: str, remembered: int = 500_000):
+    def __init__(self, content: str, limit: int = 2 * LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
         shape = json.loads(content)
         before = shape.get("pre_tokenizer") or {}
         if shape.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
             raise ValueError("a byte-level BPE tokenizer without normalisation is needed")
         if any(" " in t["content"] or "\n" in t["content"] or t.get("lstrip") or t.get("rstrip") for t in shape.get("added_tokens", [])):
             raise ValueError("added tokens must not touch white space")
-        key = hash(content)
-        memory = _memory()
-        if key not in memory:
-            memory[key] = (Tokenizer.from_str(content), [{}, {}])
-        self.library, self.generations = memory[key]
+        self.library, self.generations = _library(content), [{}, {}]
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
-        self.remembered = remembered
+        self.limit, self.held = limit, 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = [array("H", e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,6 +84,13 @@ class Encoder:
         return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n\0" else "\0" + p for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; a text that occurs again is encoded once."""
+        distinct = dict.fromkeys(texts)
+        for text, ids in zip(distinct, self._encode_distinct(list(distinct))):
+            distinct[text] = ids
+        return [distinct[t] for t in texts]
+
+    def _encode_distinct(self, texts: list[str]) -> list[bytes]:
         (known, older), cut, new = self.generations, [], set()
         for t in texts:
             pieces = self._words(t)
@@ -91,6 +100,7 @@ class Encoder:
         new.difference_update(known)
         again = new.intersection(older)
         known.update((p, older[p]) for p in again)
+        self.held += sum(map(len, new)) + ENTRY * len(new)
         new -= again
         order = list(new)
         for k in range(0, len(order), 20_000):
@@ -99,8 +109,9 @@ class Encoder:
             known.update(zip(some, self._encode(whole)))
         get = known.__getitem__
         out = [b"".join(map(get, pieces)) if pieces is not None else self._encode([t])[0] for t, pieces in zip(texts, cut)]
-        if 2 * len(known) > self.remembered:
+        if 2 * self.held > self.limit:
             self.generations[:] = {}, known
+            self.held = 0
         return out
 
     def stream(self, texts: Iterable[str | None]) -> Iterator[bytes]:

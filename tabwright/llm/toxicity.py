@@ -23,9 +23,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabwright.llm.memory import released
 from tabwright.llm.scratch import Scratch, rows_of
 from tabwright.llm.words import WordHashes, shingle_hashes, words
 
@@ -142,7 +142,7 @@ def parts(token: str) -> list[str]:
 class HitFinder:
     """Counts of hits by kind and context in a text; the features of the score."""
 
-    def __init__(self, terms: Iterable[str], ordinary: Iterable[str], remembered: int = 300_000):
+    def __init__(self, terms: Iterable[str], ordinary: Iterable[str], remembered: int = 150_000):
         self.automaton, self.ordinary = LexiconAutomaton(sorted(terms)), frozenset(ordinary)
         self.remembered, self.known = remembered, {}
 
@@ -282,17 +282,19 @@ def fit(
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # At most about max_rows small rows, whatever the size of the tables.
     signed = rows_of(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "fold", "toxic", "text").mapInArrow(
-        _signed, "doc_id long, fold int, toxic int, text string, h0 long, h1 long, h2 long"
+        released(_signed), "doc_id long, fold int, toxic int, text string, h0 long, h1 long, h2 long"
     )
     drawn = scratch.table(signed, "toxicity-drawn")
-    order = [F.row_number().over(W.partitionBy(f"h{k}").orderBy("doc_id")).alias(f"p{k}") for k in range(3)]
-    firsts = drawn.select("fold", "toxic", "text", *order).where("p0 = 1 AND p1 = 1 AND p2 = 1")
+    firsts = drawn.dropDuplicates(["doc_id"])
+    for k in range(3):  # the smallest doc_id of each value; no value's rows meet in one task
+        first = drawn.groupBy(f"h{k}").agg(F.min("doc_id").alias("doc_id"))
+        firsts = firsts.join(first, [f"h{k}", "doc_id"], "left_semi")
     sample = scratch.table(
         firsts.select("fold", "toxic", "text").repartition(spark.sparkContext.defaultParallelism * 2), "toxicity-sample"
     )
     lexical = sample.where("fold < 4").select("text", "toxic")
     counts = scratch.table(
-        lexical.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term")
+        lexical.mapInArrow(released(_term_counts), "term string, toxic long, clean long").groupBy("term")
         .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
         "toxicity-terms",
     )
@@ -345,7 +347,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             s = pa.array([model.score(finder.features(t.as_py())) for t in b.column("text")], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), s], ["doc_id", "score"])
 
-    out = rows_of(docs).select("doc_id", "text").mapInArrow(scored, "doc_id long, score double")
+    out = rows_of(docs).select("doc_id", "text").mapInArrow(released(scored), "doc_id long, score double")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -360,4 +362,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
             mask = [model.score(finder.features(t.as_py())) < threshold for t in b.column(at)]
             yield b.filter(pa.array(mask, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(released(kept), docs.schema)

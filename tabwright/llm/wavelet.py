@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabwright.llm.memory import released
 from tabwright.llm.tokens import Encoder, shared
 from tabwright.session import scratch_path
 
@@ -169,15 +170,15 @@ def decode_shard(image: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _shards(batches: Iterator[pa.RecordBatch], content, end: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
     encoder, tail = Encoder(content.value), np.array([end], "<u2").tobytes()
-    docs, parts, size, number, task = [], [], 0, 0, None
+    docs, parts, size, before, task = [], [], 0, 0, None
 
     def image() -> pa.RecordBatch:
         lengths = [len(p) // 2 for p in parts]
         blob = encode_shard(np.frombuffer(b"".join(parts), "<u2"), lengths)
-        columns = [[task], [number], [len(parts)], [sum(lengths)]]
+        columns = [[task], [before], [len(parts)], [sum(lengths)]]
         return pa.RecordBatch.from_arrays(
             [*(pa.array(c, pa.int64()) for c in columns), pa.array([docs], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
-            ["task", "number", "n_docs", "n_ids", "doc_ids", "image"],
+            ["task", "before", "n_docs", "n_ids", "doc_ids", "image"],
         )
 
     for b in batches:
@@ -186,7 +187,7 @@ def _shards(batches: Iterator[pa.RecordBatch], content, end: int, shard_ids: int
             ids += tail
             if parts and size + len(ids) // 2 > shard_ids:
                 yield image()
-                docs, parts, size, number = [], [], 0, number + 1
+                docs, parts, size, before = [], [], 0, before + size
             docs.append(doc_id)
             parts.append(ids)
             size += len(ids) // 2
@@ -205,22 +206,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = 2, shard
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(size / per_task))
-    dealt = rows.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"
-    )
+    # The hash parts rows of one doc_id, or of none.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order, "text")
     dealt.select("doc_id", "text", F.spark_partition_id().cast("long").alias("task")).mapInArrow(
-        lambda batches: _shards(batches, content, end, shard_ids),
-        "task long, number long, n_docs long, n_ids long, doc_ids array<long>, image binary",
+        released(lambda batches: _shards(batches, content, end, shard_ids)),
+        "task long, before long, n_docs long, n_ids long, doc_ids array<long>, image binary",
     ).write.parquet(path)
+    content.destroy()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per shard: first (ids of all shards before), n_ids, doc_ids and image, in no order."""
     shards = spark.read.parquet(path)
-    # One row per shard, so a few thousand rows a terabyte.
-    before = W.orderBy("task", "number").rowsBetween(W.unboundedPreceding, -1)
-    starts = shards.select("task", "number", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
-    return shards.join(starts, ["task", "number"]).select("first", "n_ids", "doc_ids", "image")
+    # A shard knows the ids before it in its task; what lies before a task is one row per task, some 16,000 a terabyte.
+    earlier = W.orderBy("task").rowsBetween(W.unboundedPreceding, -1)
+    bases = shards.groupBy("task").agg(F.sum("n_ids").alias("n")).select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    return shards.join(F.broadcast(bases), "task").select((F.col("base") + F.col("before")).alias("first"), "n_ids", "doc_ids", "image")
 
 
 def documents_of(shards: DataFrame) -> DataFrame:
@@ -239,7 +241,7 @@ def documents_of(shards: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("first", "doc_ids", "image").mapInArrow(decoded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("first", "doc_ids", "image").mapInArrow(released(decoded), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def occurrences(shards: DataFrame, value: int) -> DataFrame:

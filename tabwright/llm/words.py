@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from tabwright.llm.memory import Remembered
+
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -24,14 +26,11 @@ def shingles(ws: list[bytes], width: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(ws[i:] for i in range(width)))))
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     """Word -> 64-bit hash, remembered within a task up to a bound."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+    def __init__(self):
+        super().__init__(xxhash.xxh64_intdigest)
 
 
 def shingle_hashes(ws: list[bytes], width: int, known: dict) -> np.ndarray:

@@ -95,7 +95,7 @@ def test_trees_add_spans_without_the_checks(spark):
 def test_matches_cover_each_text(spark):
     df = spark.createDataFrame([(1, "a 1.2.3.4 b"), (2, "nothing")], "doc_id long, text string")
     rows = pii.matches(df, Scratch(spark)).where("base or kind is null").collect()
-    assert sorted((r.doc_id, r.kind, r.start, r.end) for r in rows if r.kind) == [(1, "ip", 2, 9)]
+    assert sorted((r.doc_id, r.kind or "", r.start, r.end, r.base, r.match) for r in rows) == [(1, "ip", 2, 9, True, "1.2.3.4"), (2, "", None, None, None, None)]
 
 
 def test_trees_add_spans_without_the_marks(spark):

@@ -7,7 +7,7 @@ from conftest import SMALL
 from tabwright.llm import queries
 from tabwright.llm.toxicity import fit
 from test_contamination import brute
-from test_duplicates import plain_components, plain_fingerprint
+from test_near import survivors
 from test_packing import check
 
 
@@ -19,8 +19,7 @@ def test_pipeline_matches_plain_stages(spark):
     left = {i: t for i, t in texts.items() if model.score(finder.features(t)) < 0.5}
     last = {t: i for i, t in sorted(left.items())}
     left = {i: left[i] for i in last.values()}
-    roots = plain_components({i: plain_fingerprint(t) for i, t in left.items()})
-    left = {i: left[i] for i in set(roots.values())}
+    left = {i: left[i] for i in survivors(left)}
     items = duckdb.sql(f"SELECT item_id, text FROM '{SMALL}/benchmark.parquet'").fetchall()
     hit = {d for d, *_ in brute(list(left.items()), items)}
     left = {i: [t] for i, t in left.items() if i not in hit}
