@@ -11,7 +11,8 @@ from tabwright.operators import explain as X
 from tabwright.operators import isolation as A
 from tabwright.operators import trees as R
 from tabwright.operators.columns import expand_array
-from tabwright.operators.density import density_hint
+from tabwright.operators.density import cell_counts, density_hint
+from tabwright.operators.silhouettes import silhouette_bounds
 from tabwright.plans.analysis import analyse
 from tabwright.plans.analysis import k_choice as explain_k
 from tabwright.session import materialise
@@ -148,10 +149,19 @@ SELECT round(avg((b - a) / greatest(a, b)), {digits}) AS silhouette FROM w"""
 
 @query(_silhouette_sql("list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))", 4))
 def silhouette(spark, folder):
-    """Euclidean silhouette; the sample of 10,000 rows is the whole table up to that size."""
+    """Euclidean silhouette of all rows; exact where there are no more rows than cells, else between bounds."""
     return spark.createDataFrame([(C.silhouette(labelled(spark, folder), "label"),)], "silhouette double")
 
 
+@query("SELECT count(*) AS n, TRUE AS ordered, TRUE AS narrower FROM lineitem")
+def silhouette_interval(spark, folder):
+    """Bounds on the silhouette of the order lines by return flag: the estimate lies between them, more cells draw them closer."""
+    rows = table(spark, folder, "lineitem").select("l_returnflag", *_LINE)
+    few, many = (silhouette_bounds(rows, "l_returnflag", cells).first() for cells in (64, 512))
+    ordered = all(-1 <= r["low"] <= r["silhouette"] <= r["high"] <= 1 for r in (few, many)) and many["low"] <= few["high"] and few["low"] <= many["high"]
+    return spark.createDataFrame([(many["rows"], ordered, many["high"] - many["low"] < few["high"] - few["low"])], "n long, ordered boolean, narrower boolean")
+
+
 @query(_silhouette_sql("pow(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 2)", 4))
 def silhouette_squared(spark, folder):
     value = C.silhouette_squared(labelled(spark, folder), "label")
@@ -208,11 +218,36 @@ def cluster_stability(spark, folder):
     return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "run int, ari double")
 
 
-@query()
+_PLANE = """SELECT least(CAST(floor((l_quantity - a) / (b - a) * 64) AS INTEGER), 63) AS i,
+  least(CAST(floor((l_extendedprice - c) / (d - c) * 64) AS INTEGER), 63) AS j, count(*) AS n FROM lineitem,
+  (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem) GROUP BY 1, 2"""
+
+
+@query(_PLANE)
+def density_cells(spark, folder):
+    """Order lines per cell of a grid over quantity and price."""
+    return cell_counts(table(spark, folder, "lineitem").select(F.col("l_quantity").alias("PC1"), F.col("l_extendedprice").alias("PC2")))
+
+
+@query("SELECT count(*) AS n, TRUE AS whole FROM embeddings")
 def density_groups(spark, folder):
-    hint = density_hint(labelled(spark, folder).drop("label"), 20)
-    return spark.createDataFrame([(hint.n_clusters, hint.n_noise, hint.noise_ratio)],
-                                 "n_clusters int, n_noise long, noise_ratio double")
+    """Groups and noise on the principal plane account for every vector."""
+    rows = labelled(spark, folder).drop("label")
+    hint = density_hint(C.pca_2d(rows), 20)
+    whole = hint.n_clusters >= 0 and abs(hint.noise_ratio - 100.0 * hint.n_noise / rows.count()) < 0.01
+    return spark.createDataFrame([(rows.count(), whole and 0 <= hint.n_noise <= rows.count())], "n long, whole boolean")
+
+
+@query("SELECT count(*) AS n, TRUE AS close, TRUE AS nearest FROM lineitem")
+def minibatch_clusters(spark, folder):
+    """Mini-batch centres cost at most a twentieth more than full k-means, and every row is at its nearest centre."""
+    rows = materialise(table(spark, folder, "lineitem").select(*_LINE), "lines")
+    full, fit = C.fit_kmeans(rows, 4, inits=1), C.fit_minibatch(rows, 4)
+    gaps = [sum((F.col(f).cast("double") - c) ** 2 for f, c in zip(fit.features, center)) for center in fit.centers]
+    own = F.element_at(F.array(*gaps), F.col("cluster") + 1)
+    return fit.assign(rows).agg(
+        F.count(F.lit(1)).alias("n"), (F.sum(own) <= 1.05 * full.cost).alias("close"), F.bool_and(own <= F.least(*gaps) * (1 + 1e-6) + 1e-6).alias("nearest")
+    )
 
 
 # A fixed score over the events: min-max of the value, the top tenth of the range flagged.
@@ -292,24 +327,52 @@ def _forest(spark, folder):
     return A.anomaly_table(rows, keep=["l_orderkey"])
 
 
-@query()
+_WHOLE = "SELECT count(*) AS n, TRUE AS flagged, TRUE AS graded FROM lineitem"
+
+
+def _statements(rows):
+    """Scores of every row: raw scores within (-1, 0), the flag and the severity follow from the scores."""
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_and((F.col("is_anomaly") == (F.col("decision_score") < 0).cast("int")) & F.col("raw_score").between(-1, 0)).alias("flagged"),
+        F.bool_and(F.col("anomaly_score").between(0, 1) & ((F.col("severity") == "normal") == (F.col("is_anomaly") == 0))).alias("graded"),
+    )
+
+
+@query(_WHOLE)
 def isolation_scores(spark, folder):
-    return _forest(spark, folder).rows
+    return _statements(_forest(spark, folder).rows)
 
 
-@query()
+@query("SELECT count(*) AS total_rows, TRUE AS near FROM lineitem")
 def isolation_contamination(spark, folder):
     """The share of flagged rows follows the wanted contamination."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
-    return A.anomaly_table(rows, contamination=0.02).summary
+    return A.anomaly_table(rows, contamination=0.02).summary.select("total_rows", F.col("anomaly_ratio").between(1.9, 2.1).alias("near"))
 
 
-@query()
+@query(_WHOLE + " WHERE l_shipdate >= DATE '1998-01-01'")
 def isolation_new_rows(spark, folder):
     """A forest fitted on the older lines scores the later ones."""
     lines = table(spark, folder, "lineitem")
     forest = A.anomaly_table(lines.filter(F.col("l_shipdate") < "1998-01-01").select(*_LINE)).forest
-    return A.detect(lines.filter(F.col("l_shipdate") >= "1998-01-01").select(*_LINE), forest, "fit")
+    return _statements(A.detect(lines.filter(F.col("l_shipdate") >= "1998-01-01").select(*_LINE), forest, "fit"))
+
+
+@query("""
+SELECT CAST(t AS INTEGER) AS tree, CAST(count(*) AS BIGINT) AS root_rows, TRUE AS consistent FROM lineitem, range(4) r(t) GROUP BY t
+""")
+def isolation_levels(spark, folder):
+    """Trees over all rows, grown level by level: leaves hold every row, and a split node's rows are those of its children."""
+    rows = table(spark, folder, "lineitem").select(*_LINE)
+    forest = A.fit_forest(rows, trees=4, max_samples=1.0)
+    nodes = (forest if isinstance(forest, A.StoredForest) else forest.stored(spark)).nodes
+    children = nodes.groupBy("tree", F.shiftright("node", 1).alias("node")).agg(F.sum("size").alias("below"), F.count(F.lit(1)).alias("m"))
+    inner = nodes.filter("feature >= 0").join(children, ["tree", "node"], "left").groupBy("tree").agg(
+        F.bool_and(F.coalesce((F.col("size") == F.col("below")) & (F.col("m") == 2), F.lit(False))).alias("parted")
+    )
+    per = nodes.groupBy("tree").agg(F.max(F.when(F.col("node") == 1, F.col("size"))).alias("root_rows"), F.sum(F.when(F.col("feature") < 0, F.col("size"))).alias("held"))
+    return per.join(inner, "tree").select("tree", "root_rows", (F.col("parted") & (F.col("held") == F.col("root_rows"))).alias("consistent"))
 
 
 def _contributions(spark, folder, method):
@@ -387,7 +450,7 @@ def classification_report(spark, folder):
 def supervised_report(spark, folder):
     """Random forest for the line status, evaluated on a stratified fifth."""
     rows = table(spark, folder, "lineitem").select("l_linestatus", *_LINE, F.year("l_shipdate").alias("y"))
-    return R.train_supervised(rows, "l_linestatus", trees=20).report
+    return R.train_supervised(rows, "l_linestatus").report
 
 
 @query()
@@ -400,4 +463,4 @@ def analysis_findings(spark, folder):
 def k_choice(spark, folder):
     """The k used for the order lines beside the hinted one and its score."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
-    return explain_k(C.cluster_table(rows, use_density=False))
+    return explain_k(C.cluster_table(rows))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -19,8 +22,8 @@ from tabwright.functions.scalars import finite_or_zero, percent
 from tabwright.operators.aggregates import long_group_means
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.density import DensityHint, density_hint
-from tabwright.operators.sampled import silhouettes
-from tabwright.operators.sampling import sample_rows
+from tabwright.operators.sampling import row_hash
+from tabwright.operators.silhouettes import silhouette_bounds
 from tabwright.session import materialise, spread
 
 #: From here on the report calls a table large; nothing else depends on it.
@@ -76,48 +79,117 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2 * x @ centers.T, 0.0)
 
 
+def _together(spark, jobs: list[Callable]) -> list:
+    """Results of independent fits, a few of which run at a time, as their many short steps leave a cluster idle."""
+    with ThreadPoolExecutor(min(4, len(jobs))) as pool:
+        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
+
+
+def _moments(rows: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float]]:
+    """Mean and population variance of each column, in one pass."""
+    r = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    return [r[f"m{i}"] or 0.0 for i in range(len(features))], [r[f"v{i}"] or 0.0 for i in range(len(features))]
+
+
+def _step(tol: float, variances: Sequence[float], k: int) -> float:
+    """How far a centre may still move at the end: ``tol`` times the mean variance of the columns, shared out as a squared distance."""
+    return float(np.sqrt(tol * np.mean(variances) / k))
+
+
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, inits: int = 2, n_rows: int | None = None,
                max_iter: int = 100, tol: float = 1e-4) -> KMeansFit:
     """k-means over every row, the cheapest of ``inits`` runs from k-means|| starts.
 
     Missing and infinite values count as 0, as in ``numeric_matrix``. ``k`` never
-    exceeds the row count; fewer distinct rows give fewer clusters.
+    exceeds the row count; fewer distinct rows give fewer clusters. ``tol`` is relative to the mean variance of the columns.
     """
     features = numeric_columns(df)
     n = df.count() if n_rows is None else n_rows
     k = max(1, min(k, n))
     rows = numeric_matrix(df.select(*features))
+    means, variances = _moments(rows, features)
     if k == 1:
-        r = rows.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(features)]).first()
-        center = [r[f"m{i}"] or 0.0 for i in range(len(features))]
-        return KMeansFit(features, [center], [n], n * sum(r[f"v{i}"] or 0.0 for i in range(len(features))), 0)
+        return KMeansFit(features, [means], [n], n * sum(variances), 0)
     vectors = assemble(rows, features).select(_VECTOR).persist()
-    best = None
-    for i in range(inits):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol, featuresCol=_VECTOR).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
+    vectors.count()
+    step = _step(tol, variances, k)
+    jobs = [lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=step, featuresCol=_VECTOR).fit(vectors) for i in range(inits)]
+    best = min(_together(df.sparkSession, jobs), key=lambda m: m.summary.trainingCost)
     vectors.unpersist()
     centers = [c.tolist() for c in best.clusterCenters()]
     return KMeansFit(features, centers, list(best.summary.clusterSizes), best.summary.trainingCost, best.summary.numIter)
 
 
-def _points(df: DataFrame, features: Sequence[str], *extra: str):
-    """A bounded sample as arrays: its points and any extra columns."""
-    local = df.select(*extra, *features).toPandas()
-    return local[list(features)].to_numpy("float64"), local
+def _near_sums(part: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Per centre the number and sum of the rows (array column x) nearest to it, and all squared distances; added up in the tasks."""
+    k, width = centers.shape
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total, cost = np.zeros(k, np.int64), np.zeros((k, width)), 0.0
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(-1, width)
+            squares = _squares(x, centers)
+            at = squares.argmin(1)
+            cost += float(squares[np.arange(len(x)), at].sum())
+            count += np.bincount(at, minlength=k)
+            order = np.argsort(at, kind="stable")
+            met, first = np.unique(at[order], return_index=True)
+            if len(met):
+                total[met] += np.add.reduceat(x[order], first, axis=0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(k)), pa.array(count), pa.array(list(total), pa.list_(pa.float64())), pa.array(np.where(np.arange(k) == 0, cost, 0.0))],
+            ["centre", "n", "total", "cost"],
+        )
+
+    parts = part.select("x").mapInArrow(gather, "centre long, n long, total array<double>, cost double")
+    sums = [F.sum(F.col("total")[i]).alias(f"t{i}") for i in range(width)]
+    got = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.sum("cost").alias("cost"), *sums).toPandas().sort_values("centre")  # k rows
+    if got.empty:
+        return np.zeros(k, np.int64), np.zeros((k, width)), 0.0
+    return got["n"].to_numpy(), got[[f"t{i}" for i in range(width)]].to_numpy(), float(got["cost"].sum())
 
 
-def silhouette(df: DataFrame, label: str = "cluster", sample: int = 10_000, seed: int = 42,
-               n_rows: int | None = None) -> float | None:
-    """Mean Euclidean silhouette of at most ``sample`` rows; null for one cluster.
+def fit_minibatch(df: DataFrame, k: int, seed: int = 42, batches: int = 8, epochs: int = 2, n_rows: int | None = None,
+                  tol: float = 1e-3, max_start: int = 10) -> KMeansFit:
+    """Mini-batch k-means: every row is dealt to one of ``batches`` batches by a hash, and after each batch every centre moves
+    towards its rows' mean by the share they have in all rows it has met so far.
 
-    Exact silhouettes compare every row with every other, so the measure is
-    defined on a sample; ``silhouette_squared`` covers all rows.
+    An epoch reads every row once: the stored rows are ordered by batch within their files, so a batch reads its own part. It ends after
+    ``epochs`` or when an epoch moves the centres by no more than ``tol`` times the mean variance. Starts are found on the first batch. Sizes
+    and cost are those of all rows under the final centres. Missing and infinite values count as 0.
     """
-    features = numeric_columns(df, exclude=[label])
-    points, local = _points(sample_rows(df.select(label, *features), sample, seed, n_rows), features, label)
-    return silhouettes(df.sparkSession, points, {"given": local[label].to_numpy()}).get("given")
+    features = numeric_columns(df)
+    rows = numeric_matrix(df.select(*features))
+    x = F.array(*[F.col(f).cast("double") for f in features]).alias("x")
+    numbered = spread(rows.select(x)).withColumn("__row", F.monotonically_increasing_id())
+    dealt = numbered.select("x", F.pmod(row_hash(["__row"], seed), F.lit(batches)).cast("int").alias("batch"))
+    stored = materialise(dealt.sortWithinPartitions("batch"), "batches")
+    n = stored.count() if n_rows is None else n_rows
+    k = max(1, min(k, n))
+    first = stored.filter(F.col("batch") == 0).select(*[F.col("x")[i].alias(f) for i, f in enumerate(features)])
+    if k == 1 or first.limit(k).count() < k:  # fewer rows than one batch needs
+        return fit_kmeans(df, k, seed, 1, n)
+    _, variances = _moments(rows, features)
+    start = fit_kmeans(first, k, seed, 1, max_iter=max_start)
+    centers, done = np.array(start.centers), 0
+    for _ in range(epochs):
+        before, met = centers.copy(), np.zeros(len(centers))
+        for b in range(batches):
+            count, total, _ = _near_sums(stored.filter(F.col("batch") == b), centers)
+            met += count
+            moved = count > 0
+            centers[moved] += (total[moved] - count[moved, None] * centers[moved]) / met[moved, None]
+        done += 1
+        if ((centers - before) ** 2).sum() <= tol * np.mean(variances):
+            break
+    count, _, cost = _near_sums(stored, centers)
+    return KMeansFit(features, centers.tolist(), count.tolist(), cost, done)
+
+
+def silhouette(df: DataFrame, label: str = "cluster", cells: int = 1024, seed: int = 42) -> float | None:
+    """Mean Euclidean silhouette of all rows, estimated between the bounds of ``silhouette_bounds``; null for one cluster."""
+    found = silhouette_bounds(df, label, cells, seed)
+    return None if found is None else round(found.first()["silhouette"], 4)
 
 
 def silhouette_squared(df: DataFrame, label: str = "cluster") -> float:
@@ -138,7 +210,7 @@ def davies_bouldin(df: DataFrame, label: str = "cluster") -> DataFrame:
     centers = df.groupBy(label).agg(F.array(*[F.avg(f) for f in features]).alias("__center"))
     spread = (
         df.select(label, F.array(*[F.col(f).cast("double") for f in features]).alias("__x"))
-        .join(F.broadcast(centers), label)  # one row per cluster
+        .join(centers, label)
         .groupBy(label).agg(F.avg(_gap("__x", "__center")).alias("s"))
     )
     one = centers.join(spread, label)
@@ -160,13 +232,20 @@ def search_k(df: DataFrame, low: int = 2, high: int = 10, seed: int = 42,
     if n < 3:
         return 1, {}, None
     low, features = max(2, low), numeric_columns(df)
-    vectors = assemble(numeric_matrix(df.select(*features)), features).select(_VECTOR).persist()
+    rows = numeric_matrix(df.select(*features))
+    _, variances = _moments(rows, features)
+    vectors = assemble(rows, features).select(_VECTOR).persist()
+    vectors.count()
     measure = ClusteringEvaluator(featuresCol=_VECTOR)
-    scores = {}
-    for k in range(low, max(low, min(high, n - 1)) + 1):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol=_VECTOR).fit(vectors)
-        if sum(size > 0 for size in model.summary.clusterSizes) > 1:
-            scores[k] = round(measure.evaluate(model.transform(vectors)), 4)
+
+    def measured(k: int) -> float | None:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=_step(1e-4, variances, k), featuresCol=_VECTOR).fit(vectors)
+        several = sum(size > 0 for size in model.summary.clusterSizes) > 1
+        return round(measure.evaluate(model.transform(vectors)), 4) if several else None
+
+    ks = range(low, max(low, min(high, n - 1)) + 1)
+    found = _together(df.sparkSession, [lambda k=k: measured(k) for k in ks])
+    scores = {k: score for k, score in zip(ks, found) if score is not None}
     vectors.unpersist()
     if not scores:
         return low, {}, None
@@ -306,24 +385,21 @@ def cluster_table(
     min_cluster_size: int = 100,
     max_k: int = 10,
     seed: int = 42,
-    density_sample: int = 30_000,
     high_noise: float = 40.0,
-    window: int = 1,
+    minibatch: bool = False,
 ) -> Clustering:
-    """Density hint, silhouette search around it, k-means and measures on every row.
+    """Silhouette search over every k from 2 to ``max_k``, k-means (or mini-batches) and measures, all on every row.
 
-    Only the density hint, which compares rows pairwise, reads a sample of ``density_sample`` rows.
+    The density hint is a remark and sets k only where there is no search.
     """
     x = materialise(spread(numeric_matrix(df)), "features")
     n = x.count()
-    hint = density_hint(sample_rows(x, density_sample, seed, n), min_cluster_size) if use_density else DensityHint(None, None, None)
+    hint = density_hint(pca_2d(x), min_cluster_size) if use_density else DensityHint(None, None, None)
     k_hint = hinted_k(hint.n_clusters, default_k, 2, max_k)
-    usable = hint.n_clusters is not None and hint.n_clusters >= 2
     scores, best_score, k = {}, None, k_hint
     if search and n >= 3:
-        low, high = (max(2, k_hint - window), min(max_k, k_hint + window)) if usable else (2, max_k)
-        k, scores, best_score = search_k(x, low, high, seed, n)
-    fit = fit_kmeans(x, k, seed, n_rows=n)
+        k, scores, best_score = search_k(x, 2, max_k, seed, n)
+    fit = fit_minibatch(x, k, seed, n_rows=n) if minibatch else fit_kmeans(x, k, seed, n_rows=n)
     rows = materialise(fit.assign(x), "clustered")
     several = sum(size > 0 for size in fit.sizes) > 1
     sil = round(silhouette_squared(rows), 4) if several else None
@@ -332,6 +408,6 @@ def cluster_table(
         rows=rows, fit=fit, k=fit.k, hint=hint, k_hint=k_hint, scores=scores, best_score=best_score,
         silhouette=sil, davies_bouldin=db, metrics_rows=n if several else 0,
         high_noise=hint.noise_ratio is not None and hint.noise_ratio >= high_noise, is_large=n >= LARGE_ROWS,
-        algorithm="KMeans", profile=profile_clusters(rows), pca=pca_2d(rows, ["cluster"]),
-        options={"max_k": max_k, "min_cluster_size": min_cluster_size, "window": window},
+        algorithm="MiniBatchKMeans" if minibatch else "KMeans", profile=profile_clusters(rows), pca=pca_2d(rows, ["cluster"]),
+        options={"max_k": max_k, "min_cluster_size": min_cluster_size},
     )

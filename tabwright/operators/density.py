@@ -1,20 +1,17 @@
-"""How many dense groups a bounded sample shows, and how much of it is noise."""
+"""A hint at the number of dense groups: every row is counted into a cell of the principal plane, and dense cells are linked.
+
+The cells are the only thing the driver sees, at most ``side`` x ``side`` of them however many rows there are.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.columns import numeric_columns
-from tabwright.operators.sampled import pairwise
-
-_MAX_POINTS = 200_000
-_BLOCK = 256
+_SIDE = 64
 
 
 @dataclass
@@ -24,170 +21,63 @@ class DensityHint:
     noise_ratio: float | None
 
 
-def density_hint(df: DataFrame, min_cluster_size: int = 100) -> DensityHint:
-    """Hierarchical density clustering over mutual reachability distances.
+def cell_counts(plane: DataFrame, side: int = _SIDE) -> DataFrame:
+    """(i, j, n): rows per cell of a ``side`` x ``side`` grid over the range of PC1 and PC2."""
+    low = plane.agg(F.min("PC1").alias("a"), F.max("PC1").alias("b"), F.min("PC2").alias("c"), F.max("PC2").alias("d"))
 
-    The caller bounds the rows (a sample, or a table below the large-table
-    limit). The spanning tree is built in rounds: each round is a Spark job in
-    which every task finds, for its block of points, the nearest point of
-    another component; a grouped minimum keeps one edge per component. Only the
-    tree's edges, one fewer than the points, are read off at the end.
-    """
-    features = numeric_columns(df)
-    points = df.select(*[F.col(f).cast("double") for f in features]).toPandas().to_numpy()
-    n = len(points)
-    if n > _MAX_POINTS:
-        raise ValueError(f"density hint takes at most {_MAX_POINTS} points; give it a sample")
-    if n < min_cluster_size:
-        return DensityHint(0, n, 100.0)
-    edges = _spanning_tree(df.sparkSession, points, min_cluster_size)
-    labels = _stable_groups(edges, n, min_cluster_size)
-    noise = int((labels < 0).sum())
-    return DensityHint(len(set(labels[labels >= 0])), noise, round(noise / n * 100, 2))
-
-
-def _spanning_tree(spark, points: np.ndarray, neighbours: int) -> pd.DataFrame:
-    n = len(points)
-    tasks = spark.sparkContext.defaultParallelism
-    shared = spark.sparkContext.broadcast((points, (points * points).sum(1)))
-    blocks = spark.range(n).repartition(tasks)
-    k = min(neighbours, n) - 1
-
-    def core(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, norms = shared.value
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for i in range(0, len(ids), _BLOCK):
-                at = ids[i : i + _BLOCK]
-                d = np.partition(pairwise(x, norms, at), k, axis=1)[:, k]
-                yield pd.DataFrame({"id": at, "core": d})
-
-    cores = blocks.mapInPandas(core, "id long, core double").toPandas().sort_values("id")["core"].to_numpy()
-    component = np.arange(n)
-    edges = []
-    while component.max() > 0:
-        state = spark.sparkContext.broadcast((cores, component))
-
-        def nearest(batches: Iterator[pd.DataFrame], state=state) -> Iterator[pd.DataFrame]:
-            x, norms = shared.value
-            core_of, comp = state.value
-            for batch in batches:
-                ids = batch["id"].to_numpy()
-                for i in range(0, len(ids), _BLOCK):
-                    at = ids[i : i + _BLOCK]
-                    d = np.maximum(pairwise(x, norms, at), core_of[None, :])
-                    d = np.maximum(d, core_of[at, None])
-                    d[comp[at, None] == comp[None, :]] = np.inf
-                    to = d.argmin(1)
-                    yield pd.DataFrame({"comp": comp[at], "a": at, "b": to, "w": d[np.arange(len(at)), to]})
-
-        found = blocks.mapInPandas(nearest, "comp long, a long, b long, w double")
-        # The order on (weight, lower id, higher id) is total, so no cycle can form.
-        order = F.struct("w", F.least("a", "b"), F.greatest("a", "b"))
-        least = found.groupBy("comp").agg(F.min_by(F.struct("a", "b", "w"), order).alias("e")).select("e.*").toPandas()
-        parent = np.arange(component.max() + 1)
-
-        def root(c, parent=parent):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        for a, b, w in least.itertuples(index=False):
-            ra, rb = root(component[a]), root(component[b])
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-                edges.append((a, b, w))
-        roots = np.array([root(c) for c in range(len(parent))])
-        component = np.unique(roots[component], return_inverse=True)[1]
-        state.unpersist()
-    return pd.DataFrame(edges, columns=["a", "b", "w"]).sort_values("w", kind="stable")
-
-
-def _stable_groups(edges: pd.DataFrame, n: int, min_size: int) -> np.ndarray:
-    """Groups of largest stability in the tree of merges; -1 is noise.
-
-    Merging the edges from short to long gives a binary tree. A split counts
-    when both sides reach ``min_size``; otherwise points drop out of the group.
-    A group's stability is the sum over its points of 1/distance at leaving
-    minus 1/distance at the group's birth.
+    def place(v: str, least: str, most: str):
+        at = F.floor((F.col(v) - F.col(least)) / F.nullif(F.col(most) - F.col(least), F.lit(0.0)) * side)
+        return F.coalesce(F.least(at, F.lit(side - 1)), F.lit(0)).cast("int")
+
+    return plane.crossJoin(F.broadcast(low)).select(place("PC1", "a", "b").alias("i"), place("PC2", "c", "d").alias("j")).groupBy("i", "j").agg(  # one row
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+def _neighbours(grid: np.ndarray, reach: int = 1) -> np.ndarray:
+    """Rows within ``reach`` cells of each cell."""
+    padded = np.pad(grid, reach)
+    n, m = grid.shape
+    return sum(padded[a : a + n, b : b + m] for a in range(2 * reach + 1) for b in range(2 * reach + 1))
+
+
+def dense_groups(grid: np.ndarray, min_cluster_size: int) -> tuple[int, int]:
+    """How many groups of touching dense cells hold at least ``min_cluster_size`` rows, and the rows outside of them.
+
+    Of all density levels the one with the most such groups counts (the lowest of equals), as long as half of the rows are in them.
     """
-    left, right, dist, size = _merge_tree(edges, n)
-    inverse = lambda d: 1.0 / max(d, 1e-12)
-    stability: dict[int, float] = {}
-    children: dict[int, list[int]] = {}
-    members: dict[int, list[int]] = {}
-    top = 2 * n - 2
-    stack = [(top, top, 0.0)]
-    while stack:
-        group, node, birth = stack.pop()
-        stability.setdefault(group, 0.0)
-        children.setdefault(group, [])
-        members.setdefault(group, [])
-        while True:
-            if node < n:
-                members[group].append(node)
-                break
-            lam = inverse(dist[node])
-            a, b = left[node], right[node]
-            big = [c for c in (a, b) if size[c] >= min_size]
-            if len(big) == 2:
-                stability[group] += size[node] * (lam - birth)
-                children[group] = [a, b]
-                stack += [(a, a, lam), (b, b, lam)]
-                break
-            stay = big[0] if big else None
-            for c in (a, b):
-                if c != stay:
-                    stability[group] += size[c] * (lam - birth)
-                    members[group].append(c)
-            if stay is None:
-                break
-            node = stay
-    return _select(stability, children, members, left, right, top, n)
-
-
-def _merge_tree(edges: pd.DataFrame, n: int):
-    parent = list(range(2 * n - 1))
-    left, right, dist = [0] * (2 * n - 1), [0] * (2 * n - 1), [0.0] * (2 * n - 1)
-    size = [1] * n + [0] * (n - 1)
-    nxt = n
-    for a, b, w in edges.itertuples(index=False):
-        ends = []
-        for c in (int(a), int(b)):
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            ends.append(c)
-        left[nxt], right[nxt], dist[nxt] = ends[0], ends[1], w
-        size[nxt] = size[ends[0]] + size[ends[1]]
-        parent[ends[0]] = parent[ends[1]] = nxt
-        nxt += 1
-    return left, right, dist, size
-
-
-def _select(stability, children, members, left, right, top, n) -> np.ndarray:
-    """Bottom up, keep a group when it is at least as stable as its best parts."""
-    best: dict[int, float] = {}
-    chosen: dict[int, list[int]] = {}
-    for group in sorted(stability):
-        parts = children[group]
-        below = sum(best[c] for c in parts)
-        if group != top and (not parts or stability[group] >= below):
-            best[group], chosen[group] = stability[group], [group]
-        else:
-            best[group], chosen[group] = below, [g for c in parts for g in chosen[c]]
-    labels = np.full(n, -1)
-    for number, group in enumerate(chosen.get(top, [])):
-        todo = [group]
-        while todo:
-            g = todo.pop()
-            todo += children[g]
-            nodes = list(members[g])
-            while nodes:
-                v = nodes.pop()
-                if v < n:
-                    labels[v] = number
-                else:
-                    nodes += [left[v], right[v]]
-    return labels
+    total, best = int(grid.sum()), (0, int(grid.sum()))
+    smooth = _neighbours(grid)
+    for level in np.unique(np.quantile(smooth[grid > 0], np.linspace(0, 0.9, 19))) if total else ():
+        sizes = _sizes(smooth >= level, grid)
+        kept = sizes[sizes >= min_cluster_size]
+        noise = total - int(kept.sum())
+        if len(kept) > best[0] and 2 * noise <= total:
+            best = len(kept), noise
+    return best
+
+
+def _sizes(dense: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """Rows per group of dense cells that touch, corners included."""
+    label = np.where(dense & (grid > 0), np.arange(1, grid.size + 1).reshape(grid.shape), 0)
+    while True:
+        padded = np.pad(label, 1)
+        n, m = grid.shape
+        highest = np.maximum.reduce([padded[a : a + n, b : b + m] for a in range(3) for b in range(3)])
+        spread = np.where(label > 0, highest, 0)
+        if (spread == label).all():
+            break
+        label = spread
+    return np.array([int(grid[label == g].sum()) for g in np.unique(label[label > 0])], np.int64)
+
+
+def density_hint(plane: DataFrame, min_cluster_size: int = 100, side: int = _SIDE) -> DensityHint:
+    """Dense groups and the share of rows outside them, from the rows' PC1 and PC2; all counts are NULL without rows."""
+    grid = np.zeros((side, side), np.int64)
+    for r in cell_counts(plane, side).collect():  # at most side * side rows
+        grid[r["i"], r["j"]] = r["n"]
+    total = int(grid.sum())
+    if not total:
+        return DensityHint(None, None, None)
+    found, noise = dense_groups(grid, min_cluster_size)
+    return DensityHint(found, noise, round(100.0 * noise / total, 2))

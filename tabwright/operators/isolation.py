@@ -1,28 +1,36 @@
-"""Isolation forest: trees grown in parallel groups, scoring on every row."""
+"""Isolation forest: trees grown level by level over all their rows, scoring on every row.
+
+A level is one ``groupBy(tree, node)`` of counts, minima and maxima; a node's split is drawn from a hash of its number, and its rows
+go on to the next level. A node that is down to ``IN_TASK`` rows is finished by one task. Nodes are numbered as in a heap
+(root 1, children 2i and 2i + 1), so no level has to know another. Forests of few nodes travel to the rows as arrays; for others the rows go down the
+stored node table, level by level.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.scalars import finite_or_zero, percent, severity
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.ranking import top_n
+from tabwright.operators.sampling import mark_smallest
 from tabwright.session import materialise, spread
 
-MAX_TREE_ROWS = 1_000_000
+#: Rows of a node that one task grows on by itself; nodes that are sent to the rows as arrays; splits of a level sent to the rows.
+IN_TASK, ARRAY_NODES, FEW_SPLITS = 4096, 2_000_000, 20_000
 RESULT_COLUMNS = ["is_anomaly", "anomaly_score", "decision_score", "raw_score", "severity"]
 
-_NODES = (
-    "tree int, node int, feature int, threshold double, left int, right int, size long, depth int"
-)
+_NODES = "tree int, node long, feature int, threshold double, size long, depth int"
+_ROW = "__row"
 
 
 def average_path(n: float) -> float:
@@ -34,12 +42,31 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+@dataclass
+class StoredForest:
+    """A forest as a table of nodes (``feature`` is -1 at a leaf), of any size."""
+
+    features: list[str]
+    rows_per_tree: int
+    trees: int
+    nodes: DataFrame
+    offset: float = -0.5
+    fit_range: tuple[float, float] | None = None
+
+    def save(self, spark, path: str) -> None:
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        low, high = self.fit_range or (None, None)
+        spark.createDataFrame(
+            [(self.features, self.rows_per_tree, self.trees, self.offset, low, high)],
+            "features array<string>, rows_per_tree long, trees int, offset double, low double, high double",
+        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/record")
+
+
 @dataclass
 class Forest:
     """Node arrays of all trees, each padded to the size of the largest.
 
-    ``feature`` is -1 at a leaf. At most (2 * rows per tree - 1) nodes per tree,
-    so the arrays are small and travel inside the scoring function.
+    ``feature`` is -1 at a leaf. There are at most ``ARRAY_NODES`` nodes, so the arrays travel inside the scoring function.
     """
 
     features: list[str]
@@ -58,53 +85,45 @@ class Forest:
         extra = np.vectorize(average_path)(self.size.astype(float))
         return np.where(self.feature < 0, self.depth + extra, 0.0)
 
-    def node_table(self, spark) -> DataFrame:
-        rows = [
-            (t, i, int(self.feature[t, i]), float(self.threshold[t, i]), int(self.left[t, i]),
-             int(self.right[t, i]), int(self.size[t, i]), int(self.depth[t, i]))
-            for t in range(len(self.feature)) for i in range(self.feature.shape[1]) if self.size[t, i] > 0
-        ]
-        return spark.createDataFrame(rows, _NODES)
+    def stored(self, spark) -> StoredForest:
+        """The same forest as a table of nodes."""
+        rows = []
+        for t in range(len(self.feature)):
+            todo = [(0, 1)]
+            while todo:
+                i, node = todo.pop()
+                f = int(self.feature[t, i])
+                rows.append((t, node, f, float(self.threshold[t, i]), int(self.size[t, i]), int(self.depth[t, i])))
+                if f >= 0:
+                    todo += [(int(self.left[t, i]), 2 * node), (int(self.right[t, i]), 2 * node + 1)]
+        return StoredForest(self.features, self.rows_per_tree, len(self.feature), spark.createDataFrame(rows, _NODES), self.offset, self.fit_range)
 
     def save(self, spark, path: str) -> None:
-        self.node_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        low, high = self.fit_range or (None, None)
-        spark.createDataFrame(
-            [(self.features, self.rows_per_tree, self.offset, low, high)],
-            "features array<string>, rows_per_tree long, offset double, low double, high double",
-        ).coalesce(1).write.mode("overwrite").parquet(f"{path}/record")
+        self.stored(spark).save(spark, path)
 
     @staticmethod
-    def load(spark, path: str) -> Forest:
+    def load(spark, path: str) -> Forest | StoredForest:
         r = spark.read.parquet(f"{path}/record").first()
-        forest = _pack(spark.read.parquet(f"{path}/nodes").toPandas(), list(r["features"]), r["rows_per_tree"])
+        forest = _held(StoredForest(list(r["features"]), r["rows_per_tree"], r["trees"], spark.read.parquet(f"{path}/nodes")))
         forest.offset = r["offset"]
         forest.fit_range = None if r["low"] is None else (r["low"], r["high"])
         return forest
 
 
 def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float = "auto", seed: int = 42,
-               contamination: str | float = "auto", n_rows: int | None = None) -> Forest:
-    """Grow ``trees`` trees, each on its own sample without replacement.
+               contamination: str | float = "auto", n_rows: int | None = None) -> Forest | StoredForest:
+    """Grow ``trees`` trees, each on its own sample without replacement, of any number of rows.
 
-    Rows are drawn for all trees in one pass, then grouped by tree; a group has
-    the rows of one tree. ``contamination`` sets the offset to that quantile of
-    the raw scores, "auto" to -0.5.
+    ``contamination`` sets the offset to that quantile of the raw scores, "auto" to -0.5.
     """
     features = numeric_columns(df)
-    n = df.count() if n_rows is None else n_rows
+    points = _numbered(numeric_matrix(df.select(*features)), features)
+    n = points.count() if n_rows is None else n_rows
     size = _tree_rows(max_samples, n)
-    drawn = _draw(numeric_matrix(df.select(*features)), n, trees, size, seed)
+    drawn = _draw(points, n, trees, size, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    names = list(features)
-
-    def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        tree = int(rows["__tree"].iloc[0])
-        picked = rows.sort_values("__order").head(size)
-        return _grow(tree, picked[names].to_numpy("float64"), limit, np.random.default_rng([seed, tree]))
-
-    nodes = drawn.groupBy("__tree").applyInPandas(grow, _NODES).toPandas()
-    forest = _pack(nodes, names, size)
+    nodes = materialise(_grown(drawn, len(features), size, limit, seed), "forest-nodes")
+    forest = _held(StoredForest(list(features), size, trees, nodes))
     if contamination != "auto":
         raw = materialise(score(df.select(*features), forest).select("raw_score"), "raw-scores")
         forest.offset = exact_quantiles(raw, ["raw_score"], [float(contamination)])["raw_score"][0]
@@ -113,69 +132,149 @@ def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float =
 
 def _tree_rows(max_samples, n: int) -> int:
     if max_samples == "auto":
-        size = min(256, n)
-    elif isinstance(max_samples, float):
-        size = max(1, int(max_samples * n))
-    else:
-        size = min(int(max_samples), n)
-    if size > MAX_TREE_ROWS:
-        raise ValueError(f"a tree takes at most {MAX_TREE_ROWS} rows; lower max_samples")
-    return size
+        return min(256, n)
+    if isinstance(max_samples, float):
+        return max(1, int(max_samples * n))
+    return min(int(max_samples), n)
+
+
+def _numbered(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Stored rows with a number of their own (__row) and the features as an array (x), missing values as 0."""
+    x = F.array(*[finite_or_zero(F.col(f).cast("double")) for f in features]).alias("x")
+    return materialise(df.select(F.monotonically_increasing_id().alias(_ROW), x), "points")
 
 
-def _draw(df: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
-    """Rows with ``__tree`` and ``__order``, at least ``size`` per tree.
+def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
+    """tree, ticket, x: at least ``size`` rows per tree (all but surely), exactly ``size`` where a tree outgrows one task.
 
-    With plenty of rows each is kept by chance for a pool of about 1.5 * trees *
-    size and dealt to one tree. With fewer, every row is offered to every tree and
-    kept by chance, still about 1.5 * size rows per tree.
+    A row's ticket for a tree is a hash of both; those below a cut a little above size / n are offered.
     """
-    pool = int(1.5 * trees * size) + 10 * trees
-    if n > 2 * pool:
-        kept = df.withColumn("__order", F.rand(seed)).filter(F.col("__order") < pool / n)
-        return kept.withColumn("__tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-    share = min(1.0, (1.5 * size + 40) / n)
-    offered = df.withColumn("__tree", F.explode(F.array(*[F.lit(t) for t in range(trees)])))
-    return offered.withColumn("__order", F.rand(seed)).filter(F.col("__order") <= share)
-
-
-def _grow(tree: int, x: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
-    """Random splits until a point is alone, all points are equal or the depth limit."""
-    nodes, todo = [], [(x, 0, -1, False)]
+    share = min(1.0, (size + 8 * math.sqrt(size) + 50) / max(n, 1))
+    cut = np.uint64(min(2**63 - 1, int(share * 2**63)))
+
+    def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = _mixed(np.arange(trees, dtype=np.uint64) + np.uint64(seed << 20))
+        for b in batches:
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
+                ticket = _mixed(part.column(0).to_numpy().view(np.uint64)[:, None] ^ tree) >> np.uint64(1)
+                row, of = np.nonzero(ticket <= cut)
+                for j in range(0, len(row), 50_000):
+                    some, whose = row[j : j + 50_000], of[j : j + 50_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(whose, pa.int32()), pa.array(ticket[some, whose].astype(np.int64)), part.column(1).take(pa.array(some))], ["tree", "ticket", "x"]
+                    )
+
+    drawn = materialise(points.mapInArrow(offer, "tree int, ticket long, x array<double>"), "drawn")
+    if size <= IN_TASK or size >= n:
+        return drawn
+    return mark_smallest(drawn, lambda _: F.lit(size), "taken", ["tree"], "ticket").filter("taken").drop("taken")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for times, shift in ((0xBF58476D1CE4E5B9, 30), (0x94D049BB133111EB, 27)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    return h ^ (h >> np.uint64(31))
+
+
+def _level(rows: DataFrame, n_features: int, depth: int, limit: int, seed: int) -> DataFrame:
+    """tree, node, size, feature, threshold: a random split of each node of a level, feature -1 where there is none to make."""
+    low, high = ([F.col(f"{e}{i}") for i in range(n_features)] for e in ("lo", "hi"))
+    stats = rows.groupBy("tree", "node").agg(
+        F.count(F.lit(1)).alias("size"),
+        *[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(n_features)],
+        *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(n_features)],
+    )
+    drawn = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "tree", "node"), 11)
+    spans = F.array(*[F.when(h > lo, F.struct(F.lit(i).alias("f"), lo.alias("lo"), h.alias("hi"))) for i, (lo, h) in enumerate(zip(low, high))])
+    open_ = F.filter(spans, lambda s: s.isNotNull())
+    chosen = F.when((F.size("open") > 0) & (F.col("size") > 1) & F.lit(depth < limit), F.get("open", F.pmod(drawn(0), F.size("open")).cast("int")))
+    cut = F.col("c.lo") + drawn(1) / F.lit(float(2**53)) * (F.col("c.hi") - F.col("c.lo"))
+    return stats.withColumn("open", open_).withColumn("c", chosen).select(
+        "tree", "node", "size", F.coalesce("c.f", F.lit(-1)).alias("feature"), F.coalesce(cut, F.lit(0.0)).alias("threshold"), F.lit(depth).alias("depth")
+    )
+
+
+def _down(rows: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
+    """Rows of split nodes at the child they belong to."""
+    few = splits.select("tree", "node", "feature", "threshold")
+    met = rows.join(F.broadcast(few) if n_splits <= FEW_SPLITS else few, ["tree", "node"])
+    child = F.col("node") * 2 + (F.get("x", F.col("feature")) > F.col("threshold")).cast("long")
+    return met.withColumn("node", child).select(*rows.columns)
+
+
+def _grown(drawn: DataFrame, n_features: int, size: int, limit: int, seed: int) -> DataFrame:
+    """The nodes of all trees: level by level while a node has over ``IN_TASK`` rows, then node by node."""
+    rows, depth = drawn.withColumn("node", F.lit(1).cast("long")), 0
+    done, small = [], []
+    while size > IN_TASK and depth <= limit:
+        level = materialise(_level(rows, n_features, depth, limit, seed), "forest-level")
+        wide = level.filter(F.col("size") > IN_TASK)
+        splits = wide.filter("feature >= 0")
+        done.append(wide)
+        n_splits = splits.count()
+        narrow = level.filter(F.col("size") <= IN_TASK).select("tree", "node")
+        few = F.broadcast(narrow) if narrow.count() <= FEW_SPLITS else narrow
+        small.append(materialise(rows.join(few, ["tree", "node"], "left_semi").withColumn("depth", F.lit(depth)), "forest-small"))
+        if not n_splits:
+            rows = None
+            break
+        rows = materialise(_down(rows, splits, n_splits), "forest-rows")
+        depth += 1
+    else:
+        small.append(rows.withColumn("depth", F.lit(depth)))
+    pending = small[0]
+    for part in small[1:]:
+        pending = pending.unionByName(part)
+
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        tree, node, at = int(group["tree"].iloc[0]), int(group["node"].iloc[0]), int(group["depth"].iloc[0])
+        picked = group.sort_values("ticket", kind="stable").head(size)
+        return _grow(tree, node, at, np.vstack(picked["x"].to_numpy()), limit, np.random.default_rng([seed, tree, node]))
+
+    nodes = pending.select("tree", "node", "depth", "ticket", "x").groupBy("tree", "node").applyInPandas(grow, _NODES)
+    for level in done:
+        nodes = nodes.unionByName(level.select(F.col("tree"), "node", "feature", "threshold", "size", "depth"))
+    return nodes
+
+
+def _grow(tree: int, root: int, depth: int, x: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
+    """Random splits below ``root`` until a point is alone, all points are equal or the depth limit."""
+    nodes, todo = [], [(x, root, depth)]
     while todo:
-        rows, depth, parent, is_right = todo.pop()
-        me = len(nodes)
-        if parent >= 0:
-            nodes[parent]["right" if is_right else "left"] = me
-        node = {"tree": tree, "node": me, "feature": -1, "threshold": 0.0, "left": -1, "right": -1,
-                "size": len(rows), "depth": depth}
-        nodes.append(node)
-        if depth >= limit or len(rows) <= 1:
-            continue
+        rows, me, depth = todo.pop()
         low, high = rows.min(0), rows.max(0)
-        open_features = np.flatnonzero(high > low)
-        if len(open_features) == 0:
+        open_features = np.flatnonzero(high > low) if depth < limit and len(rows) > 1 else ()
+        if not len(open_features):
+            nodes.append((tree, me, -1, 0.0, len(rows), depth))
             continue
         f = int(rng.choice(open_features))
         cut = float(rng.uniform(low[f], high[f]))
         goes_left = rows[:, f] <= cut
-        node["feature"], node["threshold"] = f, cut
-        todo.append((rows[~goes_left], depth + 1, me, True))
-        todo.append((rows[goes_left], depth + 1, me, False))
-    return pd.DataFrame(nodes)
+        nodes.append((tree, me, f, cut, len(rows), depth))
+        todo.append((rows[~goes_left], 2 * me + 1, depth + 1))
+        todo.append((rows[goes_left], 2 * me, depth + 1))
+    return pd.DataFrame(nodes, columns=["tree", "node", "feature", "threshold", "size", "depth"])
 
 
-def _pack(nodes: pd.DataFrame, features: list[str], size: int) -> Forest:
-    order = {t: i for i, t in enumerate(sorted(nodes["tree"].unique()))}
-    shape = (len(order), int(nodes["node"].max()) + 1)
+def _held(forest: StoredForest) -> Forest | StoredForest:
+    """The forest as arrays if it has at most ``ARRAY_NODES`` nodes."""
+    if forest.nodes.count() > ARRAY_NODES:
+        return forest
+    nodes = forest.nodes.toPandas().sort_values(["tree", "node"], kind="stable")
+    groups = [part for _, part in nodes.groupby("tree")]
+    shape = (len(groups), max(map(len, groups), default=1))
     arrays = {
         "feature": np.full(shape, -1, "int32"), "threshold": np.zeros(shape), "left": np.zeros(shape, "int32"),
         "right": np.zeros(shape, "int32"), "size": np.zeros(shape, "int64"), "depth": np.zeros(shape, "int32"),
     }
-    at = (nodes["tree"].map(order).to_numpy(), nodes["node"].to_numpy())
-    for name, target in arrays.items():
-        target[at] = nodes[name].to_numpy()
-    return Forest(features, size, **arrays)
+    for t, part in enumerate(groups):
+        number, inner = part["node"].to_numpy(), part["feature"].to_numpy() >= 0
+        for name in ("feature", "threshold", "size", "depth"):
+            arrays[name][t, : len(part)] = part[name].to_numpy()
+        for name, child in (("left", 2 * number), ("right", 2 * number + 1)):
+            arrays[name][t, : len(part)] = np.where(inner, np.searchsorted(number, child), -1)
+    return Forest(forest.features, forest.rows_per_tree, offset=forest.offset, fit_range=forest.fit_range, **arrays)
 
 
 def _walk(forest: Forest) -> list[tuple]:
@@ -209,8 +308,45 @@ def _path_lengths(x: np.ndarray, trees: list[tuple], leaf: np.ndarray) -> np.nda
     return total / len(trees)
 
 
-def score(df: DataFrame, forest: Forest) -> DataFrame:
+def _extra_path(n: Column) -> Column:
+    """``average_path`` of a leaf's size."""
+    many = 2.0 * (F.log(n - 1.0) + F.lit(float(np.euler_gamma))) - 2.0 * (n - 1.0) / n
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(many)
+
+
+def _raw_by_descent(df: DataFrame, forest: StoredForest) -> DataFrame:
+    """``df`` with raw_score: all rows go down all trees of the stored table together, one level a step."""
+    numbered = materialise(df.withColumn(_ROW, F.monotonically_increasing_id()), "unscored")
+    x = F.array(*[finite_or_zero(F.col(f).cast("double")) for f in forest.features]).alias("x")
+    trees = F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree")
+    state, ended = numbered.select(_ROW, x, trees, F.lit(1).cast("long").alias("node")), []
+    for depth in range((forest.nodes.agg(F.max("depth")).first()[0] or 0) + 1):
+        level = forest.nodes.filter(F.col("depth") == depth)
+        leaves = level.filter("feature < 0").select("tree", "node", (F.col("depth") + _extra_path(F.col("size").cast("double"))).alias("path"))
+        ended.append(materialise(state.join(leaves, ["tree", "node"]).groupBy(_ROW).agg(F.sum("path").alias("path")), "paths"))
+        splits = level.filter("feature >= 0")
+        n_splits = splits.count()
+        if not n_splits:
+            break
+        state = materialise(_down(state, splits, n_splits), "descent")
+    paths = ended[0]
+    for part in ended[1:]:
+        paths = paths.unionByName(part)
+    mean = paths.groupBy(_ROW).agg((F.sum("path") / forest.trees).alias("path"))
+    scale = average_path(forest.rows_per_tree) or 1.0
+    raw = -F.pow(F.lit(2.0), -F.col("path") / F.lit(scale))
+    return numbered.join(mean, _ROW).withColumn("raw_score", raw).drop(_ROW, "path")
+
+
+def score(df: DataFrame, forest: Forest | StoredForest) -> DataFrame:
     """Add raw_score, decision_score and is_anomaly; only the features leave the JVM, missing values as 0."""
+    scored = _raw_by_descent(df, forest) if isinstance(forest, StoredForest) else _raw_by_arrays(df, forest)
+    return scored.withColumn("decision_score", F.col("raw_score") - F.lit(forest.offset)).withColumn(
+        "is_anomaly", (F.col("decision_score") < 0).cast("int")
+    )
+
+
+def _raw_by_arrays(df: DataFrame, forest: Forest) -> DataFrame:
     leaf = forest.leaf_value
     trees = _walk(forest)
     scale = average_path(forest.rows_per_tree) or 1.0
@@ -219,10 +355,7 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     def raw(points: pd.DataFrame) -> pd.Series:
         return pd.Series(-(2.0 ** (-_path_lengths(points.to_numpy("float64"), trees, leaf) / scale)))
 
-    scored = df.withColumn("raw_score", raw(F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in forest.features])))
-    return scored.withColumn("decision_score", F.col("raw_score") - F.lit(forest.offset)).withColumn(
-        "is_anomaly", (F.col("decision_score") < 0).cast("int")
-    )
+    return df.withColumn("raw_score", raw(F.struct(*[finite_or_zero(F.col(f)).alias(f) for f in forest.features])))
 
 
 def min_max_score(df: DataFrame, decision: str = "decision_score", fit_range: tuple[float, float] | None = None) -> DataFrame:
@@ -251,7 +384,7 @@ def with_severity(df: DataFrame, bounds: dict[str, float] | None = None) -> Data
     return df.withColumn("severity", severity(F.col("anomaly_score"), F.col("is_anomaly"), bounds))
 
 
-def detect(df: DataFrame, forest: Forest, normalise: str = "batch", bounds: dict[str, float] | None = None) -> DataFrame:
+def detect(df: DataFrame, forest: Forest | StoredForest, normalise: str = "batch", bounds: dict[str, float] | None = None) -> DataFrame:
     """Rows with all result columns; ``normalise`` is "batch" or "fit"."""
     fit_range = forest.fit_range if normalise == "fit" else None
     return with_severity(min_max_score(score(df, forest), fit_range=fit_range), bounds)
@@ -287,7 +420,7 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
 
 @dataclass
 class Anomalies:
-    forest: Forest
+    forest: Forest | StoredForest
     rows: DataFrame
     summary: DataFrame
     top: DataFrame

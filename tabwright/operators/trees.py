@@ -89,9 +89,11 @@ def fit_surrogate(df: DataFrame, label: str = "cluster", depth: int = 4, leaf_ro
         n_folds = max(2, min(folds, min(sizes)))
         parts = []
         for k in range(n_folds):
-            part = learner.fit(rows.filter(F.col("fold") != k)).transform(rows.filter(F.col("fold") == k))
-            parts.append(part.agg(hit).first()[0])
-        cv = round(sum(parts) / len(parts), 4)
+            others = rows.filter(F.col("fold") != k)
+            if others.isEmpty() or rows.filter(F.col("fold") == k).isEmpty():  # few different rows can share one fold
+                continue
+            parts.append(learner.fit(others).transform(rows.filter(F.col("fold") == k)).agg(hit).first()[0])
+        cv = round(sum(parts) / len(parts), 4) if parts else None
     leaves = leaf_table(scored, label, "leaf")
     return Surrogate(model, list(features), classes, train, cv, leaves, leaf_conditions(model, features, df.sparkSession))
 

@@ -11,7 +11,8 @@ from tabwright.operators import explain as X
 from tabwright.operators import isolation as A
 from tabwright.operators import trees as R
 from tabwright.operators.density import density_hint
-from tabwright.operators.sampled import silhouette_rows
+from tabwright.operators.sampling import stratified_split
+from tabwright.operators.silhouettes import silhouette_bounds
 from tabwright.plans.analysis import analyse
 from tabwright.streaming.history import History
 
@@ -75,14 +76,55 @@ def test_whole_segmentation(blobs):
 
 
 def test_few_rows_are_all_noise(blobs):
-    hint = density_hint(blobs.limit(10), 50)
+    hint = density_hint(C.pca_2d(blobs.limit(10)), 50)
     assert (hint.n_clusters, hint.noise_ratio) == (0, 100.0)
+    assert density_hint(C.pca_2d(blobs).limit(0)).n_clusters is None
+
+
+def plain_silhouette(x, labels):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    out = []
+    for i, own in enumerate(labels):
+        same = labels == own
+        if same.sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[i, same].sum() / (same.sum() - 1)
+        b = min(d[i, labels == g].mean() for g in set(labels) - {own})
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(out))
+
+
+@pytest.mark.parametrize("width, spread", [(1, 0.5), (3, 3.0), (20, 2.0)])
+def test_silhouette_bounds_hold_the_exact_value(spark, width, spread):
+    rng = np.random.default_rng(width)
+    labels = np.repeat([0, 1, 2, 3], [400, 150, 50, 1])
+    x = rng.normal(rng.normal(0, 4, (4, width))[labels], spread)
+    x[5:60] = x[5]  # repeated rows
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"f{i}" for i in range(width)]).assign(cluster=labels)).repartition(5)
+    exact = plain_silhouette(x, labels)
+    for cells in (8, 40, 5000):
+        r = silhouette_bounds(df, cells=cells).first()
+        assert r["low"] - 1e-6 <= exact <= r["high"] + 1e-6 and r["low"] <= r["silhouette"] <= r["high"] and r["rows"] == len(x)
+    assert r["high"] - r["low"] < 1e-6
+    assert C.silhouette(df.withColumn("cluster", F.lit(1))) is None
 
 
 def test_silhouette_of_single_rows(spark):
-    x = np.array([[0.0], [1.0], [10.0]])
-    got = silhouette_rows(spark, x, {"l": np.array([0, 0, 1])}).orderBy("id").toPandas()["silhouette"].tolist()
-    assert got == pytest.approx([0.9, 8 / 9, 0.0])
+    df = spark.createDataFrame([(0.0, 0), (1.0, 0), (10.0, 1)], "x double, cluster int")
+    assert C.silhouette(df) == pytest.approx((0.9 + 8 / 9) / 3, abs=1e-4)
+
+
+def test_minibatch_costs_little_more(spark, blobs):
+    full, mini = C.fit_kmeans(blobs, 3), C.fit_minibatch(blobs, 3, batches=5)
+    assert sorted(mini.sizes) == [200, 200, 200] and mini.cost <= 1.05 * full.cost
+    assert C.fit_minibatch(blobs.limit(4), 3).k == 3
+    assert C.cluster_table(blobs, min_cluster_size=50, minibatch=True).algorithm == "MiniBatchKMeans"
+
+
+def test_tolerance_follows_the_scale(spark, blobs):
+    wide = blobs.select(*[(F.col(c) * 1e5).alias(c) for c in blobs.columns])
+    assert C.fit_kmeans(wide, 5).iterations == C.fit_kmeans(blobs, 5).iterations
 
 
 def test_pca_is_centred_and_uncorrelated(blobs):
@@ -102,8 +144,6 @@ def test_planted_outliers_rank_first(planted):
 def test_contamination_sets_the_rate(spark, planted):
     rows = planted.rows.select("east", "north", "pressure")
     assert A.anomaly_table(rows, contamination=0.05).summary.first()["anomaly_count"] == pytest.approx(26, abs=1)
-    with pytest.raises(ValueError):
-        A._tree_rows(0.5, 10**9)
 
 
 def test_forest_round_trip(spark, planted, tmp_path):
@@ -113,6 +153,58 @@ def test_forest_round_trip(spark, planted, tmp_path):
     assert a == pytest.approx(planted.rows.agg(F.sum("raw_score")).first()[0])
 
 
+def nodes_of(forest, spark):
+    stored = forest if isinstance(forest, A.StoredForest) else forest.stored(spark)
+    return stored.nodes.toPandas()
+
+
+@pytest.mark.parametrize("in_task", [8, 100])
+def test_trees_of_all_rows_grow_by_levels(spark, planted, monkeypatch, tmp_path, in_task):
+    monkeypatch.setattr(A, "IN_TASK", in_task)
+    rows = planted.rows.select("east", "north", "pressure")
+    forest = A.fit_forest(rows, trees=12, max_samples=1.0)
+    nodes = nodes_of(forest, spark)
+    limit = math.ceil(math.log2(520))
+    for _, tree in nodes.groupby("tree"):
+        size = dict(zip(tree["node"], tree["size"]))
+        assert size[1] == 520 and len(size) == len(tree)
+        inner = tree[tree["feature"] >= 0]
+        assert all(size[n] == size[2 * n] + size[2 * n + 1] for n in inner["node"])
+        leaves = tree[tree["feature"] < 0]
+        assert leaves["size"].sum() == 520 and ((leaves["size"] == 1) | (leaves["depth"] == limit)).all()
+        assert (tree["depth"] == [int(n).bit_length() - 1 for n in tree["node"]]).all()
+    top = A.score(rows, forest).orderBy("raw_score").limit(20)
+    assert top.filter("pressure > 5").count() >= 19
+    monkeypatch.setattr(A, "ARRAY_NODES", 0)
+    stored = forest.stored(spark)
+    both = A.score(rows, forest).select("east", "raw_score").join(A.score(rows, stored).select("east", F.col("raw_score").alias("other")), "east")
+    assert both.count() == 520 and both.filter(F.abs(F.col("raw_score") - F.col("other")) > 1e-12).count() == 0
+    stored.save(spark, str(tmp_path / "wide"))
+    assert isinstance(A.Forest.load(spark, str(tmp_path / "wide")), A.StoredForest)
+    assert A.fit_forest(rows, trees=3, max_samples=0.5).nodes.filter("node = 1").select("size").distinct().collect() == [(260,)]
+
+
+def test_equal_rows_end_in_one_leaf(spark, monkeypatch):
+    monkeypatch.setattr(A, "IN_TASK", 4)
+    same = spark.createDataFrame([(1.0, 2.0)] * 50, "a double, b double")
+    nodes = nodes_of(A.fit_forest(same, trees=3, max_samples=1.0), spark)
+    assert nodes[["node", "feature", "size"]].to_numpy().tolist() == [[1, -1, 50]] * 3
+
+
+def test_split_is_exact_and_repeatable(spark):
+    rows = spark.range(1000).selectExpr("id % 100 AS x", "id % 3 AS c")
+    done = [stratified_split(rows.repartition(n), "c", 0.25) for n in (1, 7)]
+    counts = [sorted(map(tuple, d.groupBy("c").agg(F.count_if("is_test"), F.count("*")).collect())) for d in done]
+    assert counts[0] == counts[1] == [(0, 84, 334), (1, 83, 333), (2, 83, 333)]
+    assert done[0].groupBy("x", "c", "is_test").count().exceptAll(done[1].groupBy("x", "c", "is_test").count()).count() == 0
+
+
+def test_folds_without_rows_are_skipped(spark):
+    rows = spark.createDataFrame([(1.0, 0)] * 50 + [(9.0, 1)] * 50, "x double, cluster int")
+    s = R.fit_surrogate(rows)
+    assert s.fidelity_train == 1.0 and (s.fidelity_cv is None or 0 <= s.fidelity_cv <= 1)
+
+
 def test_shapley_values_match_the_definition(planted):
     forest = A.Forest(**{**planted.forest.__dict__})
     for name in ("feature", "threshold", "left", "right", "size", "depth"):
