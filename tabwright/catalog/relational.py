@@ -11,7 +11,7 @@ from tabwright.operators import columns as C
 from tabwright.operators import integrate as J
 from tabwright.operators.ranking import number_rows, top_n
 from tabwright.operators.sampling import sample_rows
-from tabwright.session import scratch_path, spread
+from tabwright.session import materialise, scratch_path, spread
 from tabwright.sources import readers, writers
 
 SPARSE_EVENTS = [
@@ -339,9 +339,84 @@ def csv_round_trip(spark, folder):
     return readers.read_csv(spark, path)
 
 
-@query()
+@query("SELECT doc_id, length(text) AS length, sha256(text) AS digest, lang FROM documents")
+def csv_line_breaks(spark, folder):
+    """Texts with quotes and line breaks, written as CSV and read back in splits of 64 KB."""
+    path = scratch_path(spark, "documents-csv")
+    rows = table(spark, folder, "documents").select("doc_id", "lang", F.concat(F.lit("x"), "text").alias("text"))
+    rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 * 1024)
+    try:
+        found = materialise(readers.read_csv(spark, path), "documents-read")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    text = F.substring("text", 2, 1 << 30)
+    return found.select("doc_id", F.length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"), "lang")
+
+
+@query("""
+SELECT l_suppkey, median(l_quantity) AS l_quantity_median, round(median(l_extendedprice) + 1e-9, 4) AS l_extendedprice_median,
+  round(median(l_tax) + 1e-9, 6) AS l_tax_median, count(*) AS l_tax_size FROM lineitem GROUP BY l_suppkey
+""")
+def three_medians(spark, folder):
+    """Several medians per supplier in one aggregate."""
+    wanted = {"l_quantity": ["median"], "l_extendedprice": ["median"], "l_tax": ["median", "size"]}
+    out = J.aggregate_events(table(spark, folder, "lineitem"), "l_suppkey", wanted)
+    return out.withColumns({"l_extendedprice_median": steady("l_extendedprice_median", 4), "l_tax_median": steady("l_tax_median", 6)})
+
+
+@query("""
+SELECT 'transactions' AS name, o_custkey, round(sum(o_totalprice) + 1e-9, 2) AS amount_sum, round(avg(o_totalprice) + 1e-9, 6) AS amount_mean,
+  count(o_totalprice) AS amount_count, count(o_orderkey) AS transaction_id_count FROM orders GROUP BY o_custkey
+""")
+def default_aggregates(spark, folder):
+    """The aggregations offered for a table of transactions, carried out."""
+    rows = table(spark, folder, "orders").select("o_custkey", F.col("o_totalprice").alias("amount"), F.col("o_orderkey").alias("transaction_id"))
+    out = J.aggregate_events(rows, "o_custkey", J.default_aggregations("transactions", rows))
+    return out.withColumns({"amount_sum": steady("amount_sum", 2), "amount_mean": steady("amount_mean", 6), "name": F.lit("transactions")})
+
+
+@query("""
+SELECT 'orders' AS name, count(*) AS n, CAST(count(DISTINCT o_orderstatus) AS BIGINT) AS kinds FROM orders
+UNION ALL SELECT 'nations', count(*), CAST(count(DISTINCT n_name) AS BIGINT) FROM nation
+UNION ALL SELECT 'segments', count(DISTINCT c_mktsegment), count(DISTINCT c_mktsegment) FROM customer
+""")
+def several_sources(spark, folder):
+    """A CSV file, a Parquet table and an SQL query loaded by one list of descriptions."""
+    path = scratch_path(spark, "orders-csv")
+    writers.write_csv(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), path)
+    found = readers.read_sources(spark, [
+        {"name": "orders", "type": " CSV", "path": path}, {"name": "nations", "type": "parquet", "path": f"{folder}/nation.parquet"},
+        {"name": "segments", "type": "sql", "path": folder, "query": "SELECT DISTINCT c_mktsegment FROM customer"},
+    ])
+    kinds = {"orders": "o_orderstatus", "nations": "n_name", "segments": "c_mktsegment"}
+    parts = [df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(kinds[name]).alias("kinds")).select(F.lit(name).alias("name"), "n", "kinds") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("""
+SELECT CAST(ordinal_position - 1 AS INTEGER) AS position, column_name AS "column",
+  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE data_type END AS type,
+  (SELECT count(*) FROM documents) AS n FROM (SELECT row_number() OVER () AS ordinal_position, column_name, column_type AS data_type FROM (DESCRIBE documents))
+""")
+def table_schema(spark, folder):
+    """Position, name and type of every column, beside the row count."""
+    rows = table(spark, folder, "documents")
+    return readers.schema_of(rows).crossJoin(rows.agg(F.count(F.lit(1)).alias("n")))  # one row
+
+
+@query("SELECT least(10000, count(*)) AS n, TRUE AS within FROM lineitem")
 def sample_lineitem(spark, folder):
-    """A seeded sample of 10,000 rows, or the whole table when it is smaller."""
+    """A seeded sample of 10,000 rows, or the whole table when it is smaller: exactly so many, all of the table."""
+    rows = table(spark, folder, "lineitem")
+    taken = materialise(sample_rows(rows, 10_000), "sample")
+    return taken.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(taken.exceptAll(rows).isEmpty()).alias("within"))
+
+
+@query()
+def sample_rows_drawn(spark, folder):
+    """The rows of that sample."""
     return sample_rows(table(spark, folder, "lineitem"), 10_000)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.operators.columns import drop_repeated_columns, normalise_name, standardise_source
-from tabwright.operators.quantiles import grouped_quantiles
+from tabwright.operators.quantiles import EXACT_ROWS, hot_groups, hot_medians
 
 # Join keys looked for, in this order.
 KEY_CANDIDATES = ["user_id", "customer_id", "client_id", "id_user", "id_client"]
@@ -32,11 +32,13 @@ def aggregate_events(
     key: str,
     aggregations: Mapping[str, Sequence[str]],
     order_by: str | None = None,
+    small: int = EXACT_ROWS,
 ) -> DataFrame:
     """One row per non-null key with columns ``{column}_{function}``.
 
     ``first`` and ``last`` need ``order_by``: a distributed table has no row
-    order of its own.
+    order of its own. All medians are part of the one aggregate; groups of more than ``small`` values would
+    fill a task there, so theirs come from one pass over counts of their values.
     """
     key = normalise_name(key)
     if key not in df.columns:
@@ -63,9 +65,15 @@ def aggregate_events(
             aggs.append(pick(F.col(column), present).alias(name))
         else:
             raise ValueError(f"unknown aggregation: {func}")
-    out = rows.groupBy(key).agg(*aggs) if aggs else rows.select(key).distinct()
-    for column, name in medians:
-        out = out.join(grouped_quantiles(rows, [key], column, [0.5], [name]), key, "left")
+    columns, names = [c for c, _ in medians], [n for _, n in medians]
+    hot = hot_groups(rows, key, columns, small) if medians else None
+    if hot is None:
+        aggs += [F.percentile(F.col(c).cast("double"), 0.5).alias(n) for c, n in medians]
+        return rows.groupBy(key).agg(*aggs).select(key, *[f"{c}_{f}" for c, f in wanted])
+    marked = rows.join(hot, key, "left")
+    aggs += [F.percentile(F.when(F.col("__hot").isNull(), F.col(c).cast("double")), 0.5).alias(n) for c, n in medians]
+    large = F.broadcast(hot_medians(rows.join(hot, key, "left_semi"), key, columns, [f"__{n}" for n in names]))
+    out = marked.groupBy(key).agg(*aggs).join(large, key, "left").withColumns({n: F.coalesce(n, f"__{n}") for n in names})
     return out.select(key, *[f"{c}_{f}" for c, f in wanted])
 
 

@@ -196,6 +196,22 @@ def grouped_quantiles(
     return cold.unionByName(_hot_quantiles(base.join(marks, on, "left_semi"), keys, probabilities, into))
 
 
+def hot_groups(df: DataFrame, key: str, columns: Sequence[str], small: int = EXACT_ROWS) -> DataFrame | None:
+    """The groups with more than ``small`` values in one of the columns, as a broadcast (at most a ``small``-th of the rows); None if there are none."""
+    most = F.greatest(*[F.count(c) for c in columns], F.lit(0))
+    hot = df.groupBy(key).agg(most.alias("__n")).filter(F.col("__n") > small).select(key)
+    return None if hot.isEmpty() else F.broadcast(hot.withColumn("__hot", F.lit(True)))
+
+
+def hot_medians(rows: DataFrame, key: str, columns: Sequence[str], into: Sequence[str]) -> DataFrame:
+    """Exact medians of all columns per group, however large, in one pass over (group, column, value) counts."""
+    long = rows.select(key, *[F.col(c).cast("double").alias(f"__v{i}") for i, c in enumerate(columns)]).unpivot(
+        [key], [f"__v{i}" for i in range(len(columns))], "__column", "__x"
+    ).filter(F.col("__x").isNotNull())
+    found = _hot_quantiles(long, [key, "__column"], [0.5], ["__median"])
+    return found.groupBy(key).agg(*[F.max(F.when(F.col("__column") == f"__v{i}", F.col("__median"))).alias(name) for i, name in enumerate(into)])
+
+
 def _hot_quantiles(rows, keys, probabilities, into):
     values = rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
     ranked = running_total(values, ["__x"], "__c", "__r", keys)

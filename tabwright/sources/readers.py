@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.text import CSV_NULL_WORDS
 from tabwright.operators.columns import nans_to_null
+from tabwright.sources.split_csv import lines_of, looked_over, plain_encoding, read_records
 
 
 class SourceError(ValueError):
@@ -41,30 +42,22 @@ def source_name(path: str) -> str:
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "utf-8") -> DataFrame:
     """CSV with a header; missing-value words become NULL before types are inferred.
 
-    Text that is not valid in UTF-8 decodes to the replacement character, in
-    which case the file is read again as Latin-1.
+    Bytes that are not valid UTF-8 make the file Latin-1. Files stay splittable, with line breaks in quoted values too
+    (``split_csv``); only encodings in which those are not single bytes need whole files for that.
     """
     check_path(spark, path)
-    raw = _read_text(spark, path, sep, encoding)
-    if encoding.lower().replace("-", "") == "utf8":
-        broken = F.lit(False)
-        for c in raw.columns:
-            broken = broken | F.coalesce(F.col(c).contains("�"), F.lit(False))
-        if not raw.filter(broken).limit(1).isEmpty():
-            raw = _read_text(spark, path, sep, "ISO-8859-1")
+    plain = plain_encoding(encoding)
+    if plain is None:
+        raw = _reader(spark, sep, encoding).option("multiLine", True).csv(path)
+    else:
+        breaks, valid = looked_over(lines_of(spark, path))
+        used = "ISO-8859-1" if plain == "UTF-8" and not valid else plain
+        raw = read_records(spark, path, sep, used) if breaks else _reader(spark, sep, used).csv(path)
     return check_table(infer_types(nulls_by_word(raw)), path)
 
 
-def _read_text(spark, path, sep, encoding):
-    reader = spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
-    breaks = _has_line_breaks(spark, path, encoding)
-    return reader.option("quote", '"').option("escape", '"').option("multiLine", breaks).csv(path)
-
-
-def _has_line_breaks(spark, path, encoding) -> bool:
-    """Whether some quoted value spans lines: only then must files be read unsplit."""
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
-    return not spark.read.option("encoding", encoding).text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+def _reader(spark: SparkSession, sep: str, encoding: str):
+    return spark.read.option("header", True).option("sep", sep).option("encoding", encoding).option("quote", '"').option("escape", '"')
 
 
 def nulls_by_word(df: DataFrame) -> DataFrame:

@@ -1,3 +1,7 @@
+import csv
+import random
+import statistics
+
 import pytest
 
 from tabwright.functions.text import normalise_value
@@ -104,6 +108,19 @@ def test_sample_and_split(spark):
     assert stratified_split(df, "c", 0.2).filter("is_test").groupBy("c").count().select("count").distinct().collect() == [(1000,)]
 
 
+@pytest.mark.parametrize("small", [1_000_000, 50, 0])
+def test_medians_of_hot_groups(spark, small):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None, *range(3, 30)]), rng.choice([None, rng.random()]), rng.randint(0, 5)) for _ in range(900)] + [(77, None, 1)]
+    df = spark.createDataFrame(rows, "k int, a double, b int")
+    got = {r["k"]: (r["a_median"], r["b_median"], r["b_size"]) for r in J.aggregate_events(df, "k", {"a": ["median"], "b": ["median", "size"]}, small=small).collect()}
+    for k in {r[0] for r in rows} - {None}:
+        a, b = ([r[i] for r in rows if r[0] == k and r[i] is not None] for i in (1, 2))
+        want = (statistics.median(a) if a else None, statistics.median(b), sum(r[0] == k for r in rows))
+        assert got[k] == pytest.approx(want)
+    assert None not in got
+
+
 def test_text_values(spark):
     words = [" Été  2024!", "N/A", "", None, "nan", "ﬁn ½", "™x", "éte"]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
@@ -121,6 +138,41 @@ def test_csv(spark, tmp_path):
     assert readers.source_name("/x/My Ports.csv") == "my_ports"
 
 
+def test_csv_records_across_splits(spark, tmp_path):
+    rng = random.Random(8)
+    bits = ["a", '"', "\n", "\r\n", ",", "é", "", " word ", "\n\n", '""', "x" * 40]
+    rows = [[str(i), "v" + "".join(rng.choices(bits, k=rng.randint(0, 9))) + "w", rng.choice(["k", 'q"q', "two\nlines"])] for i in range(400)]
+    rows[7][1] = "long" + "\nline of text" * 300 + "end"  # over several splits
+    for name, part in (("a.csv", rows[:250]), ("b.csv", rows[250:])):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as f:
+            out = csv.writer(f, lineterminator="\r\n" if name == "b.csv" else "\n")
+            out.writerows([["id", "text", "two\nline name"], *part])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        df = readers.read_csv(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 1 and df.columns == ["id", "text", "two\nline name"]
+        assert sorted([str(r[0]), r[1], r[2]] for r in df.collect()) == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_a_replacement_character_is_no_bad_byte(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b\n1,ok \ufffd ü\n", encoding="utf-8")
+    assert readers.read_csv(spark, str(tmp_path / "r.csv")).first()["b"] == "ok \ufffd ü"
+
+
+def test_several_sources(spark, folder, tmp_path):
+    (tmp_path / "p.csv").write_text("id;n\n1;5\n", encoding="utf-8")
+    found = readers.read_sources(spark, [
+        {"name": "ports", "type": "CSV ", "path": str(tmp_path / "p.csv"), "sep": ";"},
+        {"name": "nations", "type": "parquet", "path": f"{folder}/nation.parquet"},
+        {"name": "regions", "type": "sql", "path": folder, "query": "SELECT r_name FROM region"},
+    ])
+    assert list(found) == ["ports", "nations", "regions"] and [d.count() for d in found.values()] == [1, 25, 5]
+    assert [tuple(r) for r in readers.schema_of(found["ports"]).collect()] == [(0, "id", "bigint"), (1, "n", "bigint")]
+
+
 def test_bad_sources(spark, tmp_path):
     with pytest.raises(readers.SourceError):
         readers.read_csv(spark, str(tmp_path / "none.csv"))
