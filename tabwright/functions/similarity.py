@@ -25,6 +25,24 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 _Q = 3
+#: References of one gram and length bucket that one task meets at a time.
+_SHARE = 1000
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, all positions of ``a`` at once as the bits of one number.
+
+    Matched characters form a common subsequence, so this is an exact upper bound on them.
+    """
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = (1 << len(a)) - 1
+    open_ = whole
+    for c in b:
+        met = open_ & at.get(c, 0)
+        open_ = (open_ + met | open_ - met) & whole
+    return len(a) - open_.bit_count()
 
 
 def similarity_from(threshold: float):
@@ -34,8 +52,10 @@ def similarity_from(threshold: float):
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
-            match = difflib.SequenceMatcher(None, x, y)
-            out.append(match.ratio() if match.quick_ratio() >= threshold else 0.0)
+            if 2 * common_subsequence(x, y) < threshold * (len(x) + len(y)) - 1e-9:
+                out.append(0.0)
+                continue
+            out.append(difflib.SequenceMatcher(None, x, y).ratio())
         return pd.Series(out, dtype="float64")
 
     return ratio
@@ -142,9 +162,27 @@ def _candidates(texts: DataFrame, refs: DataFrame, threshold: float, q: int, gro
         .select(group, "__v", "__l", "__gram")
         .distinct()
     )
+    # References come in buckets of a geometric length scale: those near enough lie in a text's own bucket or beside it.
+    bucket = _length_bucket(F.col("__rl"), threshold)
+    sized = index.withColumn("__bucket", bucket)
+    held = sized.groupBy("__g", "__gram", "__bucket").agg(F.count(F.lit(1)).alias("__m"))
+    # A gram of more than _SHARE references is split, and its texts meet every share, so no task holds them all.
+    shares = F.ceil(F.col("__m") / _SHARE).cast("int")
+    dealt = sized.join(held, ["__g", "__gram", "__bucket"]).withColumn("__share", F.pmod(F.xxhash64("__r"), shares).cast("int")).withColumnRenamed("__g", "__rg")
+    own = _length_bucket(F.col("__l"), threshold)
+    asked = probe.withColumn("__bucket", F.explode(F.sequence(own - 1, own + 1))).join(
+        held.withColumnRenamed("__g", group), [group, "__gram", "__bucket"]
+    ).withColumn("__share", F.explode(F.sequence(F.lit(0), shares - 1)))
     near = 2 * F.least("__l", "__rl") >= threshold * (F.col("__l") + F.col("__rl")) - 1e-9
-    hit = probe.join(
-        index.withColumnRenamed("__g", "__rg"),
-        (F.col(group) == F.col("__rg")) & (probe["__gram"] == index["__gram"]) & near,
-    )
+    keys = ["__gram", "__bucket", "__share"]
+    hit = asked.select(group, "__v", "__l", *keys).join(
+        dealt.select("__rg", "__r", "__rl", *keys).withColumnRenamed("__rg", group), [group, *keys]
+    ).filter(near)
     return hit.select(group, "__v", "__r").distinct()
+
+
+def _length_bucket(length: Column, threshold: float) -> Column:
+    """Lengths that differ by no more than the threshold allows differ by at most one bucket."""
+    if threshold == 1:
+        return length.cast("int")
+    return F.floor(F.log(length.cast("double")) / math.log((2 - threshold) / threshold) * (1 - 1e-9)).cast("int")

@@ -12,11 +12,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions import scalars as S
-from tabwright.session import spread
+from tabwright.session import materialise, spread
 
 # What is done about the outliers of a column.
 WINSORISED = "Winsorized"
@@ -60,40 +61,99 @@ def skewness_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 5) -> dict[str, dict]:
-    """Lambda of highest likelihood per column, with moments of the result.
+#: Lambdas of the first scan, and their distance; the second scan has as many in between, around the best.
+_COARSE, _STEP, _FINE = np.arange(-6.0, 6.01, 0.5), 0.5, 10
 
-    A row is paired with every lambda of its column's grid and the pairs are
-    aggregated before they leave the task, so a round is one scan for all
-    columns; the next round narrows the grids around the best lambdas.
+
+def _power_moments(rows: DataFrame, columns: Sequence[str], grids: dict[str, np.ndarray]) -> dict[str, tuple[float, float, np.ndarray]]:
+    """Per column the number of values, the sum of their log-Jacobians and the variance at every lambda of its grid, in one scan.
+
+    Tasks add up (n, mean, M2) for the whole grid batch by batch, missing and infinite values left out; the tasks' rows are
+    merged around the common means, so nothing cancels.
+    """
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(next(iter(grids.values())))
+        n, jacobian = np.zeros(len(columns)), np.zeros(len(columns))
+        mean, m2 = np.zeros((len(columns), size)), np.zeros((len(columns), size))
+        for b in batches:
+            for i, c in enumerate(columns):
+                x = b.column(i).to_numpy(zero_copy_only=False)
+                x = x[np.isfinite(x)]
+                if not len(x):
+                    continue
+                log, lam = np.log1p(np.abs(x)), grids[c]
+                jacobian[i] += (np.sign(x) * log).sum()
+                total = n[i] + len(x)
+                for j, power in enumerate(lam):
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        y = _yeo_johnson(x, log, power)
+                        own = y.mean()
+                        gap = own - mean[i, j]
+                        m2[i, j] += ((y - own) ** 2).sum() + gap * gap * n[i] * len(x) / total
+                        mean[i, j] += gap * len(x) / total
+                n[i] = total
+        at = np.repeat(np.arange(len(columns)), size)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v) for v in (at, np.tile(np.arange(size), len(columns)), n[at], jacobian[at], mean.ravel(), m2.ravel())],
+            ["column", "place", "n", "g", "mean", "m2"],
+        )
+
+    parts = materialise(rows.mapInArrow(gather, "column long, place long, n double, g double, mean double, m2 double").filter("n > 0"), "power-moments")
+    key = ["column", "place"]
+    common = parts.groupBy(*key).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("common"))  # a row per column and lambda
+    merged = parts.join(F.broadcast(common), key).groupBy(*key).agg(
+        F.sum("n").alias("n"), F.sum("g").alias("g"), (F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("common"), 2)) / F.sum("n")).alias("v")
+    )
+    out = {}
+    for r in merged.collect():
+        n, g, v = out.setdefault(columns[r["column"]], (r["n"], r["g"], np.full(len(next(iter(grids.values()))), np.nan)))
+        v[r["place"]] = np.nan if r["v"] is None else r["v"]
+    return out
+
+
+def _yeo_johnson(x: np.ndarray, log: np.ndarray, power: float) -> np.ndarray:
+    """The transform of values whose log1p(|x|) is known."""
+    above = log if power == 0 else np.expm1(power * log) / power
+    below = -log if power == 2 else -np.expm1((2 - power) * log) / (2 - power)
+    return np.where(x >= 0, above, below)
+
+
+def _likelihoods(found: tuple[float, float, np.ndarray], grid: np.ndarray) -> np.ndarray:
+    n, g, v = found
+    usable = np.isfinite(v) & (v > 0)
+    return np.where(usable, -n / 2 * np.log(np.where(usable, v, 1.0)) + (grid - 1) * g, -np.inf)
+
+
+def _peak(grid: np.ndarray, height: np.ndarray) -> float:
+    """Where the curve through the five points around the highest one has its maximum."""
+    top = int(np.argmax(height))
+    low = min(max(top - 2, 0), len(grid) - 5)
+    near, values = grid[low : low + 5] - grid[top], height[low : low + 5]
+    if not np.isfinite(values).all():
+        return float(grid[top])
+    curve = np.polynomial.Polynomial.fit(near, values - values.max(), 4)
+    turns = [r.real for r in curve.deriv().roots() if abs(r.imag) < 1e-9 and near[0] <= r.real <= near[-1]]
+    return float(grid[top] + max([0.0, *turns], key=curve))
+
+
+def fit_yeo_johnson(df: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Lambda of highest likelihood per column (between -6.5 and 6.5), with moments of the result.
+
+    Two scans find it to well below 1e-3: one over a coarse grid, one over a fine grid around each column's best, whose peak is
+    read off a curve. A third takes the moments of the transformed columns. A column without a usable lambda gets 0.
     """
     if not columns:
         return {}
     columns = list(columns)
-    long = _long(spread(df.select(*columns)), columns).filter(F.col("x").isNotNull())
-    centers = {c: 0.0 for c in columns}
-    step, width = 0.5, 12
-    for _ in range(rounds):
-        grids = F.when(F.lit(False), F.array(F.lit(0.0)))
-        for c in columns:
-            grids = grids.when(
-                F.col("column") == c, F.array(*[F.lit(centers[c] + step * k) for k in range(-width, width + 1)])
-            )
-        x, lam = F.col("x"), F.col("lambda")
-        rows = (
-            long.withColumn("lambda", F.explode(grids)).groupBy("column", "lambda")
-            .agg(F.count(x).alias("n"), F.var_pop(S.yeo_johnson_at(x, lam)).alias("v"),
-                 F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("g"))
-            .collect()  # grid points per column
-        )
-        best = {c: -math.inf for c in columns}
-        for r in rows:
-            if r["v"] is None or not 0 < r["v"] < math.inf:
-                continue
-            likelihood = -r["n"] / 2 * math.log(r["v"]) + (r["lambda"] - 1) * r["g"]
-            if likelihood > best[r["column"]]:
-                best[r["column"]], centers[r["column"]] = likelihood, r["lambda"]
-        step, width = step / 8, 9
+    rows = spread(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    grids = dict.fromkeys(columns, _COARSE)
+    found = _power_moments(rows, columns, grids)
+    best = {c: float(_COARSE[int(np.argmax(_likelihoods(found[c], _COARSE)))]) for c in found if np.isfinite(_likelihoods(found[c], _COARSE)).any()}
+    fine = np.linspace(-_STEP, _STEP, 2 * _FINE + 1)
+    grids = {c: best.get(c, 0.0) + fine for c in columns}
+    found = _power_moments(rows, columns, grids)
+    centers = {c: _peak(grids[c], _likelihoods(found[c], grids[c])) if c in best else 0.0 for c in columns}
     aggs = []
     for i, c in enumerate(columns):
         y = S.yeo_johnson(F.col(c), centers[c])
@@ -182,14 +242,39 @@ def correlated(columns: Sequence[str], corr: dict, threshold: float) -> list[str
 
 
 def correlation_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(left, right, correlation) of every pair of columns, in one scan."""
-    pairs = list(itertools.combinations(columns, 2))
-    row = df.agg(*[S.safe_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(
-        *[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("correlation"))
-          for i, (a, b) in enumerate(pairs)]
+    """(left, right, correlation) of every pair of columns, NULL where either is constant or they share no rows.
+
+    One scan for any number of columns: tasks add up square matrices (rows with both values: count, sums, squares, products) around a value of
+    the first batch, so large means don't cancel; only the matrices' cells are shuffled.
+    """
+    columns = list(columns)
+    width = len(columns)
+    first = df.select(*[F.first(F.col(c).cast("double"), ignorenulls=True).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    centre = np.array([first[f"c{i}"] or 0.0 for i in range(width)], float)
+    centre[~np.isfinite(centre)] = 0.0
+    names = ["n", "a", "b", "aa", "bb", "ab"]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {name: np.zeros((width, width)) for name in names}
+        for batch in batches:
+            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)]) - centre
+            there = (~np.isnan(x)).astype("float64")
+            x = np.nan_to_num(x)
+            squares = x * x
+            for name, left, right in (("n", there, there), ("a", x, there), ("b", there, x), ("aa", squares, there), ("bb", there, squares), ("ab", x, x)):
+                total[name] += left.T @ right
+        i, j = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), *(pa.array(total[name][i, j]) for name in names)], ["i", "j", *names])
+
+    cells = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).mapInArrow(gather, "i long, j long, " + ", ".join(f"{n} double" for n in names))
+    sums = cells.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+    part = lambda product, one, other: F.col(product) - F.col(one) * F.col(other) / F.col("n")
+    over = lambda c: F.when(part(c + c, c, c) > F.col(c + c) * 1e-13, part(c + c, c, c))
+    titles = F.array(*[F.lit(c) for c in columns])
+    return sums.select(
+        F.get(titles, F.col("i").cast("int")).alias("left"), F.get(titles, F.col("j").cast("int")).alias("right"),
+        (part("ab", "a", "b") / F.sqrt(over("a") * over("b"))).alias("correlation"),
     )
-    return row.select(F.inline(entries))
 
 
 def scale_expr(c: Column, center: float, scale: float) -> Column:
