@@ -369,6 +369,17 @@ def isolation_contamination(spark, folder):
     return A.anomaly_table(rows, contamination=0.02).summary.select("total_rows", F.col("anomaly_ratio").between(1.9, 2.1).alias("near"))
 
 
+@query("SELECT count(*) AS n, TRUE AS graded, TRUE AS centred FROM lineitem")
+def anomaly_plane(spark, folder):
+    """Every scored line on the principal plane, with its score and severity."""
+    plane = materialise(_forest(spark, folder).plane, "plane")
+    found = plane.agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("severity") == "normal") == (F.col("is_anomaly") == 0)).alias("graded"),
+        (F.abs(F.avg("PC1")) < 1e-6 * F.stddev_pop("PC1")).alias("centred"),
+    )
+    return found
+
+
 @query(_WHOLE + " WHERE l_shipdate >= DATE '1998-01-01'")
 def isolation_new_rows(spark, folder):
     """A forest fitted on the older lines scores the later ones."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.catalog.base import query, table
 from tabwright.operators import profile as P
+from tabwright.session import materialise
 
 _WORDS = ", ".join(f"'{w}'" for w in P.LABEL_VALUES)
 _COLUMNS = {
@@ -77,6 +78,15 @@ def _register(name):
 for _name in _COLUMNS:
     _register(_name)
 
+@query(profile_sql("lineitem", _COLUMNS["lineitem"]))
+def profile_incremental(spark, folder):
+    """The profile of the order lines from sketches of two halves, the first of them stored."""
+    rows = table(spark, folder, "lineitem")
+    first, second = (rows.filter(F.col("l_orderkey") % 2 == k) for k in (0, 1))
+    merged = P.merge_sketches(materialise(P.column_sketches(first), "sketches"), P.column_sketches(second))
+    return P.structure_of(merged, rows).frame(spark).select(*_SHOWN)
+
+
 _TEXT_DATES = ["o_orderkey", "order_date", "slashed", "note"]
 _TEXT_SOURCE = """(SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END
 AS order_date, strftime(o_orderdate, '%d/%m/%Y') AS slashed, o_orderpriority AS note FROM orders)"""

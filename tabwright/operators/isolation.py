@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.scalars import finite_or_zero, percent, severity
+from tabwright.operators.clustering import pca_2d
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.quantiles import exact_quantiles
 from tabwright.operators.ranking import top_n
@@ -418,12 +419,19 @@ def anomaly_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def anomaly_plane(rows: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """PC1, PC2, anomaly_score, is_anomaly, severity and ``keep`` of every scored row: where the anomalies lie on the principal plane."""
+    shown = [*keep, "anomaly_score", "is_anomaly", "severity"]
+    return pca_2d(rows.select(*shown, *features), shown)
+
+
 @dataclass
 class Anomalies:
     forest: Forest | StoredForest
     rows: DataFrame
     summary: DataFrame
     top: DataFrame
+    plane: DataFrame
 
 
 def anomaly_table(df: DataFrame, contamination: str | float = "auto", trees: int = 200,
@@ -437,4 +445,4 @@ def anomaly_table(df: DataFrame, contamination: str | float = "auto", trees: int
     low, high = scored.agg(F.min(-F.col("decision_score")), F.max(-F.col("decision_score"))).first()
     forest.fit_range = (low, high)
     rows = with_severity(min_max_score(scored, fit_range=(low, high)))
-    return Anomalies(forest, rows, anomaly_summary(rows), top_anomalies(rows, top))
+    return Anomalies(forest, rows, anomaly_summary(rows), top_anomalies(rows, top), anomaly_plane(rows, forest.features, keep))

@@ -117,23 +117,95 @@ def detect_structure(df: DataFrame, id_ratio: float = 0.95) -> Structure:
     dates, formats = _date_columns(df, columns, types, texts, row)
     estimate = {c: row[f"d{i}"] for i, c in enumerate(columns)}
     typical = {c: bool(row[f"t{i}"]) for i, c in enumerate(columns)}
-    unsure = [c for c in columns if _needs_count(c, estimate[c], n, id_ratio, typical[c], c == columns[-1])]
+    uuids = {c: row[f"u{i}"] for i, c in enumerate(columns) if c in texts}
+    nulls = {c: row[f"nulls{i}"] for i, c in enumerate(columns)}
+    return _settled(df, columns, types, n, nulls, estimate, typical, uuids, numeric, dates, formats, id_ratio)
+
+
+def _settled(df, columns, types, n, nulls, estimate, typical, uuids, numeric, dates, formats, id_ratio) -> Structure:
+    """Roles from what the scan found; columns near a decision are counted exactly in ``df``, if there is one."""
+    unsure = [c for c in columns if _needs_count(c, estimate[c], n, id_ratio, typical[c], c == columns[-1])] if df is not None else []
     exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, unsure).collect()} if unsure else {}
     for c in unsure:
         exact.setdefault(c, 0)
     out = []
     for i, c in enumerate(columns):
         distinct = exact.get(c, estimate[c])
-        uuid = c in texts and row[f"u{i}"] > 0 and row[f"u{i}"] == n - row[f"nulls{i}"]
+        uuid = uuids.get(c, 0) > 0 and uuids[c] == n - nulls[c]
         is_id = _id_name(c) or (n > 20 and distinct / n > id_ratio) or uuid
         score, reasons = _label_score(c, distinct, n, c == columns[-1], typical[c])
         out.append(
-            _entry(i, c, types[c], n, row[f"nulls{i}"], exact.get(c), c in numeric, c in dates,
+            _entry(i, c, types[c], n, nulls[c], exact.get(c), c in numeric, c in dates,
                    formats.get(c), is_id, score, reasons)
         )
     return Structure(n, list(columns), out)
 
 
+#: One row per column; ``formats`` counts the values that parse by each of DATE_FORMATS.
+SKETCH_SCHEMA = (
+    "position int, column string, data_type string, n_rows long, nulls long, sketch binary, typical boolean, "
+    "shaped long, uuids long, formats array<long>"
+)
+
+
+def column_sketches(df: DataFrame) -> DataFrame:
+    """What a profile needs to know of each column, in a form that can be stored and merged with that of other rows.
+
+    Distinct values are kept as a sketch of typed hashes, everything else as counts, so a new batch updates a stored
+    profile without the older rows being read again.
+    """
+    df = plain_numbers(df)
+    n, rows = F.count(F.lit(1)), []
+    for i, f in enumerate(df.schema.fields):
+        c, text = F.col(f.name), isinstance(f.dataType, T.StringType)
+        shaped = F.length(F.trim(c)).between(6, 10) & F.trim(c).rlike(DATE_SHAPE) if text else F.lit(False)
+        hits = [F.count(F.when(shaped, F.try_to_timestamp(F.trim(c), F.lit(p)))) if text else F.lit(0) for p in DATE_FORMATS]
+        rows.append(F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("data_type"), n.alias("n_rows"),
+            F.count_if(c.isNull()).alias("nulls"), F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(12)).alias("sketch"),
+            F.coalesce(F.max(_label_like(c, f.dataType)), F.lit(False)).alias("typical"), F.count_if(shaped).alias("shaped"),
+            (F.count_if((F.length(c) == 36) & c.rlike(UUID_SHAPE)) if text else F.lit(0)).cast("long").alias("uuids"),
+            F.array(*[h.cast("long") for h in hits]).alias("formats"),
+        ))
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+
+
+def merge_sketches(sketches: DataFrame, *others: DataFrame) -> DataFrame:
+    """The sketches of all rows together; columns go by name, and their types must agree."""
+    for o in others:
+        sketches = sketches.unionByName(o)
+    merged = sketches.groupBy("column").agg(
+        F.min("position").alias("position"), F.min("data_type").alias("data_type"), F.sum("n_rows").alias("n_rows"), F.sum("nulls").alias("nulls"),
+        F.hll_union_agg("sketch").alias("sketch"), F.max("typical").alias("typical"), F.sum("shaped").alias("shaped"), F.sum("uuids").alias("uuids"),
+        F.array(*[F.sum(F.col("formats")[j]) for j in range(len(DATE_FORMATS))]).alias("formats"), F.count_distinct("data_type").alias("types"),
+    )
+    checked = F.when(F.col("types") == 1, F.col("data_type")).otherwise(F.raise_error(F.concat(F.lit("types differ: "), F.col("column"))))
+    return merged.withColumn("data_type", checked).select(*[f.split()[0] for f in SKETCH_SCHEMA.split(", ")])
+
+
+def structure_of(sketches: DataFrame, df: DataFrame | None = None, id_ratio: float = 0.95) -> Structure:
+    """Roles from (merged) sketches alone; with ``df`` columns near a decision are counted exactly in it, as ``detect_structure`` does."""
+    spark = sketches.sparkSession
+    rows = sketches.withColumn("estimate", F.hll_sketch_estimate("sketch")).drop("sketch").orderBy("position").collect()  # one per column
+    if not rows or not rows[0]["n_rows"]:
+        raise ValueError("the table is empty")
+    n, columns = rows[0]["n_rows"], [r["column"] for r in rows]
+    types = {r["column"]: T.DataType.fromDDL(r["data_type"]) for r in rows}
+    numeric = set(numeric_columns(spark.createDataFrame([], T.StructType([T.StructField(c, t) for c, t in types.items()]))))
+    nulls = {r["column"]: r["nulls"] for r in rows}
+    formats = {}
+    for r in rows:
+        if r["shaped"] > 0 and r["shaped"] >= 0.5 * (n - r["nulls"]):
+            share = 0.5 if any(w in r["column"].strip().lower() for w in DATE_WORDS) else 0.8
+            if max(r["formats"]) >= share * n:
+                formats[r["column"]] = DATE_FORMATS[r["formats"].index(max(r["formats"]))]
+    dates = {c for c in columns if isinstance(types[c], _DATES)} | set(formats)
+    return _settled(
+        None if df is None else plain_numbers(df), columns, types, n, nulls, {r["column"]: r["estimate"] for r in rows}, {r["column"]: r["typical"] for r in rows},
+        {r["column"]: r["uuids"] for r in rows}, numeric, dates, formats, id_ratio,
+    )
+
+
 def _scan(df, columns, texts):
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):

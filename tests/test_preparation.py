@@ -31,6 +31,20 @@ def test_roles(spark, train):
     assert (summary["n_rows"], summary["n_columns"], summary["n_features"]) == (8, 5, 3)
 
 
+def test_merged_sketches_give_the_roles_of_the_whole(spark, train, tmp_path):
+    whole = P.detect_structure(train)
+    halves = [P.column_sketches(train.filter(f"loan_id % 2 = {k}")) for k in (0, 1)]
+    halves[0].write.parquet(str(tmp_path / "sketches"))
+    merged = P.merge_sketches(spark.read.parquet(str(tmp_path / "sketches")), halves[1], P.column_sketches(train.limit(0)))
+    assert P.structure_of(merged, train).profile == whole.profile
+    alone = P.structure_of(merged)
+    assert [(p["column"], p["feature_type"], p["date_format"]) for p in alone.profile] == [(p["column"], p["feature_type"], p["date_format"]) for p in whole.profile]
+    with pytest.raises(ValueError):
+        P.structure_of(P.column_sketches(train.limit(0)))
+    with pytest.raises(Exception, match="types differ"):
+        P.merge_sketches(halves[0], P.column_sketches(train.withColumn("pages", F.lit("x")))).collect()
+
+
 def test_decimals_and_small_integers_are_numbers(spark):
     df = spark.range(60).selectExpr("CAST(id % 7 * 1.25 AS DECIMAL(9,2)) AS price", "CAST(id % 9 AS SHORT) AS rooms", "CAST(id % 4 AS BYTE) AS floor",
                                     "id % 2 = 0 AS lift", "CAST(id AS STRING) AS code")
