@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabwright.llm.scratch import Scratch
-from tabwright.llm.memory import released
+from tabwright.llm.memory import LIMIT, released
 from tabwright.llm.tokens import Encoder, shared
 
 #: Documents that share one salt when ranks are dealt, on average.
@@ -82,8 +82,8 @@ def _crc(ids: bytes) -> int:
     return zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
 
 
-def _cut_documents(batches: Iterator[pa.RecordBatch], content, end: int, capacity: int) -> Iterator[pa.RecordBatch]:
-    encoder, tail = Encoder(content.value), np.array([end], "<u2").tobytes()
+def _cut_documents(batches: Iterator[pa.RecordBatch], content, end: int, capacity: int, word_bytes: int) -> Iterator[pa.RecordBatch]:
+    encoder, tail = Encoder(content.value, word_bytes), np.array([end], "<u2").tobytes()
     for b in batches:
         n, fulls, rests = [], [], []
         for ids in encoder.stream(t.as_py() for t in b.column("text")):
@@ -98,8 +98,8 @@ def _cut_documents(batches: Iterator[pa.RecordBatch], content, end: int, capacit
         )
 
 
-def _crcs_of_cuts(batches: Iterator[pa.RecordBatch], content, end: int) -> Iterator[pa.RecordBatch]:
-    encoder, tail = Encoder(content.value), np.array([end], "<u2").tobytes()
+def _crcs_of_cuts(batches: Iterator[pa.RecordBatch], content, end: int, word_bytes: int) -> Iterator[pa.RecordBatch]:
+    encoder, tail = Encoder(content.value, word_bytes), np.array([end], "<u2").tobytes()
     for b in batches:
         keys, starts, lengths, crcs = [], [], [], []
         ids_of = encoder.stream(t.as_py() for t in b.column("text"))
@@ -140,10 +140,10 @@ def _border_points(at: Column, end: Column, capacity: int, borders: list[int]) -
     return F.array_sort(F.array_distinct(F.concat(F.array(at), F.filter(inner, lambda p: (p > at) & (p < end)), F.array(end))))
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048, word_bytes: int = 4 * LIMIT) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``tokenizer`` is the content of the tokenizer file. NULL and empty texts consist of the end id. Rows with equal or
+    ``tokenizer`` is the content of the tokenizer file; ``word_bytes`` bounds the memory of encoded words in a worker. NULL and empty texts consist of the end id. Rows with equal or
     NULL doc_ids are separate documents. An empty table gives no pieces. Extra columns are ignored.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) ->
     )
     cut = scratch.table(
         rows.mapInArrow(
-            released(lambda batches: _cut_documents(batches, content, end, capacity)),
+            released(lambda batches: _cut_documents(batches, content, end, capacity, word_bytes)),
             "uid long, doc_id long, text_key long, doc_tokens long, fulls array<long>, rest_crc long",
         ),
         "packing-documents",
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048) ->
     wanted = cuts.groupBy("text_key").agg(F.collect_list("cut").alias("cuts"))
     crcs = scratch.table(
         rows.select("text_key", "text").join(wanted, "text_key").mapInArrow(
-            released(lambda batches: _crcs_of_cuts(batches, content, end)), "text_key long, start long, length long, crc long"
+            released(lambda batches: _crcs_of_cuts(batches, content, end, word_bytes)), "text_key long, start long, length long, crc long"
         ).distinct(),
         "packing-crcs",
     )

@@ -2,7 +2,8 @@
 
 Byte-level BPE first cuts a text into pieces and then encodes each piece by itself. Between a character that is no white
 space and a following space or line break there is always such a cut, so a text can be encoded word by word,
-each with the white space before it. Natural text repeats its words, and the library sees each one once.
+each with the white space before it. Natural text repeats its words, and the library sees each one once. A word of Latin letters is
+one such piece, and so is the punctuation after it: the first goes to the library's model as it is, the second is looked up.
 Texts with other white space than spaces and line breaks are encoded whole.
 """
 
@@ -22,6 +23,19 @@ from tabwright.llm.memory import ENTRY, LIMIT
 
 _CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
+#: Punctuation that ends words, and the last letter of Unicode's Latin blocks that every version of it agrees on.
+_TAIL, _LATIN = ".,;:!?)\"]»", "\u024f"
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable, else one from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    moved = {b: chr(256 + n) for n, b in enumerate(others)}
+    return [moved.get(b, chr(b)) for b in range(256)]
+
+
+_BYTES = _byte_letters()
 #: Bytes of text whose words are held at once.
 SLICE = 3_000_000
 
@@ -50,7 +64,7 @@ class Encoder:
     met again move back, so frequent words stay. The memory ends with the encoder, that is with the task.
     """
 
-    def __init__(self, content: str, limit: int = 2 * LIMIT):
+    def __init__(self, content: str, limit: int = 4 * LIMIT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         shape = json.loads(content)
         before = shape.get("pre_tokenizer") or {}
@@ -58,7 +72,7 @@ class Encoder:
             raise ValueError("a byte-level BPE tokenizer without normalisation is needed")
         if any(" " in t["content"] or "\n" in t["content"] or t.get("lstrip") or t.get("rstrip") for t in shape.get("added_tokens", [])):
             raise ValueError("added tokens must not touch white space")
-        self.library, self.generations = _library(content), [{}, {}]
+        self.library, self.generations, self.tails = _library(content), [{}, {}], {}
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         self.limit, self.held = limit, 0
@@ -83,6 +97,45 @@ class Encoder:
         pieces = _CHUNK.findall(text)
         return [p[1:] if p[0] == " " and len(p) > 1 and p[1] not in " \n\0" else "\0" + p for p in pieces]
 
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails.clear()
+            self.tails[tail] = self._encode([tail])[0]
+        return self.tails[tail]
+
+    def _learn_words(self, new: set[str]) -> list[str]:
+        """Encode Latin words, with or without punctuation at their end, each after a space; returns the other pieces."""
+        (known, older), tokenize, others, tailed = self.generations, self.library.model.tokenize, [], []
+        flat, ends, fresh, begun, space = array("H"), [], [], set(), _BYTES[32]
+        for p in new:
+            word = p if p.isalpha() else p.rstrip(_TAIL)
+            plain = word.isascii()
+            if not word.isalpha() or not plain and max(word) > _LATIN:
+                others.append(p)
+                continue
+            if word is not p:
+                tailed.append((p, word))
+                if word in known or word in new or word in begun:
+                    continue
+                begun.add(word)
+            if word in older:
+                known[word] = older[word]
+                continue
+            letters = word if plain else "".join([_BYTES[b] for b in word.encode()])
+            flat.extend([t.id for t in tokenize(space + letters)])
+            ends.append(2 * len(flat))
+            fresh.append(word)
+        if sys.byteorder == "big":
+            flat.byteswap()
+        ids, start = flat.tobytes(), 0
+        for word, end in zip(fresh, ends):
+            known[word] = ids[start:end]
+            start = end
+        for p, word in tailed:
+            known[p] = known[word] + self._tail(p[len(word) :])
+        return others
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; a text that occurs again is encoded once."""
         distinct = dict.fromkeys(texts)
@@ -102,7 +155,7 @@ class Encoder:
         known.update((p, older[p]) for p in again)
         self.held += sum(map(len, new)) + ENTRY * len(new)
         new -= again
-        order = list(new)
+        order = self._learn_words(new)
         for k in range(0, len(order), 20_000):
             some = order[k : k + 20_000]
             whole = [p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in some]
