@@ -173,10 +173,12 @@ class SpanModel:
 def fit(candidates: DataFrame, max_rows: int = 40_000, precision: float = 0.98, trees: int = 20, depth: int = 4, seed: int = 7) -> SpanModel:
     """Trees on at most about ``max_rows`` distinct candidates (kind, match and context), shared out among the kinds.
 
-    Within a kind a hash chooses them; a fifth of all distinct candidates never takes part. Everything outside the fit calibrates: per
-    kind the threshold is the lowest score (in steps of 0.05, at least 0.5) above which at least ``precision`` of those coincide with
-    base spans. Repeats count once, as coinciding if most of them do. A kind without such a score adds nothing, and neither does a
-    table in which all candidates or none coincide with base spans.
+    Within a kind a hash chooses them; a fifth of all distinct candidates never takes part. Everything outside the fit calibrates.
+    Candidates that coincide with base spans are known to be personal data, the others are unlabelled, not wrong: with c the mean score
+    of the known ones of a kind, an unlabelled one of score p counts as (1 - c) / c * p / (1 - p) of a hit, at most 1. Per kind
+    the threshold is the lowest score (in steps of 0.05, at least 0.5) above which at least ``precision`` are hits. Repeats count once, as
+    coinciding if most of them do. A kind without such a score adds nothing, and neither does a table in which all candidates
+    or none coincide with base spans.
     """
     scratch = Scratch(candidates.sparkSession)
     keys = ["kind", "match", "before", "after"]
@@ -193,10 +195,14 @@ def fit(candidates: DataFrame, max_rows: int = 40_000, precision: float = 0.98,
         return SpanModel()
     learn = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(with_features(split.where("fits")))
     model = SpanModel(GBTClassifier(featuresCol="features", labelCol="y", maxIter=trees, maxDepth=depth, seed=seed).fit(learn.select("features", "y")))
-    steps = model.scored(split.where("NOT fits")).groupBy("kind", F.floor(F.col("p") * 20).cast("int").alias("step")).agg(
-        F.count("*").alias("n"), F.sum("y").alias("hits")
-    ).collect()
-    scratch.drop(distinct)
+    rest = scratch.table(model.scored(split.where("NOT fits")).select("kind", "y", "p"), "pii-rest")
+    known = {r.kind: min(max(r.c, 0.05), 1.0) for r in rest.where("y = 1").groupBy("kind").agg(F.avg("p").alias("c")).collect()}
+    odds = F.lit(0.0)
+    for kind, c in known.items():
+        odds = F.when(F.col("kind") == kind, F.lit((1 - c) / c)).otherwise(odds)
+    hit = F.when(F.col("y") == 1, 1.0).otherwise(F.least(F.lit(1.0), odds * F.col("p") / F.greatest(1 - F.col("p"), F.lit(1e-9))))
+    steps = rest.groupBy("kind", F.floor(F.col("p") * 20).cast("int").alias("step")).agg(F.count("*").alias("n"), F.sum(hit).alias("hits")).collect()
+    scratch.drop(distinct, rest)
     for kind in KINDS:
         rows = [0.0, 0.0]
         for step in range(20, 9, -1):

@@ -115,6 +115,32 @@ def test_trees_add_spans_without_the_marks(spark):
     assert not any(rows[i + k].spans for i in range(0, 1200, 4) for k in (2, 3))
 
 
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else 2 * d - 9 * (d > 4) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def test_mistyped_cards_beside_cues_are_added_and_serial_numbers_are_not(spark):
+    rng = random.Random(21)
+
+    def number(valid):
+        while True:
+            d = "".join(rng.choices("0123456789", k=16))
+            if luhn(d) == valid:
+                return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    docs = []
+    for i in range(0, 1600, 4):
+        docs += [(i, f"please charge my credit card {number(True)} today"), (i + 1, f"the serial no {number(False)} was printed below"),
+                 (i + 2, f"batch of serial no {number(False)} left the works"), (i + 3, "nothing of note")]
+    docs += [(9000 + i, f"please charge my credit card {number(False)} today") for i in range(20)]
+    rows = {r.doc_id: r for r in as_query(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    check(rows.values(), docs)
+    added = [rows[9000 + i].spans for i in range(20)]
+    assert all(s.startswith("card:") for s in added) and all(rows[9000 + i].n_card == 0 for i in range(20))
+    assert not any(rows[i + k].spans for i in range(0, 1600, 4) for k in (1, 2, 3))
+
+
 def test_thresholds_do_not_depend_on_how_large_the_table_is(spark):
     rng = random.Random(5)
     number = lambda n: "".join(rng.choices("0123456789", k=n))
