@@ -103,8 +103,9 @@ def _power_moments(rows: DataFrame, columns: Sequence[str], grids: dict[str, np.
     key = ["column", "place"]
     common = parts.groupBy(*key).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("common"))  # a row per column and lambda
     merged = parts.join(F.broadcast(common), key).groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum("g").alias("g"), (F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("common"), 2)) / F.sum("n")).alias("v")
-    )
+        F.sum("n").alias("n"), F.sum("g").alias("g"), (F.sum(F.col("m2") + F.col("n") * F.pow(F.col("mean") - F.col("common"), 2)) / F.sum("n")).alias("v"),
+        F.first("common").alias("common"),
+    ).withColumn("v", F.when(F.col("v") > 1e-24 * (1 + F.col("common") * F.col("common")), F.col("v")))  # below that it is rounding
     out = {}
     for r in merged.collect():
         n, g, v = out.setdefault(columns[r["column"]], (r["n"], r["g"], np.full(len(next(iter(grids.values()))), np.nan)))

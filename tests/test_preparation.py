@@ -1,10 +1,12 @@
 import difflib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions import scalars as S
+from tabwright.functions import similarity
 from tabwright.functions.similarity import best_references
 from tabwright.operators import profile as P
 from tabwright.operators import statistics as Z
@@ -45,6 +47,63 @@ def test_merged_sketches_give_the_roles_of_the_whole(spark, train, tmp_path):
         P.merge_sketches(halves[0], P.column_sketches(train.withColumn("pages", F.lit("x")))).collect()
 
 
+def test_common_subsequence_bounds_the_matcher():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcé ", k=rng.randint(0, 12))) for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert similarity.common_subsequence(a, b) == table[-1][-1]
+        assert sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) <= table[-1][-1]
+
+
+def test_a_gram_of_all_references_is_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_SHARE", 3)
+    rng = random.Random(12)
+    refs = [f"the {''.join(rng.choices('abcdefg', k=rng.randint(3, 9)))} inn" for _ in range(60)]
+    texts = [r[:k] + rng.choice("xyz") + r[k + 1 :] for r in refs for k in rng.sample(range(len(r)), 2)]
+    v = spark.createDataFrame([("c", t) for t in sorted(set(texts))], "column string, value string")
+    r = spark.createDataFrame([("c", x, 5) for x in sorted(set(refs))], "column string, value string, n long")
+    got = {x["value"]: (x["corrected"], x["score"]) for x in best_references(v, r, 0.85).collect()}
+    for t in set(texts):
+        score, ref = min((-difflib.SequenceMatcher(None, t, x).ratio(), x) for x in refs)
+        assert got.get(t) == ((ref, -score) if -score >= 0.85 else None)
+
+
+def test_power_transform_finds_the_peak(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.gamma(1.5, 8.0, 900) - 4, [np.nan, np.inf]])
+    fit = Z.fit_yeo_johnson(spark.createDataFrame([(float(v), 3.0) for v in x] + [(None, 3.0)], "x double, same double").repartition(5), ["x", "same"])
+    kept = x[np.isfinite(x)]
+
+    def likelihood(power):
+        y = np.where(kept >= 0, np.expm1(power * np.log1p(np.abs(kept))) / power, -np.expm1((2 - power) * np.log1p(np.abs(kept))) / (2 - power))
+        return -len(kept) / 2 * np.log(y.var()) + (power - 1) * (np.sign(kept) * np.log1p(np.abs(kept))).sum()
+
+    grid = np.arange(-1, 2, 0.0005) + 1e-7
+    assert abs(fit["x"]["lambda"] - grid[np.argmax([likelihood(p) for p in grid])]) < 1e-3
+    assert fit["same"]["lambda"] == 0.0
+
+
+def test_correlations_of_many_columns_in_one_scan(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(1e6, 1.0, (300, 40))
+    x[:, 1] = 2 * x[:, 0] + rng.normal(0, 0.5, 300)
+    x[:, 2] = 7.0
+    x[::3, 3] = np.nan
+    names = [f"c{i}" for i in range(40)]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(4)
+    got = {(r["left"], r["right"]): r["correlation"] for r in Z.correlation_table(df, names).collect()}
+    assert len(got) == 40 * 39 // 2
+    for (a, b), value in got.items():
+        i, j = names.index(a), names.index(b)
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert value is None if 2 in (i, j) else value == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-6)
+
+
 def test_decimals_and_small_integers_are_numbers(spark):
     df = spark.range(60).selectExpr("CAST(id % 7 * 1.25 AS DECIMAL(9,2)) AS price", "CAST(id % 9 AS SHORT) AS rooms", "CAST(id % 4 AS BYTE) AS floor",
                                     "id % 2 = 0 AS lift", "CAST(id AS STRING) AS code")
