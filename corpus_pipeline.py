@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tabwright.llm.contamination import drop_contaminated
 from tabwright.llm.exact import drop_exact_duplicates
-from tabwright.llm.near import drop_near_copies
 from tabwright.llm.packing import pack
 from tabwright.llm.queries import byte_bpe
 from tabwright.llm.scratch import Scratch
+from tabwright.llm.simhash import drop_near_duplicates
 from tabwright.llm.toxicity import drop_toxic, fit
 
 
@@ -28,8 +28,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a five-word Jaccard similarity of 0.8 or more one stays, the one with the smallest doc_id."""
-    return drop_near_copies(docs)
+    """Of documents linked by fingerprints at most three bits apart, found with BK-trees, one stays, the one with the smallest doc_id."""
+    return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.components import components
-from tabwright.llm.scratch import Scratch, numbered, rows_of
+from tabwright.llm.scratch import Scratch, broadcast_if_small, numbered, rows_of
 from tabwright.llm.words import shingles, words
 
 SEED = 42
+#: Dropped rows whose numbers may be broadcast to leave their texts out.
+_BROADCAST_ROWS = 500_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_BASE = np.arange(8, dtype=np.int64) * 256
 
@@ -201,5 +203,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3) -> Da
     scratch = Scratch(docs.sparkSession)
     rows, uid = numbered(docs, scratch, "simhash-docs")
     found = scratch.table(near_duplicates(rows, uid, width, radius), "simhash-found")
-    keep = found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias(uid))
-    return rows.join(keep.select(uid), uid, "left_semi").select(*docs.columns)
+    keep = scratch.table(found.where("doc_id <=> component_id").groupBy("root").agg(F.min("uid").alias("uid")), "simhash-kept")
+    gone = scratch.table(found.select(F.col("uid").alias(uid)).join(keep.select(F.col("uid").alias(uid)), uid, "left_anti"), "simhash-gone")
+    scratch.drop(found, keep)
+    return rows.join(broadcast_if_small(gone, gone.count(), _BROADCAST_ROWS), uid, "left_anti").select(*docs.columns)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from conftest import SMALL
 from tabwright.llm import exact, queries
 from tabwright.llm.components import components
@@ -135,3 +136,14 @@ def test_exact_edge_cases(spark):
     kept = drop_exact_duplicates(spark.createDataFrame(rows, SCHEMA))
     assert kept.columns == ["doc_id", "text", "uid", "key"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 9]
     assert exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pipeline_stage_drops_what_lies_within_three_bits(spark):
+    """The stage goes by fingerprints: what op1 links is one document, other texts stay however many words they share."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    docs = {1: " ".join(base), 2: " ".join([*base[:-1], "last"]), 3: " ".join([*base[:50], "one", *base[51:100], "two", *base[101:]])}
+    prints = {i: plain_fingerprint(t) for i, t in docs.items()}
+    expected = set(plain_components(prints).values())
+    rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, rows, SMALL).collect()} == expected == {1, 3}
