@@ -182,7 +182,8 @@ def grouped_quantiles(
     unpack = [F.col("__q")[i].alias(name) for i, name in enumerate(into)]
     if hot.isEmpty():
         return base.groupBy(*keys).agg(F.percentile("__x", probs).alias("__q")).select(*keys, *unpack)
-    marks = hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n")
+    # At most a ``small``-th of the rows; a join by the groups would bring all rows of one into one task.
+    marks = F.broadcast(hot.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__n"))
     same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
     on = same[0]
     for s in same[1:]:
@@ -229,4 +230,4 @@ def _hot_quantiles(rows, keys, probabilities, into):
             ends.append(F.max(F.when(covers, F.col("__x"))))
         lo, hi = ends
         aggs.append((lo + (hi - lo) * F.max(h - F.floor(h))).alias(name))
-    return ranked.join(named, on).groupBy(*keys).agg(*aggs)
+    return ranked.join(F.broadcast(named), on).groupBy(*keys).agg(*aggs)  # hot groups alone
