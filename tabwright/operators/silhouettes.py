@@ -22,7 +22,8 @@ from tabwright.operators.ranking import rank_values
 from tabwright.operators.sampling import sample_rows
 from tabwright.session import materialise, spread
 
-_ROWS = 1024
+#: Rows dealt to cells and rows measured at once: few enough for their distances to stay in the cache.
+_DEALT, _MEASURED = 256, 128
 
 
 @dataclass
@@ -37,20 +38,27 @@ class Cells:
 
 
 def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (points * points).sum(1) - 2 * x @ points.T, 0.0))
+    d = x @ (-2 * points.T)
+    d += (x * x).sum(1)[:, None]
+    d += (points * points).sum(1)
+    np.maximum(d, 0.0, out=d)
+    return np.sqrt(d, out=d)
 
 
-def _arrays(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _arrays(b: pa.RecordBatch, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The groups and points of a batch, a part at a time."""
-    for k in range(0, b.num_rows, _ROWS):
-        part = b.slice(k, _ROWS)
+    for k in range(0, b.num_rows, rows):
+        part = b.slice(k, rows)
         yield part.column(0).to_numpy(), part.column(1).flatten().to_numpy().reshape(part.num_rows, -1)
 
 
 def _nearest(group: np.ndarray, x: np.ndarray, cell_group: np.ndarray, points: np.ndarray) -> np.ndarray:
     """The nearest cell of its own group for each row."""
-    d = np.where(group[:, None] == cell_group, _distances(x, points), np.inf)
-    return d.argmin(1)
+    at = np.empty(len(x), np.int64)
+    for g in np.unique(group):
+        mine, cells = np.flatnonzero(group == g), np.flatnonzero(cell_group == g)
+        at[mine] = cells[_distances(x[mine], points[cells]).argmin(1)]
+    return at
 
 
 def _gathered(rows: DataFrame, cell_group: np.ndarray, points: np.ndarray, around: np.ndarray | None = None) -> pd.DataFrame:
@@ -61,10 +69,11 @@ def _gathered(rows: DataFrame, cell_group: np.ndarray, points: np.ndarray, aroun
         m = len(points)
         count, total, squares, largest = np.zeros(m, np.int64), np.zeros((m, width)), np.zeros(m), np.zeros(m)
         for b in batches:
-            for group, x in _arrays(b):
+            for group, x in _arrays(b, _DEALT):
                 at = _nearest(group, x, cell_group, points)
                 count += np.bincount(at, minlength=m)
-                np.add.at(total, at, x)
+                for i in range(width):
+                    total[:, i] += np.bincount(at, x[:, i], m)
                 if around is not None:
                     d = np.sqrt(((x - around[at]) ** 2).sum(1))
                     squares += np.bincount(at, d * d, m)
@@ -106,23 +115,28 @@ def fit_cells(rows: DataFrame, n_groups: int, cells: int, seed: int, rounds: int
 def bounds(group: np.ndarray, x: np.ndarray, cells: Cells, n_groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower bound, upper bound and estimate of each row's silhouette; 0 for the only row of a group."""
     d = _distances(x, cells.mean)
-    squares = d * d + cells.spread
-    high = np.sqrt(squares)
-    low = np.minimum(np.maximum(d, squares / np.maximum(d + cells.radius, 1e-300)), high)
+    squares = d * d
+    squares += cells.spread
+    low = d + cells.radius
+    np.maximum(low, 1e-300, out=low)
+    np.divide(squares, low, out=low)
+    np.maximum(low, d, out=low)
+    high = np.sqrt(squares, out=squares)
+    np.minimum(low, high, out=low)
     member = np.zeros((len(cells.group), n_groups))
     member[np.arange(len(cells.group)), cells.group] = cells.count
     size = member.sum(0)
     own = np.arange(len(x)), group
 
-    def parts(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total = distance @ member
+    def parts(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = total[own] / np.maximum(size[group] - 1, 1)
         mean = total / np.maximum(size, 1)
         mean[own] = np.inf
         mean[:, size == 0] = np.inf
         return a, mean.min(1)
 
-    (a_low, b_low), (a_high, b_high), (a, b) = parts(low), parts(high), parts((low + high) / 2)
+    nearer, farther = low @ member, high @ member
+    (a_low, b_low), (a_high, b_high), (a, b) = parts(nearer), parts(farther), parts((nearer + farther) / 2)
 
     def silhouette(inner: np.ndarray, outer: np.ndarray) -> np.ndarray:
         widest = np.maximum(inner, outer)
@@ -151,7 +165,7 @@ def silhouette_bounds(df: DataFrame, label: str = "cluster", cells: int = 1024,
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, n = np.zeros(3), 0
         for b in batches:
-            for group, points in _arrays(b):
+            for group, points in _arrays(b, _MEASURED):
                 sums += [v.sum() for v in bounds(group, points, found, n_groups)]
                 n += len(group)
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (*sums, n)], ["low", "high", "estimate", "n"])
