@@ -1,7 +1,8 @@
 """Isolation forest: trees grown level by level over all their rows, scoring on every row.
 
-A level is one ``groupBy(tree, node)`` of counts, minima and maxima; a node's split is drawn from a hash of its number, and its rows
-go on to the next level. A node that is down to ``IN_TASK`` rows is finished by one task. Nodes are numbered as in a heap
+A level is one ``groupBy(tree, node)`` of counts, minima and maxima; a node's split is drawn from a hash of its number. Rows are not
+stored again for a level: they walk down the splits found so far, of which there is at most one per ``IN_TASK`` rows and level. A node that is down to
+``IN_TASK`` rows is finished by one task, to which its rows are shuffled once. Nodes are numbered as in a heap
 (root 1, children 2i and 2i + 1), so no level has to know another. Forests of few nodes travel to the rows as arrays; for others the rows go down the
 stored node table, level by level.
 """
@@ -123,7 +124,7 @@ def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float =
     size = _tree_rows(max_samples, n)
     drawn = _draw(points, n, trees, size, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    nodes = materialise(_grown(drawn, len(features), size, limit, seed), "forest-nodes")
+    nodes = materialise(_grown(drawn, len(features), size, trees, limit, seed), "forest-nodes")
     forest = _held(StoredForest(list(features), size, trees, nodes))
     if contamination != "auto":
         raw = materialise(score(df.select(*features), forest).select("raw_score"), "raw-scores")
@@ -146,10 +147,13 @@ def _numbered(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
-    """tree, ticket, x: at least ``size`` rows per tree (all but surely), exactly ``size`` where a tree outgrows one task.
+    """tree, ticket, x: at least ``size`` rows per tree (all but surely), exactly ``size`` where a tree outgrows one task. Trees of all
+    rows beyond that have no ticket and are not stored.
 
     A row's ticket for a tree is a hash of both; those below a cut a little above size / n are offered.
     """
+    if size >= n and size > IN_TASK:
+        return points.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "x")
     share = min(1.0, (size + 8 * math.sqrt(size) + 50) / max(n, 1))
     cut = np.uint64(min(2**63 - 1, int(share * 2**63)))
 
@@ -167,7 +171,7 @@ def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFr
                     )
 
     drawn = materialise(points.mapInArrow(offer, "tree int, ticket long, x array<double>"), "drawn")
-    if size <= IN_TASK or size >= n:
+    if size <= IN_TASK:
         return drawn
     return mark_smallest(drawn, lambda _: F.lit(size), "taken", ["tree"], "ticket").filter("taken").drop("taken")
 
@@ -178,21 +182,63 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _level(rows: DataFrame, n_features: int, depth: int, limit: int, seed: int) -> DataFrame:
-    """tree, node, size, feature, threshold: a random split of each node of a level, feature -1 where there is none to make."""
-    low, high = ([F.col(f"{e}{i}") for i in range(n_features)] for e in ("lo", "hi"))
-    stats = rows.groupBy("tree", "node").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.min(F.col("x")[i]).alias(f"lo{i}") for i in range(n_features)],
-        *[F.max(F.col("x")[i]).alias(f"hi{i}") for i in range(n_features)],
+def _walked(tree: np.ndarray, x: np.ndarray, first: np.ndarray, levels: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row comes to be below the known splits: its place in the last ``child`` (or a code below 0) and its node."""
+    at, node = first[tree], np.ones(len(tree), np.int64)
+    for feature, cut, child in levels:
+        live = np.flatnonzero(at >= 0)
+        split = at[live]
+        right = x[live, feature[split]] > cut[split]
+        node[live] = 2 * node[live] + right
+        at[live] = child[2 * split + right]
+    return at, node
+
+
+def _members(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        yield b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, n_features)
+
+
+def _open_stats(rows: DataFrame, n_features: int, first: np.ndarray, levels: list[tuple], trees: np.ndarray, nodes: np.ndarray) -> DataFrame:
+    """at, tree, node, size and the features' extremes (lo, hi) of the open nodes, which are ``trees`` and ``nodes``; added up in the tasks."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = len(trees)
+        count, low, high = np.zeros(m, np.int64), np.full((n_features, m), np.inf), np.full((n_features, m), -np.inf)
+        for tree, x in _members(batches, n_features):
+            at, _ = _walked(tree, x, first, levels)
+            live = np.flatnonzero(at >= 0)
+            at = at[live]
+            count += np.bincount(at, minlength=m)
+            for f in range(n_features):
+                column = np.ascontiguousarray(x[live, f])
+                np.minimum.at(low[f], at, column)
+                np.maximum.at(high[f], at, column)
+        met = np.flatnonzero(count)
+        for k in range(0, len(met), 50_000):
+            some = met[k : k + 50_000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some), pa.array(trees[some].astype(np.int32)), pa.array(nodes[some]), pa.array(count[some]), *map(pa.array, low[:, some]), *map(pa.array, high[:, some])], names
+            )
+
+    ends = [f"{e}{i}" for e in ("lo", "hi") for i in range(n_features)]
+    names = ["at", "tree", "node", "size", *ends]
+    parts = rows.select("tree", "x").mapInArrow(gather, "at long, tree int, node long, size long, " + ", ".join(f"{c} double" for c in ends))
+    return parts.groupBy("tree", "node").agg(
+        F.min("at").alias("at"), F.sum("size").alias("size"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in ends]
     )
+
+
+def _level(stats: DataFrame, n_features: int, depth: int, limit: int, seed: int) -> DataFrame:
+    """at, tree, node, size, feature, threshold: a random split of each node of a level, feature -1 where there is none to make."""
+    low, high = ([F.col(f"{e}{i}") for i in range(n_features)] for e in ("lo", "hi"))
     drawn = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "tree", "node"), 11)
     spans = F.array(*[F.when(h > lo, F.struct(F.lit(i).alias("f"), lo.alias("lo"), h.alias("hi"))) for i, (lo, h) in enumerate(zip(low, high))])
     open_ = F.filter(spans, lambda s: s.isNotNull())
     chosen = F.when((F.size("open") > 0) & (F.col("size") > 1) & F.lit(depth < limit), F.get("open", F.pmod(drawn(0), F.size("open")).cast("int")))
     cut = F.col("c.lo") + drawn(1) / F.lit(float(2**53)) * (F.col("c.hi") - F.col("c.lo"))
     return stats.withColumn("open", open_).withColumn("c", chosen).select(
-        "tree", "node", "size", F.coalesce("c.f", F.lit(-1)).alias("feature"), F.coalesce(cut, F.lit(0.0)).alias("threshold"), F.lit(depth).alias("depth")
+        "at", "tree", "node", "size", F.coalesce("c.f", F.lit(-1)).alias("feature"), F.coalesce(cut, F.lit(0.0)).alias("threshold"), F.lit(depth).alias("depth")
     )
 
 
@@ -204,41 +250,55 @@ def _down(rows: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
     return met.withColumn("node", child).select(*rows.columns)
 
 
-def _grown(drawn: DataFrame, n_features: int, size: int, limit: int, seed: int) -> DataFrame:
+def _grown(drawn: DataFrame, n_features: int, size: int, trees: int, limit: int, seed: int) -> DataFrame:
     """The nodes of all trees: level by level while a node has over ``IN_TASK`` rows, then node by node."""
-    rows, depth = drawn.withColumn("node", F.lit(1).cast("long")), 0
-    done, small = [], []
-    while size > IN_TASK and depth <= limit:
-        level = materialise(_level(rows, n_features, depth, limit, seed), "forest-level")
-        wide = level.filter(F.col("size") > IN_TASK)
-        splits = wide.filter("feature >= 0")
-        done.append(wide)
-        n_splits = splits.count()
-        narrow = level.filter(F.col("size") <= IN_TASK).select("tree", "node")
-        few = F.broadcast(narrow) if narrow.count() <= FEW_SPLITS else narrow
-        small.append(materialise(rows.join(few, ["tree", "node"], "left_semi").withColumn("depth", F.lit(depth)), "forest-small"))
-        if not n_splits:
-            rows = None
-            break
-        rows = materialise(_down(rows, splits, n_splits), "forest-rows")
-        depth += 1
-    else:
-        small.append(rows.withColumn("depth", F.lit(depth)))
-    pending = small[0]
-    for part in small[1:]:
-        pending = pending.unionByName(part)
+    done, pending = [], drawn.withColumn("node", F.lit(1).cast("long"))
+    if size > IN_TASK:
+        done, pending = _top(drawn, n_features, trees, limit, seed)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
-        tree, node, at = int(group["tree"].iloc[0]), int(group["node"].iloc[0]), int(group["depth"].iloc[0])
-        picked = group.sort_values("ticket", kind="stable").head(size)
-        return _grow(tree, node, at, np.vstack(picked["x"].to_numpy()), limit, np.random.default_rng([seed, tree, node]))
+        tree, node = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
+        picked = group.sort_values("ticket", kind="stable").head(size) if "ticket" in group else group
+        return _grow(tree, node, node.bit_length() - 1, np.vstack(picked["x"].to_numpy()), limit, np.random.default_rng([seed, tree, node]))
 
-    nodes = pending.select("tree", "node", "depth", "ticket", "x").groupBy("tree", "node").applyInPandas(grow, _NODES)
+    nodes = pending.groupBy("tree", "node").applyInPandas(grow, _NODES)
     for level in done:
-        nodes = nodes.unionByName(level.select(F.col("tree"), "node", "feature", "threshold", "size", "depth"))
+        nodes = nodes.unionByName(level.select("tree", "node", "feature", "threshold", "size", "depth"))
     return nodes
 
 
+def _top(rows: DataFrame, n_features: int, trees: int, limit: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """The nodes of over ``IN_TASK`` rows, a table a level, and tree, node, x of the rows below them."""
+    done, levels, first = [], [], np.arange(trees)
+    child, tree_of, node_of = first, np.arange(trees), np.ones(trees, np.int64)
+    for depth in range(limit + 1):
+        stats = _open_stats(rows, n_features, first, list(levels), tree_of, node_of)
+        level = materialise(_level(stats, n_features, depth, limit, seed), "forest-level")
+        done.append(level.filter(F.col("size") > IN_TASK))
+        found = level.select("at", "size", "feature", "threshold").toPandas().sort_values("at")  # nodes of one level
+        wide = found["size"].to_numpy() > IN_TASK
+        split = wide & (found["feature"].to_numpy() >= 0)
+        code = np.where(wide, -2, -1)  # a leaf of many rows, a node for one task
+        code[split] = np.arange(split.sum())
+        child[:] = -2
+        child[found["at"].to_numpy()] = code
+        if not split.any():
+            break
+        at = found["at"].to_numpy()[split]
+        tree_of, node_of = np.repeat(tree_of[at], 2), (2 * node_of[at][:, None] + np.arange(2)).ravel()
+        child = np.arange(2 * len(at))
+        levels.append((found["feature"].to_numpy()[split].astype(np.int64), found["threshold"].to_numpy()[split], child))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tree, x = next(_members(iter([b]), n_features))
+            at, node = _walked(tree, x, first, levels)
+            held = np.flatnonzero(at == -1)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), pa.array(node[held]), b.column(1).take(pa.array(held))], ["tree", "node", "x"])
+
+    return done, rows.select("tree", "x").mapInArrow(below, "tree int, node long, x array<double>")
+
+
 def _grow(tree: int, root: int, depth: int, x: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
     """Random splits below ``root`` until a point is alone, all points are equal or the depth limit."""
     nodes, todo = [], [(x, root, depth)]

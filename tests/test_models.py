@@ -12,6 +12,7 @@ from tabwright.operators import isolation as A
 from tabwright.operators import trees as R
 from tabwright.operators.density import density_hint
 from tabwright.operators.sampling import stratified_split
+from tabwright.operators import silhouettes as S
 from tabwright.operators.silhouettes import silhouette_bounds
 from tabwright.plans.analysis import analyse
 from tabwright.streaming.history import History
@@ -267,3 +268,33 @@ def test_analysis_from_end_to_end(spark, folder, tmp_path):
     assert store.kpis().first()["last_run"] == done.run_id
     assert store.read("cluster_history").count() == 1
     assert store.read("anomaly_history").first()["total_rows"] == parts.count()
+
+
+def test_trees_of_all_rows_store_no_rows_by_level(spark, monkeypatch):
+    """Splits are walked again for each level: what is stored beside the points are nodes, and no row is lost on the way."""
+    monkeypatch.setattr(A, "IN_TASK", 16)
+    stored, write = [], A.materialise
+    monkeypatch.setattr(A, "materialise", lambda df, label: stored.append((label, write(df, label))) or stored[-1][1])
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(400, 2)), np.zeros((100, 2))])  # equal rows end in one leaf of many
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]))
+    nodes = A.fit_forest(rows, trees=2, max_samples=1.0).stored(spark).nodes.toPandas()
+    for _, tree in nodes.groupby("tree"):
+        size = dict(zip(tree["node"], tree["size"]))
+        assert size[1] == 500 == tree[tree["feature"] < 0]["size"].sum()
+        assert all(size[k] == size[2 * k] + size[2 * k + 1] for k in tree[tree["feature"] >= 0]["node"])
+    assert sum(df.count() for label, df in stored if label not in ("points", "forest-nodes")) <= len(nodes)
+
+
+def test_cells_of_a_group_are_searched_alone():
+    """A row is compared with its own group's cells only, and comes to the nearest of them."""
+    rng = np.random.default_rng(4)
+    x, points, group, cell_group = rng.normal(size=(300, 3)), rng.normal(size=(40, 3)), rng.integers(0, 4, 300), np.sort(rng.integers(0, 4, 40))
+    met, plain = [], S._distances
+    S._distances = lambda a, b: met.append(len(a) * len(b)) or plain(a, b)
+    try:
+        at = S._nearest(group, x, cell_group, points)
+    finally:
+        S._distances = plain
+    far = np.where(group[:, None] == cell_group, ((x[:, None] - points) ** 2).sum(2), np.inf)
+    assert (at == far.argmin(1)).all() and sum(met) < 300 * 40
