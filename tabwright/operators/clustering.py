@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +19,7 @@ from tabwright.functions.scalars import finite_or_zero, percent
 from tabwright.operators.aggregates import long_group_means
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.density import DensityHint, density_hint
+from tabwright.operators.lloyd import Points, Run, moments, run_together, silhouettes, store_points
 from tabwright.operators.sampling import row_hash
 from tabwright.operators.silhouettes import silhouette_bounds
 from tabwright.session import materialise, spread
@@ -79,21 +77,16 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centers * centers).sum(1) - 2 * x @ centers.T, 0.0)
 
 
-def _together(spark, jobs: list[Callable]) -> list:
-    """Results of independent fits, a few of which run at a time, as their many short steps leave a cluster idle."""
-    with ThreadPoolExecutor(min(4, len(jobs))) as pool:
-        return list(pool.map(lambda job: inheritable_thread_target(spark)(job)(), jobs))
+def _fitted(points: Points, run: Run) -> KMeansFit:
+    return KMeansFit(points.features, (run.centers + np.array(points.means)).tolist(), run.sizes.tolist(), run.cost, run.iterations)
 
 
-def _moments(rows: DataFrame, features: Sequence[str]) -> tuple[list[float], list[float]]:
-    """Mean and population variance of each column, in one pass."""
-    r = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
-    return [r[f"m{i}"] or 0.0 for i in range(len(features))], [r[f"v{i}"] or 0.0 for i in range(len(features))]
-
-
-def _step(tol: float, variances: Sequence[float], k: int) -> float:
-    """How far a centre may still move at the end: ``tol`` times the mean variance of the columns, shared out as a squared distance."""
-    return float(np.sqrt(tol * np.mean(variances) / k))
+def _fit_stored(points: Points, k: int, seeds: Sequence[Sequence[int]], max_iter: int = 100, tol: float = 1e-4) -> list[KMeansFit]:
+    """For each list of seeds the cheapest of its runs; all runs go over the stored rows together."""
+    if k == 1:
+        return [KMeansFit(points.features, [points.means], [points.n], points.n * sum(points.variances), 0) for _ in seeds]
+    runs = iter(run_together(points, [(k, s) for group in seeds for s in group], max_iter, tol))
+    return [_fitted(points, min([next(runs) for _ in group], key=lambda r: r.cost)) for group in seeds]
 
 
 def fit_kmeans(df: DataFrame, k: int, seed: int = 42, inits: int = 2, n_rows: int | None = None,
@@ -103,21 +96,9 @@ def fit_kmeans(df: DataFrame, k: int, seed: int = 42, inits: int = 2, n_rows: in
     Missing and infinite values count as 0, as in ``numeric_matrix``. ``k`` never
     exceeds the row count; fewer distinct rows give fewer clusters. ``tol`` is relative to the mean variance of the columns.
     """
-    features = numeric_columns(df)
-    n = df.count() if n_rows is None else n_rows
-    k = max(1, min(k, n))
-    rows = numeric_matrix(df.select(*features))
-    means, variances = _moments(rows, features)
-    if k == 1:
-        return KMeansFit(features, [means], [n], n * sum(variances), 0)
-    vectors = assemble(rows, features).select(_VECTOR).persist()
-    vectors.count()
-    step = _step(tol, variances, k)
-    jobs = [lambda i=i: KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=step, featuresCol=_VECTOR).fit(vectors) for i in range(inits)]
-    best = min(_together(df.sparkSession, jobs), key=lambda m: m.summary.trainingCost)
-    vectors.unpersist()
-    centers = [c.tolist() for c in best.clusterCenters()]
-    return KMeansFit(features, centers, list(best.summary.clusterSizes), best.summary.trainingCost, best.summary.numIter)
+    points = store_points(df, numeric_columns(df))
+    k = max(1, min(k, points.n if n_rows is None else n_rows))
+    return _fit_stored(points, k, [[seed + i for i in range(inits)]], max_iter, tol)[0]
 
 
 def _near_sums(part: DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -169,7 +150,7 @@ def fit_minibatch(df: DataFrame, k: int, seed: int = 42, batches: int = 8, epoch
     first = stored.filter(F.col("batch") == 0).select(*[F.col("x")[i].alias(f) for i, f in enumerate(features)])
     if k == 1 or first.limit(k).count() < k:  # fewer rows than one batch needs
         return fit_kmeans(df, k, seed, 1, n)
-    _, variances = _moments(rows, features)
+    _, _, variances = moments(rows, features)
     start = fit_kmeans(first, k, seed, 1, max_iter=max_start)
     centers, done = np.array(start.centers), 0
     for _ in range(epochs):
@@ -226,27 +207,17 @@ def search_k(df: DataFrame, low: int = 2, high: int = 10, seed: int = 42,
              n_rows: int | None = None, max_iter: int = 20) -> tuple[int, dict[int, float], float | None]:
     """Best k by the squared-distance silhouette of all rows; the smallest wins a tie.
 
-    Each k is a distributed fit over every row. A k that leaves a single cluster gets no score.
+    The fits of all k go over every row together. A k that leaves a single cluster gets no score.
     """
     n = df.count() if n_rows is None else n_rows
     if n < 3:
         return 1, {}, None
-    low, features = max(2, low), numeric_columns(df)
-    rows = numeric_matrix(df.select(*features))
-    _, variances = _moments(rows, features)
-    vectors = assemble(rows, features).select(_VECTOR).persist()
-    vectors.count()
-    measure = ClusteringEvaluator(featuresCol=_VECTOR)
-
-    def measured(k: int) -> float | None:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=_step(1e-4, variances, k), featuresCol=_VECTOR).fit(vectors)
-        several = sum(size > 0 for size in model.summary.clusterSizes) > 1
-        return round(measure.evaluate(model.transform(vectors)), 4) if several else None
-
+    low, points = max(2, low), store_points(df, numeric_columns(df))
     ks = range(low, max(low, min(high, n - 1)) + 1)
-    found = _together(df.sparkSession, [lambda k=k: measured(k) for k in ks])
-    scores = {k: score for k, score in zip(ks, found) if score is not None}
-    vectors.unpersist()
+    runs = run_together(points, [(k, seed) for k in ks], max_iter, 1e-4)
+    several = [(k, run) for k, run in zip(ks, runs) if (run.sizes > 0).sum() > 1]
+    found = silhouettes(points, [run for _, run in several]) if several else []
+    scores = {k: round(score, 4) for (k, _), score in zip(several, found)}
     if not scores:
         return low, {}, None
     best = max(scores, key=lambda k: (scores[k], -k))
@@ -309,11 +280,12 @@ def pca_2d(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None) -> DataFrame:
-    """Agreement of two labelings from their table of counts (per value of ``by``)."""
+def adjusted_rand(df: DataFrame, a: str, b: str, by: str | None = None, weight: str | None = None) -> DataFrame:
+    """Agreement of two labelings from their table of counts (per value of ``by``); a row stands for ``weight`` rows."""
     pair = lambda n: n * (n - 1) / 2
     keys = [by] if by else []
-    cells = df.groupBy(*keys, a, b).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = df.groupBy(*keys, a, b).agg(size.cast("double").alias("n"))
     rows = cells.groupBy(*keys, a).agg(F.sum("n").alias("n"))
     cols = cells.groupBy(*keys, b).agg(F.sum("n").alias("n"))
     zero = F.lit(0.0)
@@ -334,13 +306,15 @@ def cluster_stability(df: DataFrame, label: str, k: int, runs: int = 5, seed: in
     if k < 2:
         return []
     features = numeric_columns(df, exclude=[label])
-    points = df.select(*features)
-    agreed = []
-    for run in range(1, runs + 1):
-        again = fit_kmeans(points, k, 1000 * (seed + run), 2, n_rows)
-        table = again.assign(df.select(F.col(label).alias("given"), *features)).select("given", "cluster")
-        agreed.append(adjusted_rand(table, "given", "cluster").first()["ari"])
-    return agreed
+    points = store_points(df, features)
+    k = max(1, min(k, points.n if n_rows is None else n_rows))
+    fits = _fit_stored(points, k, [[1000 * (seed + run) + i for i in range(2)] for run in range(1, runs + 1)])
+    rows = df.select(F.col(label).alias("given"), *features)
+    for i, again in enumerate(fits):
+        rows = again.assign(rows).withColumnRenamed("cluster", f"__again{i}")
+    met = [f"__again{i}" for i in range(runs)]
+    cells = materialise(rows.groupBy("given", *met).agg(F.count(F.lit(1)).alias("__rows")), "agreement")
+    return [adjusted_rand(cells, "given", c, weight="__rows").first()["ari"] for c in met]
 
 
 @dataclass
