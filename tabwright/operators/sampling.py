@@ -111,6 +111,6 @@ def stratified_split(df: DataFrame, label: str, test_share: float, seed: int = 4
     return mark_smallest(rows, lambda size: F.round(size * F.lit(test_share)), "is_test", [label]).select(*df.columns, "is_test")
 
 
-def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42) -> DataFrame:
-    """Add ``fold``, drawn by a hash of the row, so each class is spread about evenly; equal rows share a fold."""
-    return df.withColumn("fold", F.pmod(row_hash(df.columns, seed), F.lit(folds)).cast("int"))
+def stratified_folds(df: DataFrame, label: str, folds: int, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``fold``, drawn by a hash of the row (or of its columns ``by``), so each class is spread about evenly; equal rows share a fold."""
+    return df.withColumn("fold", F.pmod(row_hash(by or df.columns, seed), F.lit(folds)).cast("int"))

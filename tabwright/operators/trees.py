@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -11,6 +12,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tabwright.operators.sampling import stratified_folds, stratified_split
 from tabwright.session import materialise
 
 _VECTOR = "__features"
+#: Bins of a feature of the surrogate tree.
+_BINS = 64
 
 
 def class_indexes(df: DataFrame, label: str) -> DataFrame:
@@ -74,33 +78,66 @@ def fit_surrogate(df: DataFrame, label: str = "cluster", depth: int = 4, leaf_ro
     sizes = [r["n"] for r in indexed.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()]  # one per cluster
     if len(sizes) < 2:
         return None
-    rows = materialise(stratified_folds(indexed.select(label, "class_index", _VECTOR), "class_index",
-                                        max(2, min(folds, min(sizes))), seed), "surrogate")
-    learner = DecisionTreeClassifier(
-        featuresCol=_VECTOR, labelCol="class_index", predictionCol="predicted", maxDepth=depth,
-        minInstancesPerNode=leaf_rows, maxBins=64, seed=seed,
-    )
-    hit = F.avg((F.col("predicted") == F.col("class_index")).cast("double"))
-    model = learner.copy().setLeafCol("leaf").fit(rows)
-    scored = model.transform(rows)
+    n_folds = max(2, min(folds, min(sizes)))
+    cells, cuts = _cells(stratified_folds(indexed.select(label, "class_index", _VECTOR, *features), "class_index", n_folds, seed, by=[label, "class_index", _VECTOR]),
+                         [label, "class_index", "fold"], features)
+    per_fold = {r["fold"]: r["n"] for r in cells.groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    total = sum(per_fold.values())
+
+    def learner(n: int) -> DecisionTreeClassifier:
+        """A leaf's least rows are a share of the ``n`` rows, as a cell stands for several."""
+        return DecisionTreeClassifier(
+            featuresCol=_VECTOR, labelCol="class_index", predictionCol="predicted", weightCol="n", maxDepth=depth,
+            minWeightFractionPerNode=min((leaf_rows - 0.5) / n, 0.4999), maxBins=_BINS, seed=seed,
+        )
+
+    hit = F.sum(F.when(F.col("predicted") == F.col("class_index"), F.col("n")).otherwise(0)) / F.sum("n")
+    model = learner(total).setLeafCol("leaf").fit(cells)
+    scored = model.transform(cells)
     train = round(scored.agg(hit).first()[0], 4)
     cv = None
     if min(sizes) >= 2:
-        n_folds = max(2, min(folds, min(sizes)))
         parts = []
         for k in range(n_folds):
-            others = rows.filter(F.col("fold") != k)
-            if others.isEmpty() or rows.filter(F.col("fold") == k).isEmpty():  # few different rows can share one fold
+            if per_fold.get(k, 0) in (0, total):  # few different rows can share one fold
                 continue
-            parts.append(learner.fit(others).transform(rows.filter(F.col("fold") == k)).agg(hit).first()[0])
+            others = cells.filter(F.col("fold") != k)
+            parts.append(learner(total - per_fold[k]).fit(others).transform(cells.filter(F.col("fold") == k)).agg(hit).first()[0])
         cv = round(sum(parts) / len(parts), 4) if parts else None
-    leaves = leaf_table(scored, label, "leaf")
-    return Surrogate(model, list(features), classes, train, cv, leaves, leaf_conditions(model, features, df.sparkSession))
+    leaves = leaf_table(scored, label, "leaf", "n")
+    return Surrogate(model, list(features), classes, train, cv, leaves, leaf_conditions(model, features, df.sparkSession, cuts))
 
 
-def leaf_table(scored: DataFrame, label: str, leaf: str) -> DataFrame:
-    """(leaf, winner, n, purity, counts per class)."""
-    cells = scored.groupBy(leaf, label).agg(F.count(F.lit(1)).alias("n"))
+def _cells(rows: DataFrame, keep: Sequence[str], features: Sequence[str]) -> tuple[DataFrame, Callable[[int, float], float]]:
+    """Rows counted by ``keep`` and the bin of every feature, all that a tree sees of them, and where a cut between bins lies in a feature.
+
+    A feature has at most ``_BINS`` bins, between quantiles of all rows; a bin holds its upper end. Cells never outnumber the rows.
+    """
+    stored = materialise(rows.select(*keep, *[F.col(f).cast("double").alias(f"__x{i}") for i, f in enumerate(features)]), "surrogate")
+    xs = [f"__x{i}" for i in range(len(features))]
+    found = stored.approxQuantile(xs, [k / _BINS for k in range(1, _BINS)], 1 / (8 * _BINS))
+    splits = [[-math.inf, *(math.nextafter(q, math.inf) for q in sorted(set(ends))), math.inf] for ends in found]
+    bins = [f"__b{i}" for i in range(len(features))]
+    binned = Bucketizer(splitsArray=splits, inputCols=xs, outputCols=bins).transform(stored)
+    binned = binned.select(*keep, *xs, *[F.col(b).cast("int").alias(b) for b in bins])  # the bins are ordered, not nominal
+    ends = [f(x).alias(f"{name}{x}") for x in xs for name, f in (("lo", F.min), ("hi", F.max))]
+    cells = materialise(binned.groupBy(*keep, *bins).agg(F.count(F.lit(1)).alias("n"), *ends), "cells")
+    spots = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(b).alias("b"), F.col(f"lo{x}").alias("lo"), F.col(f"hi{x}").alias("hi"))
+                                for i, (b, x) in enumerate(zip(bins, xs))])).alias("s")
+    held = cells.select(spots).groupBy("s.f", "s.b").agg(F.min("s.lo").alias("lo"), F.max("s.hi").alias("hi")).collect()  # bins of all features
+
+    def cut(feature: int, between: float) -> float:
+        below = max(r["hi"] for r in held if r["f"] == feature and r["b"] <= between)
+        above = min(r["lo"] for r in held if r["f"] == feature and r["b"] > between)
+        middle = below + (above - below) / 2
+        return middle if below <= middle < above else below
+
+    return VectorAssembler(inputCols=bins, outputCol=_VECTOR).transform(cells).select(*keep, "n", _VECTOR), cut
+
+
+def leaf_table(scored: DataFrame, label: str, leaf: str, weight: str | None = None) -> DataFrame:
+    """(leaf, winner, n, purity, counts per class); a row stands for ``weight`` rows."""
+    cells = scored.groupBy(leaf, label).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     total = F.sum("n")
     return cells.groupBy(leaf).agg(
         F.min_by(F.col(label), F.struct(-F.col("n"), F.col(label))).alias("winner"),
@@ -110,8 +147,8 @@ def leaf_table(scored: DataFrame, label: str, leaf: str) -> DataFrame:
     )
 
 
-def leaf_conditions(model: DecisionTreeClassificationModel, features: Sequence[str], spark) -> DataFrame:
-    """(leaf, position, feature, operator, threshold), from the root down.
+def leaf_conditions(model: DecisionTreeClassificationModel, features: Sequence[str], spark, cut: Callable[[int, float], float]) -> DataFrame:
+    """(leaf, position, feature, operator, threshold), from the root down; ``cut`` gives the feature's value for a threshold between bins.
 
     Leaves are numbered as the model's leaf column does, in pre-order over leaves.
     """
@@ -123,7 +160,7 @@ def leaf_conditions(model: DecisionTreeClassificationModel, features: Sequence[s
             path.pop()
         test = re.match(r"(?:If|Else) \(feature (\d+) (<=|>) (\S+)\)", text)
         if test:
-            path.append((depth, features[int(test[1])], test[2], float(test[3])))
+            path.append((depth, features[int(test[1])], test[2], cut(int(test[1]), float(test[3]))))
         elif text.startswith("Predict"):
             rows += [(float(leaf), i, f, op, cut) for i, (_, f, op, cut) in enumerate(path)]
             leaf += 1
