@@ -11,22 +11,36 @@ character removes at most q of the text's q-grams and an inserted reference
 character at most q-1, so all but ``q*d1 + (q-1)*d2`` of them also occur in the
 reference. Any larger set of grams of the text therefore hits the reference;
 the grams rarest among the references are taken.
+
+Long references go another way, as nearly all of a language's 3-grams occur in any long text. From ``LONG`` characters on the matcher starts
+blocks only at characters that make up at most a hundredth of the reference, or at the beginning of both texts. So a reference with R
+such characters has at most R + 1 blocks, and M matched characters leave at least M - (R + 1)(k - 1) of its k-grams, repeats
+counted, in both texts. Tasks count the shared k-grams of a text with a block of references in one go, k as long as that bound bears.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from tabwright.session import materialise
+
 _Q = 3
 #: References of one gram and length bucket that one task meets at a time.
 _SHARE = 1000
+#: Length from which the matcher passes over frequent characters.
+LONG = 200
+#: Gram sizes for long references; characters of references and of texts that one task meets at a time.
+_SIZES, _BLOCK, _LOAD = (16, 12, 8, 6, 4, 3, 2), 1_000_000, 16_000_000
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -116,6 +130,22 @@ def best_references(
         F.col("__l") >= F.lit(least - 1e-9)
     )
     refs = references.select(F.col(group).alias("__g"), F.col("value").alias("__ref"), F.col("n").alias("__n"))
+    long = F.length("__ref") >= LONG
+    reach = (2 - threshold) / threshold  # the lengths of two close texts differ by no more than this factor
+    scored = _short_matches(texts.filter(F.col("__l") <= LONG * reach), refs.filter(~long), threshold, least, group)
+    if not refs.filter(long).isEmpty():
+        scored = scored.unionByName(_long_matches(texts.filter(F.col("__l") >= LONG / reach - 1e-6), refs.filter(long), threshold, group))
+    best = F.min_by(
+        F.struct(F.col("__ref").alias("corrected"), F.col("score")),
+        F.struct(-F.col("score"), -F.col("__n"), F.col("__ref")),
+    )
+    return scored.groupBy(group, "value").agg(best.alias("__b")).select(
+        group, "value", F.col("__b.corrected").alias("corrected"), F.col("__b.score").alias("score")
+    )
+
+
+def _short_matches(texts: DataFrame, refs: DataFrame, threshold: float, least: float, group: str) -> DataFrame:
+    """(group, value, __ref, __n, score) of all pairs at or above the threshold."""
     # Grams are joined by digest, so that long texts are not copied once per gram.
     texts = texts.withColumn("__v", F.md5("value"))
     refs = refs.withColumn("__r", F.md5("__ref"))
@@ -136,14 +166,120 @@ def best_references(
         refs.select(F.col("__g").alias(group), "__r", "__ref", "__n"), [group, "__r"]
     )
     scored = full.withColumn("score", similarity_from(threshold)("value", "__ref")).filter(F.col("score") >= threshold)
-    best = F.min_by(
-        F.struct(F.col("__ref").alias("corrected"), F.col("score")),
-        F.struct(-F.col("score"), -F.col("__n"), F.col("__ref")),
+    return scored.select(group, "value", "__ref", "__n", "score")
+
+
+def _numbered_grams(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the text's different k-grams and how often each occurs."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = max(len(c) - k + 1, 0)
+    h = c[:n].copy()
+    for j in range(1, k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : n + j]
+    return np.unique(h, return_counts=True)
+
+
+def most_blocks(reference: str) -> int:
+    """Most blocks that the matcher can find in a reference of at least ``LONG`` characters."""
+    limit = len(reference) // 100 + 1
+    return 1 + sum(n for n in Counter(reference).values() if n <= limit)
+
+
+@dataclass
+class _Grams:
+    """The k-grams of some references: sorted hashes, and for each its references and how often they hold it."""
+
+    k: int
+    refs: np.ndarray
+    lengths: np.ndarray
+    blocks: np.ndarray
+    keys: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    times: np.ndarray
+
+    def close(self, text: str, threshold: float) -> np.ndarray:
+        """References that share as many grams with a text as a pair at or above the threshold must."""
+        matched = threshold * (len(text) + self.lengths) / 2
+        near = np.minimum(len(text), self.lengths) >= matched - 1e-9
+        if not near.any():
+            return self.refs[:0]
+        grams, n = _numbered_grams(text, self.k)
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        met = self.keys[at] == grams
+        at, n = at[met], n[met]
+        spans = self.first[at + 1] - self.first[at]
+        held = np.repeat(self.first[at] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+        shared = np.bincount(self.owner[held], np.minimum(self.times[held], np.repeat(n, spans)), minlength=len(self.refs))
+        return self.refs[near & (shared >= matched - self.blocks * (self.k - 1) - 1e-6)]
+
+
+def gram_tables(references: list[str], threshold: float) -> list[_Grams]:
+    """The references by the gram size at which at least half of their matched characters still count."""
+    by_size = defaultdict(list)
+    for i, ref in enumerate(references):
+        blocks = most_blocks(ref)
+        each = len(ref) * threshold / (2 - threshold) / blocks  # matched characters in a block, at least on average
+        by_size[next((k for k in _SIZES if k - 1 <= each / 2), _SIZES[-1])].append((i, len(ref), blocks))
+    out = []
+    for k, some in by_size.items():
+        found = [_numbered_grams(references[i], k) for i, _, _ in some]
+        hashes = np.concatenate([h for h, _ in found])
+        order = np.argsort(hashes, kind="stable")
+        owner = np.repeat(np.arange(len(some)), [len(h) for h, _ in found])[order]
+        keys, first = np.unique(hashes[order], return_index=True)
+        out.append(_Grams(k, *map(np.array, zip(*some)), keys, np.append(first, len(hashes)), owner, np.concatenate([n for _, n in found])[order]))
+    return out
+
+
+def _long_matches(texts: DataFrame, refs: DataFrame, threshold: float, group: str) -> DataFrame:
+    """(group, value, __ref, __n, score) of all pairs at or above the threshold; every reference has at least ``LONG`` characters.
+
+    A text goes to the bucket of its length, a reference also to the buckets beside its own. Buckets of many references are split into shares that
+    all its texts meet, buckets of many texts into parts that all references meet.
+    """
+    own = _length_bucket(F.length("__ref"), threshold)
+    met = refs.withColumn("__bucket", F.explode(F.sequence(own - 1, own + 1)))
+    held = met.groupBy("__g", "__bucket").agg(F.ceil(F.sum(F.length("__ref")) / _BLOCK).cast("int").alias("__shares"))
+    asked = materialise(
+        texts.withColumn("__bucket", _length_bucket(F.col("__l"), threshold)).join(held.withColumnRenamed("__g", group), [group, "__bucket"]), "long-texts"
     )
-    return scored.groupBy(group, "value").agg(best.alias("__b")).select(
-        group, "value", F.col("__b.corrected").alias("corrected"), F.col("__b.score").alias("score")
+    loads = materialise(
+        asked.groupBy(group, "__bucket", "__shares").agg(F.ceil(F.sum("__l") / _LOAD).cast("int").alias("__parts")), "loads"
+    )  # one row per group and bucket
+    keys = [group, "__bucket", "__share", "__part"]
+    dealt = asked.join(loads.drop("__shares"), [group, "__bucket"]).select(
+        group, "__bucket", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)).alias("__share"),
+        F.pmod(F.xxhash64("value"), "__parts").cast("int").alias("__part"), "value",
+    )
+    sides = met.withColumnRenamed("__g", group).join(loads, [group, "__bucket"]).select(
+        group, "__bucket", F.pmod(F.xxhash64("__ref"), "__shares").cast("int").alias("__share"),
+        F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)).alias("__part"), "__ref", "__n",
     )
 
+    def match(key: tuple, mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        values, references, found = mine["value"].tolist(), theirs["__ref"].tolist(), []
+        tables, close = gram_tables(references, threshold) if values else [], defaultdict(list)
+        for value in values:
+            for table in tables:
+                for i in table.close(value, threshold).tolist():
+                    close[i].append(value)
+        for i, some in close.items():
+            ref = references[i]
+            matcher = difflib.SequenceMatcher(None, "", ref)
+            for value in some:
+                if 2 * common_subsequence(value, ref) < threshold * (len(value) + len(ref)) - 1e-9:
+                    continue
+                matcher.set_seq1(value)
+                score = matcher.ratio()
+                if score >= threshold:
+                    found.append((key[0], value, ref, theirs["__n"].iloc[i], score))
+        return pd.DataFrame(found, columns=[group, "value", "__ref", "__n", "score"])
+
+    kinds = [(group, texts), ("value", texts), ("__ref", refs), ("__n", refs)]
+    schema = T.StructType([T.StructField(c, df.schema[c].dataType) for c, df in kinds] + [T.StructField("score", T.DoubleType())])
+    return dealt.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInPandas(match, schema)
+
 
 def _candidates(texts: DataFrame, refs: DataFrame, threshold: float, q: int, group: str) -> DataFrame:
     """(group, __v, __r): digests of texts and references that may be close enough."""

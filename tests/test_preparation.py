@@ -59,6 +59,36 @@ def test_common_subsequence_bounds_the_matcher():
         assert sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) <= table[-1][-1]
 
 
+def test_long_references_meet_only_texts_that_share_their_grams(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_BLOCK", 4000)
+    monkeypatch.setattr(similarity, "_LOAD", 6000)
+    rng = random.Random(31)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(300)] + ["quiz", "jazz", "kayak", "vex"]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    refs = sorted({text(rng.randint(34, 160)) for _ in range(40)} | {text(3) for _ in range(5)} | {"ab" * 110, "a" * 230, "é" * 205})
+
+    def edited(t, share):
+        return "".join(rng.choice(["", "x", "q", c + c]) if rng.random() < share else c for c in t)
+
+    values = sorted({text(rng.randint(3, 160)) for _ in range(80)} | {edited(r, s) for r in refs for s in (0.001, 0.004, 0.02)} | {r[:-9] + "x" for r in refs} | {"ab" * 105})
+    v = spark.createDataFrame([(g, x) for x in values for g in ("c", "d", None)], "column string, value string")
+    r = spark.createDataFrame([("c", x, 5) for x in refs] + [(None, refs[0], 5)], "column string, value string, n long")
+    got = {(x["column"], x["value"]): (x["corrected"], x["score"]) for x in best_references(v, r, 0.9).collect()}
+    want, compared = {}, 0
+    for x in values:
+        score, ref = min((-difflib.SequenceMatcher(None, x, y).ratio(), y) for y in refs)
+        if -score >= 0.9:
+            want["c", x] = ref, -score
+    assert got == want and sum(len(x) >= 200 for _, x in want) > 40
+    long = [x for x in refs if len(x) >= 200]
+    tables = similarity.gram_tables(long, 0.9)
+    for x in values:
+        compared += sum(len(t.close(x, 0.9)) for t in tables)
+        for y in long:
+            assert similarity.most_blocks(y) >= sum(m.size > 0 for m in difflib.SequenceMatcher(None, x, y).get_matching_blocks())
+    assert compared < 400  # of some 20,000 pairs
+
+
 def test_a_gram_of_all_references_is_shared_out(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_SHARE", 3)
     rng = random.Random(12)
