@@ -162,12 +162,16 @@ def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFr
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 part = b.slice(k, 2048)
-                ticket = _mixed(part.column(0).to_numpy().view(np.uint64)[:, None] ^ tree) >> np.uint64(1)
-                row, of = np.nonzero(ticket <= cut)
+                number, met = part.column(0).to_numpy().view(np.uint64), []
+                for i in range(0, len(number), 128):  # tickets of some rows, which stay in the cache
+                    ticket = _mixed(number[i : i + 128, None] ^ tree) >> np.uint64(1)
+                    row, of = np.nonzero(ticket <= cut)
+                    met.append((row + i, of, ticket[row, of]))
+                row, of, ticket = map(np.concatenate, zip(*met))
                 for j in range(0, len(row), 50_000):
                     some, whose = row[j : j + 50_000], of[j : j + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(whose, pa.int32()), pa.array(ticket[some, whose].astype(np.int64)), part.column(1).take(pa.array(some))], ["tree", "ticket", "x"]
+                        [pa.array(whose, pa.int32()), pa.array(ticket[j : j + 50_000].astype(np.int64)), part.column(1).take(pa.array(some))], ["tree", "ticket", "x"]
                     )
 
     drawn = materialise(points.mapInArrow(offer, "tree int, ticket long, x array<double>"), "drawn")
@@ -339,33 +343,40 @@ def _held(forest: StoredForest) -> Forest | StoredForest:
 
 
 def _walk(forest: Forest) -> list[tuple]:
-    """Per tree the arrays for walking down: a leaf is its own child."""
+    """Per tree the arrays for walking down. A node's number is doubled, so its right child follows its left one; a leaf is its own child."""
     out = []
     for t in range(len(forest.feature)):
         inner = forest.feature[t] >= 0
-        self_ = np.arange(len(inner), dtype="int32")
-        child = np.empty(2 * len(inner), "int32")
-        child[0::2] = np.where(inner, forest.left[t], self_)
-        child[1::2] = np.where(inner, forest.right[t], self_)
-        out.append((np.where(inner, forest.feature[t], 0), forest.threshold[t], child, int(forest.depth[t].max())))
+        self_ = np.arange(len(inner), dtype=np.intp)
+        child = np.empty(2 * len(inner), np.intp)
+        child[0::2] = 2 * np.where(inner, forest.left[t], self_)
+        child[1::2] = 2 * np.where(inner, forest.right[t], self_)
+        out.append((np.repeat(np.where(inner, forest.feature[t], 0), 2).astype(np.intp), np.repeat(forest.threshold[t], 2), child, int(forest.depth[t].max())))
     return out
 
 
 def _path_lengths(x: np.ndarray, trees: list[tuple], leaf: np.ndarray) -> np.ndarray:
     """Mean depth over the trees; the rows of a block go down a tree together."""
     n = len(x)
-    total = np.zeros(n)
+    total, leaf = np.zeros(n), np.repeat(leaf, 2, axis=1)
     for start in range(0, n, 4096):  # a block and its indexes stay in the cache
         flat = np.ascontiguousarray(x[start : start + 4096].T).ravel()
         size = len(x[start : start + 4096])
-        rows = np.arange(size)
+        rows, at, spot = np.arange(size), np.empty(size, np.intp), np.empty(size, np.intp)
+        value, bound, right = np.empty(size), np.empty(size), np.empty(size, bool)
         for t, (feature, cut, child, depth) in enumerate(trees):
-            offset = feature.astype("int64") * size
-            at = np.zeros(size, "int32")
-            for _ in range(depth):
-                right = flat.take(offset.take(at) + rows) > cut.take(at)
-                at = child.take(2 * at + right)
-            total[start : start + 4096] += leaf[t].take(at)
+            offset = feature * size
+            at[:] = 0
+            for _ in range(depth):  # all places are valid: "clip" spares a copy
+                offset.take(at, out=spot, mode="clip")
+                np.add(spot, rows, out=spot)
+                flat.take(spot, out=value, mode="clip")
+                cut.take(at, out=bound, mode="clip")
+                np.greater(value, bound, out=right)
+                np.add(at, right, out=at)
+                child.take(at, out=spot, mode="clip")
+                at, spot = spot, at
+            total[start : start + size] += leaf[t].take(at)
     return total / len(trees)
 
 

@@ -1,5 +1,6 @@
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -298,3 +299,21 @@ def test_cells_of_a_group_are_searched_alone():
         S._distances = plain
     far = np.where(group[:, None] == cell_group, ((x[:, None] - points) ** 2).sum(2), np.inf)
     assert (at == far.argmin(1)).all() and sum(met) < 300 * 40
+
+
+def test_rows_go_down_the_trees_as_one_by_one():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(5000, 3)), 1)
+    nodes = pd.concat([A._grow(t, 1, 0, x[rng.choice(len(x), 40 + 60 * t, replace=False)], 7, np.random.default_rng(t)) for t in range(4)] + [A._grow(4, 1, 0, x[:1], 7, rng)])
+    forest = A._held(SimpleNamespace(nodes=SimpleNamespace(count=lambda: len(nodes), toPandas=lambda: nodes), features=list("abc"), rows_per_tree=40, offset=-0.5, fit_range=None))
+    trees = A._walk(forest)
+    assert all(feature.dtype == child.dtype == np.intp for feature, _, child, _ in trees)  # numpy would copy other indexes at every step
+    got = A._path_lengths(x, trees, forest.leaf_value)
+    for i in (0, 1, 4095, 4096, 4999):
+        paths = []
+        for t in range(5):
+            at = 0
+            while (f := forest.feature[t, at]) >= 0:
+                at = forest.left[t, at] if x[i, f] <= forest.threshold[t, at] else forest.right[t, at]
+            paths.append(forest.depth[t, at] + A.average_path(forest.size[t, at]))
+        assert got[i] == pytest.approx(np.mean(paths), abs=1e-12)
