@@ -102,12 +102,12 @@ def sample_rows(df: DataFrame, n: int, seed: int = 42, n_rows: int | None = None
     return mark_smallest(rows, lambda size: F.lit(n), "__taken", ticket=_TICKET).filter("__taken").select(*df.columns)
 
 
-def stratified_split(df: DataFrame, label: str, test_share: float, seed: int = 42) -> DataFrame:
-    """Add ``is_test``: exactly round(share * size) rows of each class, those of smallest hash; NULLs are a class.
+def stratified_split(df: DataFrame, label: str, test_share: float, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``is_test``: exactly round(share * size) rows of each class, those of smallest hash (of the row or its columns ``by``); NULLs are a class.
 
     Equal rows stay together but for one row value per class, which is cut where the number demands it.
     """
-    rows = df.withColumn(_TICKET, row_hash(df.columns, seed))
+    rows = df.withColumn(_TICKET, row_hash(by or df.columns, seed))
     return mark_smallest(rows, lambda size: F.round(size * F.lit(test_share)), "is_test", [label]).select(*df.columns, "is_test")
 
 

@@ -10,7 +10,6 @@ from dataclasses import dataclass
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from tabwright.functions.scalars import FIDELITY_BANDS, band, percent
 from tabwright.operators.clustering import assemble
 from tabwright.operators.columns import numeric_columns, numeric_matrix
 from tabwright.operators.explain import with_real_values
+from tabwright.operators.forest import count_cells, grow, predict
 from tabwright.operators.ranking import rank_values
 from tabwright.operators.sampling import stratified_folds, stratified_split
 from tabwright.session import materialise
@@ -27,6 +27,8 @@ from tabwright.session import materialise
 _VECTOR = "__features"
 #: Bins of a feature of the surrogate tree.
 _BINS = 64
+#: Bins of a feature and levels of splits of the supervised forest.
+_FOREST_BINS, _FOREST_DEPTH = 32, 5
 
 
 def class_indexes(df: DataFrame, label: str) -> DataFrame:
@@ -40,8 +42,7 @@ def _indexed(df: DataFrame, label: str, features: Sequence[str]) -> tuple[DataFr
     return assemble(rows, features).withColumn("class_index", F.col("class_index").cast("double")), classes
 
 
-def importances(model, features: Sequence[str], spark) -> DataFrame:
-    values = model.featureImportances.toArray()
+def importances(values: Sequence[float], features: Sequence[str], spark) -> DataFrame:
     return spark.createDataFrame(
         [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
     ).orderBy(F.desc("importance"), "feature")
@@ -58,7 +59,7 @@ class Surrogate:
     conditions: DataFrame
 
     def importance(self) -> DataFrame:
-        return importances(self.model, self.features, self.classes.sparkSession)
+        return importances(self.model.featureImportances.toArray(), self.features, self.classes.sparkSession)
 
     def fidelity(self) -> DataFrame:
         spark = self.classes.sparkSession
@@ -194,9 +195,9 @@ class Supervised:
     accuracy: float
 
 
-def classification_report(scored: DataFrame, label: str, predicted: str) -> DataFrame:
-    """Precision, recall, f1 and support per class, then macro and weighted means."""
-    cells = scored.groupBy(label, predicted).agg(F.count(F.lit(1)).alias("n"))
+def classification_report(scored: DataFrame, label: str, predicted: str, weight: str | None = None) -> DataFrame:
+    """Precision, recall, f1 and support per class, then macro and weighted means; a row stands for ``weight`` rows."""
+    cells = scored.groupBy(label, predicted).agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     row = cells.groupBy(F.col(label).alias("class")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col(label) == F.col(predicted), F.col("n")).otherwise(0)).alias("hit")
     )
@@ -210,8 +211,8 @@ def classification_report(scored: DataFrame, label: str, predicted: str) -> Data
     ).select(F.col("class").cast("string").alias("class"), "precision", "recall", "f1", "support")
     names = ["precision", "recall", "f1"]
     macro = per.agg(*[F.avg(c).alias(c) for c in names], F.sum("support").alias("support"))
-    weight = F.sum("support")
-    weighted = per.agg(*[(F.sum(F.col(c) * F.col("support")) / weight).alias(c) for c in names], weight.alias("support"))
+    whole = F.sum("support")
+    weighted = per.agg(*[(F.sum(F.col(c) * F.col("support")) / whole).alias(c) for c in names], whole.alias("support"))
     rounded = [F.round(c, 4).alias(c) for c in names]
     return (
         per.unionByName(macro.withColumn("class", F.lit("macro avg")))
@@ -224,13 +225,14 @@ def train_supervised(df: DataFrame, label: str, test_share: float = 0.2, trees:
     """Random forest on a stratified split, evaluated on the held-out part."""
     features = numeric_columns(df, exclude=[label])
     indexed, classes = _indexed(df.filter(F.col(label).isNotNull()), label, features)
-    rows = materialise(stratified_split(indexed.select(label, "class_index", _VECTOR), "class_index", test_share, seed), "supervised")
-    model = RandomForestClassifier(
-        featuresCol=_VECTOR, labelCol="class_index", predictionCol="predicted", numTrees=trees, seed=seed
-    ).fit(rows.filter(~F.col("is_test")))
-    names = F.broadcast(classes.select(F.col("class_index").cast("double").alias("predicted"), F.col(label).alias("__p")))
-    scored = materialise(
-        model.transform(rows.filter("is_test")).select(label, "predicted").join(names, "predicted").select(label, "__p"), "scored"
-    )
-    accuracy = scored.agg(F.avg((F.col(label) == F.col("__p")).cast("double"))).first()[0]
-    return Supervised(classification_report(scored, label, "__p"), importances(model, features, df.sparkSession), accuracy)
+    xs = [f"__x{i}" for i in range(len(features))]
+    by = [label, "class_index", _VECTOR]
+    split = stratified_split(indexed.select(*by, *[F.col(f).cast("double").alias(x) for f, x in zip(features, xs)]), "class_index", test_share, seed, by)
+    rows = materialise(split.select("class_index", "is_test", *xs), "supervised")
+    cells = count_cells(rows, ["class_index", "is_test"], xs, classes.count(), _FOREST_BINS)
+    forest = grow(cells, trees, _FOREST_DEPTH, seed)
+    named = F.broadcast(classes.select(F.col("class_index").cast("double").alias("class_index"), label))
+    called = named.select(F.col("class_index").alias("predicted"), F.col(label).alias("__p"))
+    scored = materialise(predict(cells, forest).join(named, "class_index").join(F.broadcast(called), "predicted").select(label, "__p", "n"), "scored")
+    accuracy = scored.agg(F.sum(F.when(F.col(label) == F.col("__p"), F.col("n")).otherwise(0)) / F.sum("n")).first()[0]
+    return Supervised(classification_report(scored, label, "__p", "n"), importances(forest.importances(), features, df.sparkSession), accuracy)
