@@ -1,10 +1,13 @@
-"""Isolation forest: trees grown level by level over all their rows, scoring on every row.
-
-A level is one ``groupBy(tree, node)`` of counts, minima and maxima; a node's split is drawn from a hash of its number. Rows are not
-stored again for a level: they walk down the splits found so far, of which there is at most one per ``IN_TASK`` rows and level. A node that is down to
-``IN_TASK`` rows is finished by one task, to which its rows are shuffled once. Nodes are numbered as in a heap
-(root 1, children 2i and 2i + 1), so no level has to know another. Forests of few nodes travel to the rows as arrays; for others the rows go down the
-stored node table, level by level.
+"""Isolation forest: trees grown from the top over all their rows, several levels in a pass, scoring on every row.
+
+A node's split is drawn from a hash of its number: one of the features that differ among its rows, and a cut anywhere between their least and
+greatest value. These are known only after a pass over the rows, but the parent's cut bounds them. So splits are drawn ahead within the bounds, some levels
+below every open node, and one pass counts all rows of all trees by the cells they fall in, with each cell's least and greatest values. What is
+true of a node follows from its cells; a split drawn ahead stands if its feature is the one to take and its cut parts the rows. Such a cut is as
+likely as one drawn between the true values. Otherwise the node is drawn again in the next pass. Rows are not stored again: they walk down the splits found so far,
+of which there is at most one per ``IN_TASK`` rows and level. A node that is down to ``IN_TASK`` rows is finished by one task, all nodes of a level
+at a time; its rows are shuffled once, as blocks. Nodes are numbered as in a heap (root 1, children 2i and 2i + 1), so no level has to know another.
+Forests of few nodes travel to the rows as arrays; for others the rows go down the stored node table, level by level.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from tabwright.operators.ranking import top_n
 from tabwright.operators.sampling import mark_smallest
 from tabwright.session import materialise, spread
 
-#: Rows of a node that one task grows on by itself; nodes that are sent to the rows as arrays; splits of a level sent to the rows.
-IN_TASK, ARRAY_NODES, FEW_SPLITS = 4096, 2_000_000, 20_000
+#: Rows of a node that one task grows on by itself, and numbers they hold in wide tables; rows of a tree's sample that go to one task right away;
+#: nodes that are sent to the rows as arrays; splits of a level sent to the rows.
+IN_TASK, TASK_VALUES, DRAWN, ARRAY_NODES, FEW_SPLITS = 1 << 19, 1 << 21, 4096, 2_000_000, 20_000
+#: Numbers of all cells of a pass, unless the open nodes alone have more; rows that walk down together; numbers of the rows dealt out together.
+_CELL_VALUES, _TOGETHER, _DEALT = 1 << 17, 8192, 1 << 21
+_OPEN, _SPLIT, _LEAF, _TASK = range(4)
 RESULT_COLUMNS = ["is_anomaly", "anomaly_score", "decision_score", "raw_score", "severity"]
 
 _NODES = "tree int, node long, feature int, threshold double, size long, depth int"
@@ -81,6 +88,10 @@ class Forest:
     depth: np.ndarray
     offset: float = -0.5
     fit_range: tuple[float, float] | None = None
+    nodes: DataFrame | None = None  # the table the arrays come from
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "nodes": None}  # tables don't travel to the rows
 
     @property
     def leaf_value(self) -> np.ndarray:
@@ -89,6 +100,8 @@ class Forest:
 
     def stored(self, spark) -> StoredForest:
         """The same forest as a table of nodes."""
+        if self.nodes is not None:
+            return StoredForest(self.features, self.rows_per_tree, len(self.feature), self.nodes, self.offset, self.fit_range)
         rows = []
         for t in range(len(self.feature)):
             todo = [(0, 1)]
@@ -122,9 +135,13 @@ def fit_forest(df: DataFrame, trees: int = 200, max_samples: str | int | float =
     points = _numbered(numeric_matrix(df.select(*features)), features)
     n = points.count() if n_rows is None else n_rows
     size = _tree_rows(max_samples, n)
-    drawn = _draw(points, n, trees, size, seed)
     limit = max(1, math.ceil(math.log2(max(size, 2))))
-    nodes = materialise(_grown(drawn, len(features), size, trees, limit, seed), "forest-nodes")
+    if size <= min(IN_TASK, DRAWN):
+        grown = _drawn_trees(_draw(points, len(features), n, trees, size, seed), size, limit, seed)
+    else:
+        rows = points if size >= n else materialise(_draw(points, len(features), n, trees, size, seed), "taken")
+        grown = _grown(rows, len(features), size, trees, limit, seed)
+    nodes = materialise(grown, "forest-nodes")
     forest = _held(StoredForest(list(features), size, trees, nodes))
     if contamination != "auto":
         raw = materialise(score(df.select(*features), forest).select("raw_score"), "raw-scores")
@@ -141,19 +158,21 @@ def _tree_rows(max_samples, n: int) -> int:
 
 
 def _numbered(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Stored rows with a number of their own (__row) and the features as an array (x), missing values as 0."""
-    x = F.array(*[finite_or_zero(F.col(f).cast("double")) for f in features]).alias("x")
-    return materialise(df.select(F.monotonically_increasing_id().alias(_ROW), x), "points")
+    """Stored rows with a number of their own (__row) and the features (x0, x1, ...), missing values as 0."""
+    x = [finite_or_zero(F.col(f).cast("double")).alias(f"x{i}") for i, f in enumerate(features)]
+    return materialise(df.select(F.monotonically_increasing_id().alias(_ROW), *x), "points")
+
+
+def _x(n_features: int) -> list[str]:
+    return [f"x{i}" for i in range(n_features)]
 
 
-def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFrame:
-    """tree, ticket, x: at least ``size`` rows per tree (all but surely), exactly ``size`` where a tree outgrows one task. Trees of all
-    rows beyond that have no ticket and are not stored.
+def _draw(points: DataFrame, n_features: int, n: int, trees: int, size: int, seed: int) -> DataFrame:
+    """tree, ticket, x: at least ``size`` rows per tree (all but surely); tree, x0, x1, ... of exactly ``size`` where a tree outgrows one task.
 
     A row's ticket for a tree is a hash of both; those below a cut a little above size / n are offered.
     """
-    if size >= n and size > IN_TASK:
-        return points.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "x")
+    points = points.select(_ROW, F.array(*_x(n_features)).alias("x"))
     share = min(1.0, (size + 8 * math.sqrt(size) + 50) / max(n, 1))
     cut = np.uint64(min(2**63 - 1, int(share * 2**63)))
 
@@ -175,9 +194,10 @@ def _draw(points: DataFrame, n: int, trees: int, size: int, seed: int) -> DataFr
                     )
 
     drawn = materialise(points.mapInArrow(offer, "tree int, ticket long, x array<double>"), "drawn")
-    if size <= IN_TASK:
+    if size <= min(IN_TASK, DRAWN):
         return drawn
-    return mark_smallest(drawn, lambda _: F.lit(size), "taken", ["tree"], "ticket").filter("taken").drop("taken")
+    taken = mark_smallest(drawn, lambda _: F.lit(size), "taken", ["tree"], "ticket").filter("taken")
+    return taken.select("tree", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(_x(n_features))])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -186,121 +206,324 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _walked(tree: np.ndarray, x: np.ndarray, first: np.ndarray, levels: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Where each row comes to be below the known splits: its place in the last ``child`` (or a code below 0) and its node."""
-    at, node = first[tree], np.ones(len(tree), np.int64)
-    for feature, cut, child in levels:
-        live = np.flatnonzero(at >= 0)
-        split = at[live]
-        right = x[live, feature[split]] > cut[split]
-        node[live] = 2 * node[live] + right
-        at[live] = child[2 * split + right]
-    return at, node
+def _down(rows: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
+    """Rows of split nodes at the child they belong to."""
+    few = splits.select("tree", "node", "feature", "threshold")
+    met = rows.join(F.broadcast(few) if n_splits <= FEW_SPLITS else few, ["tree", "node"])
+    child = F.col("node") * 2 + (F.get("x", F.col("feature")) > F.col("threshold")).cast("long")
+    return met.withColumn("node", child).select(*rows.columns)
 
 
-def _members(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for b in batches:
-        yield b.column(0).to_numpy(), b.column(1).flatten().to_numpy().reshape(-1, n_features)
+def _drawn_trees(drawn: DataFrame, size: int, limit: int, seed: int) -> DataFrame:
+    """The nodes of trees whose samples go to one task each."""
 
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        tree = int(group["tree"].iloc[0])
+        picked = group.sort_values("ticket", kind="stable").head(size)
+        return _grow(tree, 1, 0, np.vstack(picked["x"].to_numpy()), limit, np.random.default_rng([seed, tree, 1]))
 
-def _open_stats(rows: DataFrame, n_features: int, first: np.ndarray, levels: list[tuple], trees: np.ndarray, nodes: np.ndarray) -> DataFrame:
-    """at, tree, node, size and the features' extremes (lo, hi) of the open nodes, which are ``trees`` and ``nodes``; added up in the tasks."""
+    return drawn.groupBy("tree").applyInPandas(grow, _NODES)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = len(trees)
-        count, low, high = np.zeros(m, np.int64), np.full((n_features, m), np.inf), np.full((n_features, m), -np.inf)
-        for tree, x in _members(batches, n_features):
-            at, _ = _walked(tree, x, first, levels)
-            live = np.flatnonzero(at >= 0)
-            at = at[live]
-            count += np.bincount(at, minlength=m)
-            for f in range(n_features):
-                column = np.ascontiguousarray(x[live, f])
-                np.minimum.at(low[f], at, column)
-                np.maximum.at(high[f], at, column)
-        met = np.flatnonzero(count)
-        for k in range(0, len(met), 50_000):
-            some = met[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some), pa.array(trees[some].astype(np.int32)), pa.array(nodes[some]), pa.array(count[some]), *map(pa.array, low[:, some]), *map(pa.array, high[:, some])], names
-            )
 
-    ends = [f"{e}{i}" for e in ("lo", "hi") for i in range(n_features)]
-    names = ["at", "tree", "node", "size", *ends]
-    parts = rows.select("tree", "x").mapInArrow(gather, "at long, tree int, node long, size long, " + ", ".join(f"{c} double" for c in ends))
-    return parts.groupBy("tree", "node").agg(
-        F.min("at").alias("at"), F.sum("size").alias("size"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in ends]
-    )
+def _hashed(seed: int, tree: np.ndarray, node: np.ndarray, turn: np.ndarray | int) -> np.ndarray:
+    """An even 64-bit number for each node and turn."""
+    of = _mixed(np.asarray(tree).astype(np.uint64) + np.uint64((seed << 20) + 1 & (1 << 64) - 1))
+    return _mixed(_mixed(of + np.asarray(node).astype(np.uint64)) + np.asarray(turn).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _level(stats: DataFrame, n_features: int, depth: int, limit: int, seed: int) -> DataFrame:
-    """at, tree, node, size, feature, threshold: a random split of each node of a level, feature -1 where there is none to make."""
-    low, high = ([F.col(f"{e}{i}") for i in range(n_features)] for e in ("lo", "hi"))
-    drawn = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "tree", "node"), 11)
-    spans = F.array(*[F.when(h > lo, F.struct(F.lit(i).alias("f"), lo.alias("lo"), h.alias("hi"))) for i, (lo, h) in enumerate(zip(low, high))])
-    open_ = F.filter(spans, lambda s: s.isNotNull())
-    chosen = F.when((F.size("open") > 0) & (F.col("size") > 1) & F.lit(depth < limit), F.get("open", F.pmod(drawn(0), F.size("open")).cast("int")))
-    cut = F.col("c.lo") + drawn(1) / F.lit(float(2**53)) * (F.col("c.hi") - F.col("c.lo"))
-    return stats.withColumn("open", open_).withColumn("c", chosen).select(
-        "at", "tree", "node", "size", F.coalesce("c.f", F.lit(-1)).alias("feature"), F.coalesce(cut, F.lit(0.0)).alias("threshold"), F.lit(depth).alias("depth")
-    )
+def _splits(tree: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray, tried: np.ndarray | int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Feature (-1 where none differs) and cut of a random split of each node, whose least and greatest values lie in a column.
 
+    The feature is the first that differs in an order which belongs to the node, so it doesn't depend on how it was come by. A cut lies at or above the least
+    value and below the greatest one, so both sides have rows.
+    """
+    n_features = len(low)
+    order = np.stack([_hashed(seed, tree, node, 1 + f) for f in range(n_features)])
+    order = np.where(high > low, order | np.uint64(1), np.uint64(0))
+    feature = order.argmax(0)
+    at = np.arange(len(feature))
+    feature[order[feature, at] == 0] = -1
+    least, most = low[feature, at], high[feature, at]
+    share = (_hashed(seed, tree, node, 1 + n_features + np.asarray(tried)) >> np.uint64(11)) * 2.0**-53
+    cut = np.clip(least * (1 - share) + most * share, least, np.maximum(least, np.nextafter(most, -np.inf)))
+    return feature, np.where(feature >= 0, cut, 0.0)
 
-def _down(rows: DataFrame, splits: DataFrame, n_splits: int) -> DataFrame:
-    """Rows of split nodes at the child they belong to."""
-    few = splits.select("tree", "node", "feature", "threshold")
-    met = rows.join(F.broadcast(few) if n_splits <= FEW_SPLITS else few, ["tree", "node"])
-    child = F.col("node") * 2 + (F.get("x", F.col("feature")) > F.col("threshold")).cast("long")
-    return met.withColumn("node", child).select(*rows.columns)
 
+@dataclass
+class _Nodes:
+    """Nodes of all trees, the first one of each at its own number: ``child`` is the place of the left one, the right one follows (-1: not split).
+
+    ``low`` and ``high`` have a line per feature and bound the rows' values; those of decided nodes are not kept up.
+    """
 
-def _grown(drawn: DataFrame, n_features: int, size: int, trees: int, limit: int, seed: int) -> DataFrame:
-    """The nodes of all trees: level by level while a node has over ``IN_TASK`` rows, then node by node."""
-    done, pending = [], drawn.withColumn("node", F.lit(1).cast("long"))
-    if size > IN_TASK:
-        done, pending = _top(drawn, n_features, trees, limit, seed)
+    tree: np.ndarray
+    node: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    feature: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+    size: np.ndarray
+    state: np.ndarray
+    tried: np.ndarray
+
+    def joined(self, other: _Nodes) -> _Nodes:
+        return _Nodes(*[np.concatenate([a, b], axis=-1) for a, b in zip(vars(self).values(), vars(other).values())])
+
+    def at(self, places: np.ndarray) -> _Nodes:
+        return _Nodes(*[a[..., places] for a in vars(self).values()])
+
+    @property
+    def depth(self) -> np.ndarray:
+        return np.frexp(self.node.astype(float))[1] - 1
+
+    def walk(self, cell: np.ndarray) -> _Descent:
+        """For rows on their way down: nodes are numbered twice, so that a right child is one further; the last ones are their own children."""
+        inner = self.feature >= 0
+        child = np.repeat(2 * np.where(inner, self.child, np.arange(len(inner))), 2)
+        child[1::2] += 2 * inner
+        twice = lambda a: np.repeat(a, 2)
+        return _Descent(twice(np.where(inner, self.feature, 0) * _TOGETHER), twice(self.cut), child, twice(inner), twice(cell), int(self.depth.max()) + 1)
+
+
+def _fresh(tree: np.ndarray, node: np.ndarray, low: np.ndarray, high: np.ndarray) -> _Nodes:
+    none = np.full(len(tree), -1)
+    return _Nodes(tree, node, low, high, none, np.zeros(len(tree)), none.copy(), np.zeros(len(tree), np.int64), np.full(len(tree), _OPEN), np.zeros(len(tree), np.int64))
+
+
+@dataclass
+class _Descent:
+    """Where rows go: the feature's place in a block of ``_TOGETHER`` rows, the cut, the child, whether it goes on, and the last node's cell (-1: none)."""
+
+    spot: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+    inner: np.ndarray
+    cell: np.ndarray
+    steps: int
+
+    def cells(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The cells that the rows of a block come to from the nodes ``at``."""
+        out, rows = np.empty(len(at), np.intp), np.arange(len(at))
+        at, live = 2 * at, rows
+        for step in range(self.steps):
+            right = flat.take(self.spot.take(at) + rows) > self.cut.take(at)
+            at = self.child.take(at + right)
+            if step % 3 == 2:  # rows that have arrived are left out
+                on = np.flatnonzero(self.inner.take(at))
+                if len(on) < 0.8 * len(at):
+                    out[live] = at
+                    at, rows, live = at[on], rows[on], live[on]
+                    if not len(on):
+                        break
+        out[live] = at
+        return self.cell.take(out)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], n_features: int) -> Iterator[tuple[np.ndarray | None, np.ndarray, int]]:
+    """Some rows at a time: their trees (None: all), the features after one another, ``_TOGETHER`` places each, and the number of rows."""
+    for b in batches:
+        x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n_features)]
+        tree = b.column(n_features).to_numpy(zero_copy_only=False) if b.num_columns > n_features else None
+        for k in range(0, b.num_rows, _TOGETHER):
+            size = min(_TOGETHER, b.num_rows - k)
+            flat = np.zeros(n_features * _TOGETHER)
+            for i, column in enumerate(x):
+                flat[i * _TOGETHER : i * _TOGETHER + size] = column[k : k + size]
+            yield None if tree is None else tree[k : k + size].astype(np.intp), flat, size
 
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        tree, node = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
-        picked = group.sort_values("ticket", kind="stable").head(size) if "ticket" in group else group
-        return _grow(tree, node, node.bit_length() - 1, np.vstack(picked["x"].to_numpy()), limit, np.random.default_rng([seed, tree, node]))
 
-    nodes = pending.groupBy("tree", "node").applyInPandas(grow, _NODES)
-    for level in done:
-        nodes = nodes.unionByName(level.select("tree", "node", "feature", "threshold", "size", "depth"))
+def _cell_stats(rows: DataFrame, n_features: int, walk: _Descent, trees: np.ndarray, n_cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, least and greatest values of each cell, one pass over the rows; added up in the tasks."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, low, high = np.zeros(n_cells, np.int64), np.full((n_features, n_cells), np.inf), np.full((n_features, n_cells), -np.inf)
+        for tree, flat, size in _blocks(batches, n_features):
+            for t in trees if tree is None else [tree]:
+                cell = walk.cells(flat, np.full(size, t, np.intp))
+                live = np.flatnonzero(cell >= 0)
+                cell = cell[live]
+                np.add.at(count, cell, 1)
+                for f in range(n_features):
+                    column = flat.take(live + f * _TOGETHER)
+                    np.minimum.at(low[f], cell, column)
+                    np.maximum.at(high[f], cell, column)
+        met = np.flatnonzero(count)
+        for k in range(0, len(met), 20_000):
+            some = met[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in (some, count[some], *low[:, some], *high[:, some])], names)
+
+    ends = [f"{e}{i}" for e in ("lo", "hi") for i in range(n_features)]
+    names = ["cell", "size", *ends]
+    parts = rows.mapInArrow(gather, "cell long, size long, " + ", ".join(f"{c} double" for c in ends))
+    found = _pandas(parts.groupBy("cell").agg(F.sum("size").alias("size"), *[(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in ends]))
+    count, low, high = np.zeros(n_cells, np.int64), np.full((n_features, n_cells), np.inf), np.full((n_features, n_cells), -np.inf)
+    cell = found["cell"].to_numpy()
+    count[cell] = found["size"].to_numpy()
+    for i in range(n_features):
+        low[i, cell], high[i, cell] = found[f"lo{i}"].to_numpy(), found[f"hi{i}"].to_numpy()
+    return count, low, high
+
+
+def _ahead(nodes: _Nodes, reach: np.ndarray, limit: int, seed: int) -> tuple[_Nodes, list[slice]]:
+    """Splits drawn ahead below the given nodes, at most ``reach`` levels: the nodes and those below, level by level, and the levels."""
+    most, out, levels, at = _CELL_VALUES // len(nodes.low), None, [], nodes
+    ended = 0
+    while True:
+        at.feature, at.cut = _splits(at.tree, at.node, at.low, at.high, at.tried, seed)
+        on = (at.feature >= 0) & (at.depth < limit) & (len(levels) < reach)
+        if levels and ended + len(on) + on.sum() > most:
+            on[:] = False
+        at.feature[~on] = -1
+        ended += len(on) - on.sum()
+        begin = 0 if out is None else len(out.tree)
+        levels.append(slice(begin, begin + len(on)))
+        parent, feature = np.flatnonzero(on), at.feature[on]
+        at.child[on] = begin + len(on) + 2 * np.arange(len(parent))
+        out = at if out is None else out.joined(at)
+        if not len(parent):
+            return out, levels
+        low, high = (np.repeat(a[:, parent], 2, axis=1) for a in (at.low, at.high))
+        left = 2 * np.arange(len(parent))
+        high[feature, left] = at.cut[parent]
+        low[feature, left + 1] = at.cut[parent]
+        below = 2 * np.repeat(at.node[parent], 2) + np.tile([0, 1], len(parent))
+        reach = np.repeat(reach[parent], 2)
+        at = _fresh(np.repeat(at.tree[parent], 2), below, low, high)
+
+
+def _settled(ahead: _Nodes, levels: list[slice], most: int, limit: int, seed: int) -> np.ndarray:
+    """Decides what can be of nodes whose last ones know their rows and values: marks those whose parents' splits all stand."""
+    for level in levels[::-1]:
+        inner = np.flatnonzero(ahead.child[level] >= 0) + level.start
+        child = ahead.child[inner]
+        ahead.size[inner] = ahead.size[child] + ahead.size[child + 1]
+        ahead.low[:, inner] = np.minimum(ahead.low[:, child], ahead.low[:, child + 1])
+        ahead.high[:, inner] = np.maximum(ahead.high[:, child], ahead.high[:, child + 1])
+    stands = np.zeros(len(ahead.tree), bool)
+    stands[levels[0]] = True
+    for level in levels:
+        at = np.flatnonzero(stands[level]) + level.start
+        part = ahead.at(at)
+        feature, _ = _splits(part.tree, part.node, part.low, part.high, part.tried, seed)
+        place = np.arange(len(at))
+        held = (part.child >= 0) & (part.feature == feature) & (part.low[feature, place] <= part.cut) & (part.cut < part.high[feature, place])
+        small, shut = part.size <= most, (feature < 0) | (part.depth >= limit)
+        ahead.state[at] = np.select([small, shut, held], [_TASK, _LEAF, _SPLIT], _OPEN)
+        ahead.tried[at] += part.child >= 0
+        split = at[ahead.state[at] == _SPLIT]
+        stands[ahead.child[split]] = stands[ahead.child[split] + 1] = True
+    ended = ahead.state != _SPLIT
+    ahead.feature[ended], ahead.child[ended], ahead.cut[ended] = -1, -1, 0.0
+    return stands
+
+
+def _top(rows: DataFrame, n_features: int, size: int, trees: int, limit: int, seed: int, most: int) -> _Nodes:
+    """The nodes of over ``most`` rows and those right below them."""
+    x = _x(n_features)
+    ends = rows.agg(*[f(c).alias(f"{k}{c}") for c in x for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    low, high = (np.repeat(np.array([[ends[f"{k}{c}"]] for c in x], float), trees, axis=1) for k in ("lo", "hi"))
+    nodes = _fresh(np.arange(trees), np.ones(trees, np.int64), low, high)
+    nodes.size[:] = size
+    rows = rows.select(*x, *[c for c in rows.columns if c == "tree"])
+    while len(open_ := np.flatnonzero(nodes.state == _OPEN)):
+        # A pass looks no further below a node than it may well have over ``most`` rows.
+        reach = np.ceil(3 * np.log2(np.maximum(nodes.size[open_] / most, 1.0))).astype(int) + 1
+        ahead, levels = _ahead(nodes.at(open_), reach, limit, seed)
+        place = np.concatenate([open_, len(nodes.tree) + np.arange(len(ahead.tree) - len(open_))])
+        whole = nodes.joined(ahead.at(np.arange(len(open_), len(ahead.tree))))
+        whole.feature[place], whole.cut[place], whole.child[place] = ahead.feature, ahead.cut, np.where(ahead.child >= 0, place[ahead.child], -1)
+        last = np.flatnonzero(ahead.child < 0)
+        cell = np.full(len(whole.tree), -1)
+        cell[place[last]] = np.arange(len(last))
+        ahead.size[last], ahead.low[:, last], ahead.high[:, last] = _cell_stats(rows, n_features, whole.walk(cell), np.unique(nodes.tree[open_]), len(last))
+        stands = _settled(ahead, levels, most, limit, seed)
+        # Nodes that stand keep their order, so siblings stay neighbours.
+        new = np.flatnonzero(stands[len(open_) :]) + len(open_)
+        place[new] = len(nodes.tree) + np.arange(len(new))
+        ahead.child = np.where(ahead.child >= 0, place[ahead.child], -1)
+        found = ahead.at(np.arange(len(open_)))
+        for to, of in zip(vars(nodes).values(), vars(found).values()):
+            to[..., open_] = of
+        nodes = nodes.joined(ahead.at(new))
     return nodes
 
 
-def _top(rows: DataFrame, n_features: int, trees: int, limit: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
-    """The nodes of over ``IN_TASK`` rows, a table a level, and tree, node, x of the rows below them."""
-    done, levels, first = [], [], np.arange(trees)
-    child, tree_of, node_of = first, np.arange(trees), np.ones(trees, np.int64)
-    for depth in range(limit + 1):
-        stats = _open_stats(rows, n_features, first, list(levels), tree_of, node_of)
-        level = materialise(_level(stats, n_features, depth, limit, seed), "forest-level")
-        done.append(level.filter(F.col("size") > IN_TASK))
-        found = level.select("at", "size", "feature", "threshold").toPandas().sort_values("at")  # nodes of one level
-        wide = found["size"].to_numpy() > IN_TASK
-        split = wide & (found["feature"].to_numpy() >= 0)
-        code = np.where(wide, -2, -1)  # a leaf of many rows, a node for one task
-        code[split] = np.arange(split.sum())
-        child[:] = -2
-        child[found["at"].to_numpy()] = code
-        if not split.any():
-            break
-        at = found["at"].to_numpy()[split]
-        tree_of, node_of = np.repeat(tree_of[at], 2), (2 * node_of[at][:, None] + np.arange(2)).ravel()
-        child = np.arange(2 * len(at))
-        levels.append((found["feature"].to_numpy()[split].astype(np.int64), found["threshold"].to_numpy()[split], child))
+def _grown(rows: DataFrame, n_features: int, size: int, trees: int, limit: int, seed: int) -> DataFrame:
+    """The nodes of all trees. ``rows`` are x0, x1, ... and the tree they belong to, or without it rows of every tree."""
+    most = min(IN_TASK, max(DRAWN, TASK_VALUES // n_features))
+    if size > most:
+        top = _top(rows, n_features, size, trees, limit, seed, most)
+    else:
+        top = _fresh(np.arange(trees), np.ones(trees, np.int64), *np.zeros((2, n_features, trees)))
+        top.state[:] = _TASK
+    walk, number = top.walk(np.where(top.state == _TASK, np.arange(len(top.tree)), -1)), np.arange(trees)
+    tree_of, node_of = top.tree.astype(np.int32), top.node
+
+    def deal(flats: list[tuple[np.ndarray | None, np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
+        """Rows of the nodes for one task each, as the bytes of their features row by row."""
+        x = np.concatenate([flat.reshape(n_features, -1)[:, :k] for _, flat, k in flats], axis=1).T.copy()
+        for t in [None] if flats[0][0] is not None else number:
+            cell = np.concatenate([walk.cells(flat, tree if t is None else np.full(k, t, np.intp)) for tree, flat, k in flats])
+            live = np.flatnonzero(cell >= 0)
+            if not len(live):
+                continue
+            live = live[np.argsort(cell[live], kind="stable")]
+            cell = cell[live]
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            offsets = (np.append(first, len(live)) * 8 * n_features).astype(np.int32)
+            held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(x[live])])
+            yield pa.RecordBatch.from_arrays([pa.array(tree_of[cell[first]]), pa.array(node_of[cell[first]]), held], ["tree", "node", "x"])
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tree, x = next(_members(iter([b]), n_features))
-            at, node = _walked(tree, x, first, levels)
-            held = np.flatnonzero(at == -1)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(held)), pa.array(node[held]), b.column(1).take(pa.array(held))], ["tree", "node", "x"])
-
-    return done, rows.select("tree", "x").mapInArrow(below, "tree int, node long, x array<double>")
+        flats, n = [], 0
+        for block in _blocks(batches, n_features):
+            flats.append(block)
+            n += block[2]
+            if n * n_features >= _DEALT:
+                yield from deal(flats)
+                flats, n = [], 0
+        if flats:
+            yield from deal(flats)
+
+    def grow(key: tuple, group: pa.Table) -> pa.Table:
+        x = np.frombuffer(b"".join(group.column("x").to_pylist())).reshape(-1, n_features)
+        return _grow_levels(key[0].as_py(), key[1].as_py(), x, limit, seed)
+
+    rows = rows.select(*_x(n_features), *[c for c in rows.columns if c == "tree"])
+    nodes = rows.mapInArrow(below, "tree int, node long, x binary").groupBy("tree", "node").applyInArrow(grow, _NODES)
+    known = np.flatnonzero(top.state != _TASK)
+    if not len(known):
+        return nodes
+    part = top.at(known)
+    lines = zip(*[a.tolist() for a in (part.tree, part.node, part.feature, part.cut, part.size, part.depth)])
+    return nodes.unionByName(rows.sparkSession.createDataFrame(list(lines), _NODES))
+
+
+def _grow_levels(tree: int, root: int, x: np.ndarray, limit: int, seed: int) -> pa.Table:
+    """Random splits below ``root`` until a point is alone, all points are equal or the depth limit; the nodes of a level together."""
+    x, node, size, found = np.ascontiguousarray(x.T), np.array([root]), np.array([x.shape[0]]), []
+    for depth in range(root.bit_length() - 1, limit + 1):
+        start = np.cumsum(size) - size
+        low, high = np.minimum.reduceat(x, start, axis=1), np.maximum.reduceat(x, start, axis=1)
+        feature, cut = _splits(np.full(len(node), tree), node, low, high, 0, seed)
+        if depth == limit:
+            feature[:], cut[:] = -1, 0.0
+        found.append((node, feature, cut, size, np.full(len(node), depth)))
+        on = feature >= 0
+        if not on.any():
+            break
+        if not on.all():
+            x = x.take(np.flatnonzero(np.repeat(on, size)), axis=1)
+        node, size, feature, cut = node[on], size[on], feature[on], cut[on]
+        right = x.ravel().take(np.repeat(feature * x.shape[1], size) + np.arange(x.shape[1])) > np.repeat(cut, size)
+        rights = np.add.reduceat(right, np.cumsum(size) - size, dtype=np.int64)
+        x = x.take(np.concatenate([np.flatnonzero(~right), np.flatnonzero(right)]), axis=1)  # all left children, then all right ones
+        node, size = np.concatenate([2 * node, 2 * node + 1]), np.concatenate([size - rights, rights])
+    columns = [np.concatenate(c) for c in zip(*found)]
+    types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int32()]
+    arrays = [pa.array(np.full(len(columns[0]), tree, np.int32)), *[pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, types)]]
+    return pa.table(arrays, names=["tree", "node", "feature", "threshold", "size", "depth"])
 
 
 def _grow(tree: int, root: int, depth: int, x: np.ndarray, limit: int, rng: np.random.Generator) -> pd.DataFrame:
@@ -326,7 +549,7 @@ def _held(forest: StoredForest) -> Forest | StoredForest:
     """The forest as arrays if it has at most ``ARRAY_NODES`` nodes."""
     if forest.nodes.count() > ARRAY_NODES:
         return forest
-    nodes = forest.nodes.toPandas().sort_values(["tree", "node"], kind="stable")
+    nodes = _pandas(forest.nodes).sort_values(["tree", "node"], kind="stable")
     groups = [part for _, part in nodes.groupby("tree")]
     shape = (len(groups), max(map(len, groups), default=1))
     arrays = {
@@ -339,7 +562,12 @@ def _held(forest: StoredForest) -> Forest | StoredForest:
             arrays[name][t, : len(part)] = part[name].to_numpy()
         for name, child in (("left", 2 * number), ("right", 2 * number + 1)):
             arrays[name][t, : len(part)] = np.where(inner, np.searchsorted(number, child), -1)
-    return Forest(forest.features, forest.rows_per_tree, offset=forest.offset, fit_range=forest.fit_range, **arrays)
+    return Forest(forest.features, forest.rows_per_tree, offset=forest.offset, fit_range=forest.fit_range, nodes=forest.nodes, **arrays)
+
+
+def _pandas(df: DataFrame) -> pd.DataFrame:
+    """The table by way of Arrow, whatever the session's setting."""
+    return df.toArrow().to_pandas() if isinstance(df, DataFrame) else df.toPandas()
 
 
 def _walk(forest: Forest) -> list[tuple]:

@@ -317,3 +317,43 @@ def test_rows_go_down_the_trees_as_one_by_one():
                 at = forest.left[t, at] if x[i, f] <= forest.threshold[t, at] else forest.right[t, at]
             paths.append(forest.depth[t, at] + A.average_path(forest.size[t, at]))
         assert got[i] == pytest.approx(np.mean(paths), abs=1e-12)
+
+
+def test_levels_of_trees_of_all_rows_are_grown_together(spark, monkeypatch):
+    """Fewer passes over the rows than levels; every split parts its own rows between their least and greatest value."""
+    monkeypatch.setattr(A, "IN_TASK", 40)
+    passes, plain = [], A._cell_stats
+    monkeypatch.setattr(A, "_cell_stats", lambda *a: passes.append(1) or plain(*a))
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.lognormal(0, 2, 3000), rng.integers(0, 4, 3000), np.ones(3000)])
+    rows = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")))
+    nodes, limit = nodes_of(A.fit_forest(rows, trees=3, max_samples=1.0), spark), math.ceil(math.log2(3000))
+    for _, tree in nodes.groupby("tree"):
+        found, todo = {r.node: r for r in tree.itertuples()}, [(1, x)]
+        while todo:
+            node, part = todo.pop()
+            r = found.pop(node)
+            assert r.size == len(part) and r.depth == node.bit_length() - 1
+            if r.feature < 0:
+                assert r.depth == limit or (part == part[0]).all()
+                continue
+            column = part[:, r.feature]
+            assert r.depth < limit and column.min() <= r.threshold < column.max()
+            todo += [(2 * node, part[column <= r.threshold]), (2 * node + 1, part[column > r.threshold])]
+        assert not found
+    assert 1 < len(passes) < nodes[nodes["size"] > 40]["depth"].max() + 1
+    half = nodes_of(A.fit_forest(rows, trees=3, max_samples=0.5), spark)
+    assert (half[half["node"] == 1]["size"] == 1500).all() and half[half["feature"] < 0].groupby("tree")["size"].sum().tolist() == [1500] * 3
+
+
+def test_splits_take_all_open_features_and_cuts_alike():
+    m = 6000
+    low, high = np.zeros((3, m)), np.tile([[1.0], [0.0], [1e308]], m)
+    low[2] = -1e308
+    feature, cut = A._splits(np.arange(m) % 7, np.arange(1, m + 1), low, high, 0, 42)
+    assert abs((feature == 0).mean() - 0.5) < 0.03 and not (feature == 1).any()
+    shares = np.concatenate([cut[feature == 0], cut[feature == 2] / 1e308 / 2 + 0.5])
+    assert np.histogram(shares, 10, (0, 1))[0].min() > 500
+    assert A._splits(np.zeros(1, int), np.ones(1, int), np.zeros((2, 1)), np.zeros((2, 1)), 0, 1)[0].tolist() == [-1]
+    one, next_ = np.ones((1, 50)), np.nextafter(np.ones((1, 50)), 2)
+    assert (A._splits(np.zeros(50), np.arange(1, 51), one, next_, 0, 1)[1] == 1).all()
