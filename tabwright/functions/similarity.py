@@ -14,14 +14,16 @@ the grams rarest among the references are taken.
 
 Long references go another way, as nearly all of a language's 3-grams occur in any long text. From ``LONG`` characters on the matcher starts
 blocks only at characters that make up at most a hundredth of the reference, or at the beginning of both texts. So a reference with R
-such characters has at most R + 1 blocks, and M matched characters leave at least M - (R + 1)(k - 1) of its k-grams, repeats
-counted, in both texts. Tasks count the shared k-grams of a text with a block of references in one go, k as long as that bound bears.
+such characters has at most R + 1 blocks. Of its k-grams only every s-th is looked at: a block of n characters holds (n - k - s + 2) / s of these at least, so
+M matched characters leave at least (M - (R + 1)(k + s - 2)) / s of them in the text. Tasks count them for a text and a block of references in one go, k and s
+as large as that bound bears. The matcher is then run on the places where it can start a block alone, until too few characters are left to reach the threshold.
 """
 
 from __future__ import annotations
 
 import difflib
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 
@@ -40,7 +42,9 @@ _SHARE = 1000
 #: Length from which the matcher passes over frequent characters.
 LONG = 200
 #: Gram sizes for long references; characters of references and of texts that one task meets at a time.
-_SIZES, _BLOCK, _LOAD = (16, 12, 8, 6, 4, 3, 2), 1_000_000, 16_000_000
+_SIZES, _BLOCK, _LOAD = (16, 12, 8, 6, 4, 3, 2), 4_000_000, 16_000_000
+#: Part of the matched characters that grams across the ends of blocks may take from the bound; largest step from gram to gram.
+_GIVEN, _STEP = 0.65, 32
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -169,14 +173,21 @@ def _short_matches(texts: DataFrame, refs: DataFrame, threshold: float, least: f
     return scored.select(group, "value", "__ref", "__n", "score")
 
 
-def _numbered_grams(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the text's different k-grams and how often each occurs."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = max(len(c) - k + 1, 0)
-    h = c[:n].copy()
-    for j in range(1, k):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + c[j : n + j]
-    return np.unique(h, return_counts=True)
+class _Rolled:
+    """Hashes of a text's k-grams in order, for one k after another."""
+
+    def __init__(self, text: str):
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        self.k, self.hashes = 1, self.codes
+
+    def grams(self, k: int) -> np.ndarray:
+        if k < self.k:
+            self.k, self.hashes = 1, self.codes
+        for j in range(self.k, k):
+            n = max(len(self.codes) - j, 0)
+            self.hashes = self.hashes[:n] * np.uint64(0x9E3779B97F4A7C15) + self.codes[j : j + n]
+        self.k = k
+        return self.hashes
 
 
 def most_blocks(reference: str) -> int:
@@ -187,51 +198,109 @@ def most_blocks(reference: str) -> int:
 
 @dataclass
 class _Grams:
-    """The k-grams of some references: sorted hashes, and for each its references and how often they hold it."""
+    """Every ``steps``-th k-gram of some references: sorted hashes, and for each the references that hold it, as often as they do.
+
+    ``slots`` marks the hashes by ``bits`` of theirs, which spares most grams of other texts the search.
+    """
 
     k: int
     refs: np.ndarray
     lengths: np.ndarray
     blocks: np.ndarray
+    steps: np.ndarray
     keys: np.ndarray
     first: np.ndarray
     owner: np.ndarray
-    times: np.ndarray
+    bits: int
+    slots: np.ndarray
 
-    def close(self, text: str, threshold: float) -> np.ndarray:
+    def close(self, text: str, threshold: float, rolled: _Rolled | None = None) -> np.ndarray:
         """References that share as many grams with a text as a pair at or above the threshold must."""
         matched = threshold * (len(text) + self.lengths) / 2
         near = np.minimum(len(text), self.lengths) >= matched - 1e-9
         if not near.any():
             return self.refs[:0]
-        grams, n = _numbered_grams(text, self.k)
+        grams = (rolled or _Rolled(text)).grams(self.k)
+        grams = grams[self.slots[_slot(grams, self.bits)]]
         at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        met = self.keys[at] == grams
-        at, n = at[met], n[met]
+        at = np.unique(at[self.keys[at] == grams])
         spans = self.first[at + 1] - self.first[at]
         held = np.repeat(self.first[at] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-        shared = np.bincount(self.owner[held], np.minimum(self.times[held], np.repeat(n, spans)), minlength=len(self.refs))
-        return self.refs[near & (shared >= matched - self.blocks * (self.k - 1) - 1e-6)]
+        shared = np.bincount(self.owner[held], minlength=len(self.refs))
+        return self.refs[near & (shared >= (matched - self.blocks * (self.k + self.steps - 2)) / self.steps - 1e-6)]
+
+
+def _slot(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.intp)
 
 
 def gram_tables(references: list[str], threshold: float) -> list[_Grams]:
-    """The references by the gram size at which at least half of their matched characters still count."""
+    """The references by the gram size at which at least half of their matched characters would still count if all grams were looked at."""
     by_size = defaultdict(list)
     for i, ref in enumerate(references):
         blocks = most_blocks(ref)
         each = len(ref) * threshold / (2 - threshold) / blocks  # matched characters in a block, at least on average
-        by_size[next((k for k in _SIZES if k - 1 <= each / 2), _SIZES[-1])].append((i, len(ref), blocks))
+        k = next((k for k in _SIZES if k - 1 <= each / 2), _SIZES[-1])
+        by_size[k].append((i, len(ref), blocks, max(1, min(_STEP, int(each * _GIVEN) - k + 2))))
     out = []
-    for k, some in by_size.items():
-        found = [_numbered_grams(references[i], k) for i, _, _ in some]
-        hashes = np.concatenate([h for h, _ in found])
+    for k, some in sorted(by_size.items()):
+        found = [_Rolled(references[i]).grams(k)[::step].copy() for i, _, _, step in some]
+        hashes = np.concatenate(found)
         order = np.argsort(hashes, kind="stable")
-        owner = np.repeat(np.arange(len(some)), [len(h) for h, _ in found])[order]
+        owner = np.repeat(np.arange(len(some), dtype=np.int32), [len(h) for h in found])[order]
         keys, first = np.unique(hashes[order], return_index=True)
-        out.append(_Grams(k, *map(np.array, zip(*some)), keys, np.append(first, len(hashes)), owner, np.concatenate([n for _, n in found])[order]))
+        bits = min(24, max(10, len(keys).bit_length() + 3))
+        slots = np.zeros(1 << bits, bool)
+        slots[_slot(keys, bits)] = True
+        out.append(_Grams(k, *map(np.array, zip(*some)), keys, np.append(first, len(hashes)), owner, bits, slots))
     return out
 
 
+class Matcher:
+    """``difflib.SequenceMatcher`` of texts with one reference of at least ``LONG`` characters, given up as soon as a ratio is out of reach."""
+
+    def __init__(self, reference: str):
+        self.reference = reference
+        self.places = difflib.SequenceMatcher(None, "", reference).b2j  # of the characters that start blocks
+
+    def ratio(self, text: str, threshold: float) -> float:
+        """The matching ratio, 0 where it is below the threshold."""
+        a, b, places = text, self.reference, self.places
+        spots = [i for i, c in enumerate(a) if c in places]
+        length = len(a) + len(b)
+        bound, matched, least = min(len(a), len(b)), 0, threshold * length / 2 - 1e-9
+        todo = [(0, len(a), 0, len(b))]
+        while todo:
+            if bound < least:
+                return 0.0
+            alo, ahi, blo, bhi = todo.pop()
+            bound -= min(ahi - alo, bhi - blo)
+            i, j, n = alo, blo, 0
+            runs, before = {}, -2
+            for at in spots[bisect_left(spots, alo) : bisect_left(spots, ahi)]:
+                if at != before + 1:
+                    runs = {}
+                before, new, other = at, {}, places[a[at]]
+                for to in other[bisect_left(other, blo) : bisect_left(other, bhi)]:
+                    k = new[to] = runs.get(to - 1, 0) + 1
+                    if k > n:
+                        i, j, n = at - k + 1, to - k + 1, k
+                runs = new
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, n = i - 1, j - 1, n + 1
+            while i + n < ahi and j + n < bhi and a[i + n] == b[j + n]:
+                n += 1
+            if n:
+                matched += n
+                bound += n
+                for part in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)):
+                    if part[0] < part[1] and part[2] < part[3]:
+                        todo.append(part)
+                        bound += min(part[1] - part[0], part[3] - part[2])
+        score = 2.0 * matched / length
+        return score if score >= threshold else 0.0
+
+
 def _long_matches(texts: DataFrame, refs: DataFrame, threshold: float, group: str) -> DataFrame:
     """(group, value, __ref, __n, score) of all pairs at or above the threshold; every reference has at least ``LONG`` characters.
 
@@ -261,19 +330,16 @@ def _long_matches(texts: DataFrame, refs: DataFrame, threshold: float, group: st
         values, references, found = mine["value"].tolist(), theirs["__ref"].tolist(), []
         tables, close = gram_tables(references, threshold) if values else [], defaultdict(list)
         for value in values:
+            rolled = _Rolled(value)
             for table in tables:
-                for i in table.close(value, threshold).tolist():
+                for i in table.close(value, threshold, rolled).tolist():
                     close[i].append(value)
         for i, some in close.items():
-            ref = references[i]
-            matcher = difflib.SequenceMatcher(None, "", ref)
+            matcher = Matcher(references[i])
             for value in some:
-                if 2 * common_subsequence(value, ref) < threshold * (len(value) + len(ref)) - 1e-9:
-                    continue
-                matcher.set_seq1(value)
-                score = matcher.ratio()
+                score = matcher.ratio(value, threshold)
                 if score >= threshold:
-                    found.append((key[0], value, ref, theirs["__n"].iloc[i], score))
+                    found.append((key[0], value, references[i], theirs["__n"].iloc[i], score))
         return pd.DataFrame(found, columns=[group, "value", "__ref", "__n", "score"])
 
     kinds = [(group, texts), ("value", texts), ("__ref", refs), ("__n", refs)]

@@ -89,6 +89,30 @@ def test_long_references_meet_only_texts_that_share_their_grams(spark, monkeypat
     assert compared < 400  # of some 20,000 pairs
 
 
+def test_matcher_of_long_references_gives_the_ratio_of_difflib():
+    """The same ratio wherever it reaches the threshold, and far fewer grams of a reference are kept than it has."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(200)] + ["quiz", "jazz", "kayak", "vex", "zz top"]
+    reached = 0
+    for n in (40, 150, 700):
+        for _ in range(12):
+            ref = " ".join(rng.choices(words, k=n))
+            if len(ref) < similarity.LONG:
+                continue
+            matcher = similarity.Matcher(ref)
+            for share in (0.0, 0.002, 0.02, 0.1):
+                text = "".join(rng.choice(["", "x", "q", c + c, "jz"]) if rng.random() < share else c for c in ref)
+                for other in (text, text[len(text) // 9 :], "q" + text[:-20], ref[len(ref) // 2 :] + ref[: len(ref) // 2]):
+                    score = difflib.SequenceMatcher(None, other, ref).ratio()
+                    for threshold in (0.7, 0.9):
+                        assert matcher.ratio(other, threshold) == (score if score >= threshold else 0.0)
+                        reached += score >= threshold
+    assert reached > 100
+    refs = [" ".join(rng.choices(words, k=300)) for _ in range(20)]
+    kept = sum(len(t.owner) for t in similarity.gram_tables(refs, 0.9))
+    assert 0 < kept < sum(map(len, refs)) / 2
+
+
 def test_a_gram_of_all_references_is_shared_out(spark, monkeypatch):
     monkeypatch.setattr(similarity, "_SHARE", 3)
     rng = random.Random(12)
