@@ -277,11 +277,23 @@ class Matcher:
             bound -= min(ahi - alo, bhi - blo)
             i, j, n = alo, blo, 0
             runs, before = {}, -2
-            for at in spots[bisect_left(spots, alo) : bisect_left(spots, ahi)]:
+            begin, end = bisect_left(spots, alo), bisect_left(spots, ahi)
+            for x in range(begin, end):
+                at = spots[x]
                 if at != before + 1:
                     runs = {}
-                before, new, other = at, {}, places[a[at]]
-                for to in other[bisect_left(other, blo) : bisect_left(other, bhi)]:
+                before, more = at, x + 1 < end and spots[x + 1] == at + 1
+                if n and not runs and not more:  # a run of one character, which no other follows
+                    continue
+                other = places[a[at]]
+                other = other[bisect_left(other, blo) : bisect_left(other, bhi)]
+                if not n and other:
+                    i, j, n = at, other[0], 1
+                if not runs:
+                    runs = dict.fromkeys(other, 1)
+                    continue
+                new = {}
+                for to in other:
                     k = new[to] = runs.get(to - 1, 0) + 1
                     if k > n:
                         i, j, n = at - k + 1, to - k + 1, k
